@@ -1,22 +1,24 @@
-"""Token ids of whole texts by the tokenizers library, a word at a time.
-
-Both vocabularies split a text before any space that stands between two
-characters that are not white space, so the ids of a text are those of its
-pieces between such spaces, one after another.  Pieces recur, so each is encoded
-by the library once for a worker process and looked up after that.  A text with
-a piece of which that isn't sure (white space next to the space) goes to the
-library as a whole.
+"""Token ids of whole texts by the tokenizers library, a piece at a time.
+
+Both vocabularies split a text before any space or line feed that stands alone
+between two other characters, so the ids of a text are those of its pieces
+between such places, one after another.  Pieces recur, so each is encoded by the
+library once for a worker process and looked up after that.  A text with a piece
+of which that isn't sure (white space next to white space) goes to the library
+as a whole, unless the vocabulary drops white space anyway.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces that a worker process remembers; when they are more it starts anew.
-REMEMBERED = 400_000
+#: Pieces that a worker process remembers; beyond it, only the short ones are kept.
+REMEMBERED, SHORT = 800_000, 7
+#: Texts whose new pieces go to the library together.
+TOGETHER = 64
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -30,36 +32,52 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.feed, *marks = self._library(["\n", ".", ","])
+        self.marks = dict(zip(".,", marks))
+        self.drops_space = not self.feed
+        #: Ids of pieces, with the space or line feed before them; a space is not part of the key.
         self.known: dict[str, bytes | None] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        sure = [p for p in pieces if (w := p[1:] if p[:1] == " " else p) and not w[0].isspace() and not w[-1].isspace()]
-        self.known.update(dict.fromkeys(pieces))
-        self.known.update(zip(sure, self._library(sure)))
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text, whatever its length."""
         known = self.known
-        for text in texts:
-            if not text:
-                yield b""
+        if len(known) + len(pieces) > REMEMBERED:
+            self.known = known = {p: ids for p, ids in known.items() if len(p) <= SHORT}
+        todo: dict[str, list[tuple[str, bytes, bytes]]] = {}
+        for p in pieces:
+            core, before, after = (p[1:], self.feed, b"") if p[:1] == "\n" else (p, b"", b"")
+            if not self.drops_space and (not core or core[0].isspace() or core[-1].isspace()):
+                known[p] = None
                 continue
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + p for p in rest]]
-            new = {p for p in pieces if p not in known}
+            if core[-1:] in self.marks and core[:-1].isalpha():  # letters and a mark are separate words
+                core, after = core[:-1], self.marks[core[-1]]
+                if p[:1] != "\n" and known.get(core):
+                    known[p] = known[core] + after
+                    continue
+            todo.setdefault(core if p[:1] == "\n" or self.drops_space else " " + core, []).append((p, before, after))
+        for ids, uses in zip(self._library(list(todo)), todo.values()):
+            for p, before, after in uses:
+                known[p] = before + ids + after
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, whatever its length; none for a null or empty text."""
+        skip = len(self.feed)
+        for k in range(0, len(texts), TOGETHER):
+            cut = [("\n" + (t or "").replace("\n", " \n")).split(" ") for t in texts[k : k + TOGETHER]]
+            new = set().union(*cut).difference(self.known)
             if new:
                 self._learn(new)
-                if any(p not in known for p in pieces):  # it was cleared
-                    self._learn(set(pieces))
-            try:
-                yield b"".join([known[p] for p in pieces])
-            except TypeError:  # a piece that isn't sure
-                yield self._library([text])[0]
+            for text, pieces in zip(texts[k : k + TOGETHER], cut):
+                known = self.known
+                if not text:
+                    yield b""
+                    continue
+                try:
+                    yield b"".join([known[p] for p in pieces])[skip:]
+                except (KeyError, TypeError):  # a piece that was forgotten meanwhile or isn't sure
+                    yield self._library([text])[0]
 
 
 def encoder(path: str) -> Encoder:
