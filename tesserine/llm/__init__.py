@@ -12,6 +12,7 @@ MODULES = (
     "decontaminate",
     "packing",
     "sharding",
+    "token_files",
 )
 
 
