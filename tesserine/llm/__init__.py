@@ -10,7 +10,9 @@ from importlib import import_module
 
 MODULES = (
     "decontaminate",
+    "line_dedup",
     "packing",
+    "quality",
     "sharding",
     "token_files",
 )
