@@ -11,6 +11,7 @@ from importlib import import_module
 MODULES = (
     "decontaminate",
     "line_dedup",
+    "near_dup",
     "packing",
     "quality",
     "sharding",

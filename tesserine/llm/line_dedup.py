@@ -55,21 +55,22 @@ def windows(counts: list[int], least: int) -> list[tuple[int, int]]:
 
 def fingerprints(text: str, least: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(fingerprint, its line, first, end, digest) of each window of a text."""
-    lines = [line.strip() for line in text.split("\n")]
-    found = windows([len(line.split()) for line in lines], least)
+    lines = [(k, words) for k, line in enumerate(text.split("\n")) if (words := line.split())]  # blank lines don't count
+    found = windows([len(words) for _, words in lines], least)
     if not found:
         return
-    hashes = [xxhash.xxh3_64_intdigest(line) - (1 << 63) for line in lines]
+    hashes = [xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63) for _, words in lines]
     packed = np.array(hashes, "<i8").tobytes()
     for i, j in found:
         least_hash = min(hashes[i:j])
-        yield least_hash, hashes.index(least_hash, i, j), i, j, xxhash.xxh3_128_digest(packed[8 * i : 8 * j])
+        yield least_hash, lines[hashes.index(least_hash, i, j)][0], lines[i][0], lines[j - 1][0] + 1, xxhash.xxh3_128_digest(packed[8 * i : 8 * j])
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text column without later repeated runs, and n_lines, n_removed, n_removed_words (replaced if there).
 
-    Occurrences are ordered by id (null first), text hash and line.  Of repeated
+    Lines are compared without their white space's kind and amount; blank lines
+    don't count, and go with a run that they stand in.  Occurrences are ordered by id (null first), text hash and line.  Of repeated
     runs that overlap each other within a text, the lines of every occurrence but
     the first are deleted.  Rows repeated with id and text count as one
     occurrence and lose the same lines; null and empty texts have no runs and

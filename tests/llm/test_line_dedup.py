@@ -8,16 +8,16 @@ def brute(docs, least):
     seen, out = set(), {}
     for key, text in docs:
         lines = text.split("\n") if text else []
-        words = [len(line.split()) for line in lines]
-        gone, own = set(), []
-        for i in range(len(lines)):
+        solid = [i for i, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for x in range(len(solid)):
             n = 0
-            for j in range(i, len(lines)):
-                n += words[j]
+            for y in range(x, len(solid)):
+                n += len(lines[solid[y]].split())
                 if n >= least:
-                    run = tuple(line.strip() for line in lines[i : j + 1])
+                    run = tuple(" ".join(lines[k].split()) for k in solid[x : y + 1])
                     if run in seen:
-                        gone |= set(range(i, j + 1))
+                        gone |= set(range(solid[x], solid[y] + 1))
                     seen.add(run)
         out[key] = (len(lines), len(gone), "\n".join(line for i, line in enumerate(lines) if i not in gone) if text else text)
     return out
