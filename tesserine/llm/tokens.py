@@ -11,10 +11,9 @@ as a whole, unless the vocabulary drops white space anyway.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 #: Pieces that a worker process remembers; beyond it, only the short ones are kept.
 REMEMBERED, SHORT = 800_000, 7
 #: Texts whose new pieces go to the library together.
@@ -36,10 +35,10 @@ class Encoder:
         self.marks = dict(zip(".,", marks))
         self.drops_space = not self.feed
         #: Ids of pieces, with the space or line feed before them; a space is not part of the key.
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
@@ -49,7 +48,7 @@ class Encoder:
         for p in pieces:
             core, before, after = (p[1:], self.feed, b"") if p[:1] == "\n" else (p, b"", b"")
             if not self.drops_space and (not core or core[0].isspace() or core[-1].isspace()):
-                known[p] = None
+                known[p] = False
                 continue
             if core[-1:] in self.marks and core[:-1].isalpha():  # letters and a mark are separate words
                 core, after = core[:-1], self.marks[core[-1]]
@@ -61,23 +60,37 @@ class Encoder:
             for p, before, after in uses:
                 known[p] = before + ids + after
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.drops_space:  # such a vocabulary has lower case only
+            try:
+                text.encode("latin-1")  # letters there change case one by one
+                return text.lower().replace("\n", " ").split(" ")
+            except UnicodeEncodeError:
+                return text.split(" ")
+        return ("\n" + text.replace("\n", " \n")).split(" ")
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, whatever its length; none for a null or empty text."""
         skip = len(self.feed)
         for k in range(0, len(texts), TOGETHER):
-            cut = [("\n" + (t or "").replace("\n", " \n")).split(" ") for t in texts[k : k + TOGETHER]]
-            new = set().union(*cut).difference(self.known)
+            group, new = [], set()
+            for text in texts[k : k + TOGETHER]:
+                pieces = self._pieces(text or "")
+                ids = list(map(self.known.get, pieces))
+                missing = [i for i, v in enumerate(ids) if v is None] if None in ids else []
+                new.update([pieces[i] for i in missing])
+                group.append((text, pieces, ids, missing))
             if new:
                 self._learn(new)
-            for text, pieces in zip(texts[k : k + TOGETHER], cut):
-                known = self.known
+            for text, pieces, ids, missing in group:
+                for i in missing:
+                    ids[i] = self.known[pieces[i]]
                 if not text:
                     yield b""
-                    continue
-                try:
-                    yield b"".join([known[p] for p in pieces])[skip:]
-                except (KeyError, TypeError):  # a piece that was forgotten meanwhile or isn't sure
+                elif False in ids:  # a piece that isn't sure
                     yield self._library([text])[0]
+                else:
+                    yield b"".join(ids)[skip:]
 
 
 def encoder(path: str) -> Encoder:
