@@ -99,16 +99,18 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     all_windows = written(plain.mapInArrow(windowed, "fp long, place int, id long, h long, first int, end int, digest binary"), "line-windows")
     place = F.struct("id", "h", "place")
     recurring = all_windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
+    recurring = written(recurring, "line-fingerprints")  # a hot fingerprint can then be split in the join
     at = F.struct("id", "h", "first", "end")
     close = all_windows.join(recurring, "fp", "left_semi")
     first = written(close.groupBy("digest").agg(F.min(at).alias("source"), F.max(at).alias("last")).where("source < last").select("digest", "source"), "line-sources")
     runs = all_windows.join(first, "digest").where(at > F.col("source"))
     gone = runs.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("first", "end")).alias("__gone"))  # at most two windows a line
     gone = written(gone, "line-runs")
-    dropped(spark, all_windows, first)
+    dropped(spark, all_windows, recurring, first)
 
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_removed_words")]
-    marked = docs.select(*rest, *key).join(gone.withColumnsRenamed({"__id": "__id2", "__h": "__h2"}), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left").select(*rest, "__gone")
+    # The runs grow with the documents: one plan for every size.
+    marked = docs.select(*rest, *key).join(gone.withColumnsRenamed({"__id": "__id2", "__h": "__h2"}).hint("merge"), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left").select(*rest, "__gone")
     schema = docs.select(*rest, *(F.lit(0).alias(c) for c in ("n_lines", "n_removed", "n_removed_words"))).schema
     column_at = rest.index(text_col)
 
