@@ -16,6 +16,7 @@ MODULES = (
     "quality",
     "sharding",
     "token_files",
+    "vector_dup",
 )
 
 
