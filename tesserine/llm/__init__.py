@@ -17,6 +17,7 @@ MODULES = (
     "sharding",
     "token_files",
     "vector_dup",
+    "warc",
 )
 
 
