@@ -13,6 +13,7 @@ MODULES = (
     "line_dedup",
     "near_dup",
     "packing",
+    "ppm",
     "quality",
     "sharding",
     "token_files",
