@@ -11,8 +11,8 @@ pairs are verified by the exact weighted Jaccard similarity of whole texts.
 Within a bucket no set of all pairs is made.  Every text is compared with the
 bucket's most central one; linked texts need no further comparison, as only
 classes count.  Texts that remain outside its class are then compared with the
-rest of the bucket, some in each round, until none remain; so no link is lost
-that the buckets show.
+rest of the bucket, in groups of bounded size that return links only; so no link
+is lost that the buckets show.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .graph import components
 from .shared import dropped, written
@@ -36,8 +35,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 #: Hashed buckets of document frequencies, and parts in which they travel.
 TERMS, PARTS = 1 << 18, 64
-#: Texts of a bucket that a round compares with all others of it.
-A_ROUND = 32
+#: Bits kept of each sample for the sketch that rules pairs out, and samples that may differ in it: a pair at the threshold exceeds that with probability below 0.000003.
+SKETCH_BITS, MAY_DIFFER = 4, 28
+#: Texts of a bucket that a group compares, with how many others, and bytes of either.
+OUTSIDERS, OTHERS, GROUP_BYTES = 512, 2048, 16 << 20
 CHUNK = 1 << 19
 
 _QUANTILES = 1 << 16
@@ -86,11 +87,11 @@ def weighted_shingles(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray,
     return h[start], weight[start] * tf, np.searchsorted(owner[start], np.arange(len(texts) + 1))
 
 
-def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BANDS band values for each text that has shingles."""
+def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS band values for each text that has shingles, and its sketch: SKETCH_BITS words, each with one bit of each sample."""
     ln_w = np.log(weight).astype(np.float32)
     counts = np.diff(first)
-    out = np.zeros((len(counts), BANDS), U)
+    out, sketch = np.zeros((len(counts), BANDS), U), np.zeros((len(counts), SKETCH_BITS), U)
     for band in range(BANDS):
         value = np.full(len(counts), mixed(np.array([band + 1], U))[0], U)
         for row in range(ROWS):
@@ -102,9 +103,12 @@ def samples(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
             least = np.minimum.reduceat(ln_a, first[:-1])
             hit = np.flatnonzero(ln_a == np.repeat(least, counts))
             pick = hit[np.searchsorted(hit, first[:-1])]
-            value = mixed(value * U(0x9E3779B97F4A7C15) + h[pick] + t[pick].astype(np.int64).astype(U) * U(0xD6E8FEB86659FD93))
+            drawn = mixed(h[pick] + t[pick].astype(np.int64).astype(U) * U(0xD6E8FEB86659FD93))
+            value = mixed(value * U(0x9E3779B97F4A7C15) + drawn)
+            for bit in range(SKETCH_BITS):
+                sketch[:, bit] |= ((drawn >> U(bit)) & U(1)) << U(band * ROWS + row)
         out[:, band] = value
-    return out
+    return out, sketch
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -142,22 +146,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signatures(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
-    """id, node (digest of the text), weight, bands of each row."""
+    """id, node (digest of the text), weight, bands, sketch of each row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = sent.value
         for b in batches:
-            bands, weights = [], []
+            bands, sketches, weights = [], [], []
             for _, run in chunks(column(b, "__text"), CHUNK):
                 h, weight, first = weighted_shingles(run, idf)
                 full = np.diff(first) > 0
-                got = iter(samples(h, weight, np.append(first[:-1][full], first[-1])).view(np.int64).tolist() if full.any() else ())
-                bands += [next(got) if f else [] for f in full]
+                got = iter(())
+                if full.any():
+                    got = zip(*(x.view(np.int64).tolist() for x in samples(h, weight, np.append(first[:-1][full], first[-1]))))
+                for f in full:
+                    band, sketch = next(got) if f else ([], [])
+                    bands.append(band)
+                    sketches.append(sketch)
                 weights += np.diff(np.concatenate(([0.0], np.cumsum(weight)))[first]).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weights, pa.float64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "node", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weights, pa.float64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "node", "weight", "bands", "sketch"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), _node(text_col).alias("node"), F.col(text_col).cast("binary").alias("__text"))
-    return plain.mapInArrow(signed, "id long, node binary, weight double, bands array<long>")
+    return plain.mapInArrow(signed, "id long, node binary, weight double, bands array<long>, sketch array<long>")
+
+
+def _worth_a_look(threshold: float) -> F.Column:
+    """Of the columns x and y (structs of two members of a bucket): whether their similarity can reach the threshold, and this is the first bucket that they share."""
+    x, y = F.col("x"), F.col("y")
+    differ = reduce(lambda p, q: p.bitwiseOR(q), (x["sketch"][i].bitwiseXOR(y["sketch"][i]) for i in range(SKETCH_BITS)))
+    weights = F.least(x["weight"], y["weight"]) >= F.lit(threshold - 1e-9) * F.greatest(x["weight"], y["weight"])
+    earlier = reduce(lambda p, q: p | q, ((F.col("nth") > i) & (x["bands"][i] == y["bands"][i]) for i in range(BANDS - 1)))
+    return weights & (F.bit_count(differ) <= MAY_DIFFER) & ~earlier
 
 
 def _node(text_col: str) -> F.Column:
@@ -165,7 +183,7 @@ def _node(text_col: str) -> F.Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose texts are as similar as the threshold or more."""
+    """Those pairs (a, b) whose texts a and b are as similar as the threshold or more."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, last = sent.value, (None, None)
@@ -177,12 +195,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> Dat
                     last = a[k], weighted_shingles([ta], idf)[:2]
                 keep.append(similarity(last[1], weighted_shingles([tb], idf)[:2]) >= threshold)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()).filter(mask) for x in (a, b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(2)], names=["a", "b"])
 
     both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(checked, "a binary, b binary")
 
 
+def _outsiders(rest: DataFrame, sent, threshold: float) -> DataFrame:
+    """Links (a, b) between the outside members of buckets and members of other components.
+
+    Every part of a bucket's outsiders meets every slice of its members in a
+    group of bounded size, which returns links, one for each pair of components
+    at most, and no pairs.
+    """
+    size = F.octet_length("text")
+    sizes = rest.groupBy("band").agg(F.greatest(F.ceil(F.count_if("outside") / OUTSIDERS), F.ceil(F.sum(F.when(F.col("outside"), size)) / GROUP_BYTES)).alias("parts"), F.greatest(F.ceil(F.count("*") / OTHERS), F.ceil(F.sum(size) / GROUP_BYTES)).alias("slices"))
+    dealt = rest.join(written(sizes, "bands"), "band").withColumn("h", F.xxhash64("x.node"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    found = dealt.select("band", every("parts").alias("part"), F.pmod("h", "slices").alias("slice"), F.lit(False).alias("seeks"), "nth", "x", "component", "outside", "text")
+    seeking = dealt.where("outside").select("band", F.pmod("h", "parts").alias("part"), every("slices").alias("slice"), F.lit(True).alias("seeks"), "nth", "x", "component", "outside", "text")
+    flat = found.unionByName(seeking).select("band", "part", "slice", "seeks", "nth", "x.node", "x.weight", "x.bands", "x.sketch", "component", "outside", "text")
+
+    def compared(table: pa.Table) -> pa.Table:
+        idf, node, text, component = sent.value, *(table[c].to_pylist() for c in ("node", "text", "component"))
+        seeks, outside = (table[c].to_numpy(zero_copy_only=False) for c in ("seeks", "outside"))
+        weight, nth = table["weight"].to_numpy(), table["nth"][0].as_py()
+        sketch, bands = (np.array(table[c].to_pylist(), np.int64).view(U) for c in ("sketch", "bands"))
+        _, kind = np.unique(np.array([c.hex() for c in component]), return_inverse=True)
+        _, order = np.unique(np.array([n.hex() for n in node]), return_inverse=True)
+        others = np.flatnonzero(~seeks)
+        sets: dict[int, tuple] = {}
+
+        def of(i: int) -> tuple:
+            if i not in sets:
+                if len(sets) > 4096:
+                    sets.clear()
+                sets[i] = weighted_shingles([text[i]], idf)[:2]
+            return sets[i]
+
+        a, b = [], []
+        for i in np.flatnonzero(seeks):
+            w, o = weight[i], others
+            ok = (kind[o] != kind[i]) & (np.minimum(weight[o], w) >= (threshold - 1e-9) * np.maximum(weight[o], w)) & (~outside[o] | (order[o] > order[i]))
+            o = o[ok]
+            o = o[np.bitwise_count(np.bitwise_or.reduce(sketch[o] ^ sketch[i], axis=1)) <= MAY_DIFFER]
+            o = o[~(bands[o, :nth] == bands[i, :nth]).any(axis=1)]  # else an earlier bucket has them
+            linked: set[int] = set()
+            for j in o.tolist():
+                if kind[j] not in linked and similarity(of(i), of(j)) >= threshold:
+                    linked.add(kind[j])
+                    a.append(component[i])
+                    b.append(component[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return flat.groupBy("band", "part", "slice").applyInArrow(compared, "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, node, class_id, class_size, kept for each row of docs.
 
@@ -195,42 +263,42 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(document_frequencies(docs, text_col))
     rows = written(_signatures(docs, sent, id_col, text_col), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("weight", "bands", "sketch")))
     nodes = written(nodes, "texts")
 
-    buckets = nodes.select("node", "weight", F.explode("bands").alias("band"))
-    sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = written(buckets.join(sizes, "band"), "buckets")
-    central = buckets.groupBy("node").agg(F.sum("size").alias("rank"))
-    ranked = written(buckets.drop("size").join(central, "node"), "buckets")
-    needed = central.select("node").join(nodes.select("node", "least"), "node")
+    # Members of buckets of two texts or more; a text's rank is the size of all its buckets, so the highest is the most central.
+    placed = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
+    sizes = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    placed = written(placed.join(sizes, "band"), "buckets")
+    central = placed.groupBy("node").agg(F.sum("size").alias("rank"))
+    about = central.join(nodes, "node").select(F.struct("node", "weight", "bands", "sketch", "rank").alias("x"), "least")
+    members = written(placed.drop("size").join(about, F.col("node") == F.col("x.node")).select("band", "nth", "x"), "members")
     source = docs.select(F.col(id_col).cast("long").alias("id"), _node(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    texts = source.join(needed, (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
+    texts = source.join(about.select("x.node", "least"), (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "candidate-texts")
-    dropped(spark, buckets)
-
-    alike = F.least("wa", "wb") >= F.lit(threshold - 1e-9) * F.greatest("wa", "wb")  # else the similarity can't reach it
-    lead = written(ranked.groupBy("band").agg(F.min(F.struct((-F.col("rank")).alias("r"), "node", "weight")).alias("lead")).select("band", F.col("lead.node").alias("a"), F.col("lead.weight").alias("wa")), "leads")
-    pairs = ranked.select("band", F.col("node").alias("b"), F.col("weight").alias("wb")).join(lead, "band").where((F.col("a") != F.col("b")) & alike).select("a", "b").distinct()
-    edges = [written(_verified(pairs, texts, sent, threshold), "links")]
-    classes = components(edges[0])
-    members, spent = ranked, [lead]
-    while True:
-        now = members.join(classes.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("band", "node", "weight", "rank", F.coalesce("component", "node").alias("component"))
-        mixed_bands = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((-F.col("rank")).alias("r"), "node", "component")).alias("lead")).where("low < high").select("band", F.col("lead.component").alias("main"))
-        now = written(now.join(written(mixed_bands, "bands"), "band"), "members")
-        if not now.take(1):
-            break
-        turn = F.row_number().over(Window.partitionBy("band").orderBy(F.col("rank").desc(), "node"))
-        chosen = written(now.where("component != main").withColumn("turn", turn).where(F.col("turn") <= A_ROUND).select("band", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("component").alias("ca")), "chosen")
-        others = now.select("band", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("component").alias("cb"))
-        pairs = others.join(chosen, "band").where((F.col("ca") != F.col("cb")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges.append(written(_verified(pairs, texts, sent, threshold), "links"))
-        classes = components(reduce(DataFrame.union, edges))
-        left = written(now.join(chosen.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti").select("band", "node", "weight", "rank"), "members")
-        dropped(spark, members, now, chosen)
-        members = left
-    dropped(spark, texts, members, *spent)
+    dropped(spark, placed)
+
+    def links(chosen: DataFrame) -> DataFrame:
+        """Verified links between members of different components, one of them chosen (band, y, cy)."""
+        pairs = members.join(chosen, "band").where((F.col("component") != F.col("cy")) & (F.col("x.node") != F.col("y.node")) & _worth_a_look(threshold))
+        pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("cy").alias("ca"), F.col("component").alias("cb"))
+        return written(_verified(pairs, texts, sent, threshold), "links")
+
+    lead = F.min(F.struct((-F.col("x.rank")).alias("r"), "x.node", "x")).alias("lead")
+    leads = written(members.groupBy("band").agg(lead).select("band", F.col("lead.x").alias("y")), "leads")
+    pairs = members.join(leads, "band").where((F.col("x.node") != F.col("y.node")) & _worth_a_look(threshold)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    edges = written(_verified(pairs, texts, sent, threshold), "links")
+    classes = components(edges)
+
+    # Buckets that still hold several components: those outside the main one are compared with all others.
+    now = members.join(classes.withColumnRenamed("node", "n2"), F.col("x.node") == F.col("n2"), "left").select("band", "nth", "x", F.coalesce("component", "x.node").alias("component"))
+    mixed_bands = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((-F.col("x.rank")).alias("r"), "x.node", "component")).alias("lead")).where("low < high").select("band", F.col("lead.component").alias("main"))
+    rest = now.join(written(mixed_bands, "bands"), "band").select("band", "nth", "x", "component", (F.col("component") != F.col("main")).alias("outside"))
+    rest = written(rest.join(texts.withColumnRenamed("node", "n2"), F.col("x.node") == F.col("n2")).drop("n2"), "members")
+    dropped(spark, members, texts, leads)
+    more = written(_outsiders(rest, sent, threshold), "links")
+    dropped(spark, rest)
+    classes = components(edges.union(more))
 
     found = nodes.join(classes.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("node", "least", "n", F.coalesce("component", "node").alias("component"))
     whole = found.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min("node").alias("first"))

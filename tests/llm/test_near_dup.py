@@ -81,8 +81,9 @@ def test_families_against_all_pairs(spark):
     check(spark, docs)
 
 
-def test_rounds_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(d, "A_ROUND", 2)
+def test_groups_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(d, "OUTSIDERS", 3)
+    monkeypatch.setattr(d, "OTHERS", 5)
     r = random.Random(9)
     check(spark, list(enumerate(family(r, 40, 5))))
 
@@ -98,7 +99,9 @@ def test_samples_estimate_similarity():
     true = d.similarity((h[: first[1]], weight[: first[1]]), (h[first[1] :], weight[first[1] :]))
     hits = n = 0
     for seed in range(40):
-        s = d.samples(d.mixed(h + np.uint64(seed)), weight, first)
+        s, sketch = d.samples(d.mixed(h + np.uint64(seed)), weight, first)
+        differ = int(np.bitwise_or.reduce(sketch[0] ^ sketch[1])).bit_count()
+        assert differ <= d.MAY_DIFFER
         hits += (s[0] == s[1]).sum()
         n += d.BANDS
     assert abs(hits / n - true**d.ROWS) < 0.08
