@@ -19,6 +19,10 @@ REMEMBERED, SHORT = 800_000, 7
 #: Texts whose new pieces go to the library together.
 TOGETHER = 64
 
+#: The character that byte-level vocabularies use for each byte: itself where it prints, else the next from 256 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -40,6 +44,17 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """As _library, for pieces; a run of Latin letters is one word, which the library's model takes as it is."""
+        tokenize, out = self.library.model.tokenize, []
+        for t in texts:
+            word = t[1:] if t[:1] == " " else t
+            if word.isalpha() and max(word) <= "\xff" and (not self.drops_space or word.islower()):
+                out.append(array("I", [x.id for x in tokenize(t.encode().decode("latin-1").translate(BYTES))]).tobytes())
+            else:
+                out.append(self._library([t])[0])
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         known = self.known
         if len(known) + len(pieces) > REMEMBERED:
@@ -56,7 +71,7 @@ class Encoder:
                     known[p] = known[core] + after
                     continue
             todo.setdefault(core if p[:1] == "\n" or self.drops_space else " " + core, []).append((p, before, after))
-        for ids, uses in zip(self._library(list(todo)), todo.values()):
+        for ids, uses in zip(self._words(list(todo)), todo.values()):
             for p, before, after in uses:
                 known[p] = before + ids + after
 
