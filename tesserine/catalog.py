@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.text_jobs", "operators.records", "operators.merge", "operators.telemetry")
+MODULES = ("operators.text_jobs", "operators.records", "operators.merge", "operators.telemetry", "operators.expand", "operators.cache")
 
 
 def queries() -> dict:
