@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from ..sources.tables import table
 
-_BY = Window.partitionBy("service").orderBy("ts", "id")
+
+def _by():
+    return Window.partitionBy("service").orderBy("ts", "id")
 
 
 def checks(events: DataFrame, failure: str = "error") -> DataFrame:
@@ -19,10 +21,10 @@ def checks(events: DataFrame, failure: str = "error") -> DataFrame:
 def health(c: DataFrame, rolling: int = 20, slow: float = 1000.0) -> DataFrame:
     """Rolling mean, status, failures in a row and last healthy time at each check."""
     status = F.when(~F.col("ok"), "UNHEALTHY").when(F.col("ms") < slow, "HEALTHY").otherwise("DEGRADED")
-    island = F.sum(F.col("ok").cast("int")).over(_BY)
-    out = c.withColumns({"rolling_ms": F.avg("ms").over(_BY.rowsBetween(1 - rolling, 0)), "status": status, "island": island})
+    island = F.sum(F.col("ok").cast("int")).over(_by())
+    out = c.withColumns({"rolling_ms": F.avg("ms").over(_by().rowsBetween(1 - rolling, 0)), "status": status, "island": island})
     streak = Window.partitionBy("service", "island").orderBy("ts", "id")
-    return out.withColumns({"failures": F.sum((~F.col("ok")).cast("int")).over(streak), "last_healthy": F.last(F.when(F.col("ok"), F.col("ts")), True).over(_BY)}).drop("island")
+    return out.withColumns({"failures": F.sum((~F.col("ok")).cast("int")).over(streak), "last_healthy": F.last(F.when(F.col("ok"), F.col("ts")), True).over(_by())}).drop("island")
 
 
 def alerts(h: DataFrame, failures: int = 3, slow: float = 2000.0) -> DataFrame:
