@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.text_jobs", "operators.records", "operators.merge", "operators.telemetry", "operators.expand", "operators.cache", "operators.questions", "operators.detect", "plans.queries")
+MODULES = ("operators.text_jobs", "operators.records", "operators.merge", "operators.telemetry", "operators.expand", "operators.cache", "operators.questions", "operators.detect", "operators.search", "plans.queries")
 
 
 def queries() -> dict:
