@@ -74,7 +74,7 @@ def log(s, d) -> DataFrame:
     """Texts of users; the synthetic log has few questions, so a prefix by turn makes every kind of them."""
     t = table(s, d, "conversations").where("role = 'user'")
     lead = F.element_at(F.array(*map(F.lit, LEADS)), (F.pmod("turn", F.lit(len(LEADS))) + 1).cast("int"))
-    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(lead, F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")).alias("text"))
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(lead, F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
 LEADS = ("suggest 5 movies best sci-fi ", "", "find movies with ", "tell me about x in ", "compare ", "why is ", "what is ", "Plain details ")
@@ -88,7 +88,7 @@ def _expansions(s, d) -> DataFrame:
     return top_per_group(n, ["term"], [F.col("n").desc(), "expansion"], 3).select("term", "rank", "expansion")
 
 
-LOG = f"(SELECT conv_id * 1000 + turn AS query_id, ({list(LEADS)})[(turn % {len(LEADS)} + 1)::INT] || regexp_replace(text[1:60], '\\s+', ' ', 'g') AS text FROM conversations WHERE role = 'user')"
+LOG = f"(SELECT conv_id * 1000 + turn AS query_id, ({list(LEADS)})[(turn % {len(LEADS)} + 1)::INT] || regexp_replace(text, '\\s+', ' ', 'g') AS text FROM conversations WHERE role = 'user')"
 _ANY = lambda words: " OR ".join(f"contains(t, '{w}')" for w in words)
 _INTENT = "CASE " + " ".join(f"WHEN {_ANY(w)} THEN '{n}'" for n, w in INTENTS) + " ELSE 'search' END"
 _QUESTION = "(contains(trim(t), '?') OR regexp_matches(trim(t), '^(?:" + "|".join(STARTERS) + ")'))"

@@ -156,24 +156,24 @@ _FIRST = "SELECT o_custkey, min(o_orderkey) FILTER (o_orderpriority = '1-URGENT'
 
 
 def _page_profile(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "url", F.substring("html", 1, 120).alias("head"), F.length("html").alias("size"), F.md5("html").alias("etag"), F.lit(None).cast("string").alias("none"))
+    p = table(spark, sf, "pages").select("page_id", "url", F.col("html").alias("head"), F.length("html").alias("size"), F.md5("html").alias("etag"), F.lit(None).cast("string").alias("none"))
     return profile(p, "page_id")
 
 
 _PROFILE = """SELECT entity, field, value, kind AS field_type, CASE kind WHEN 'TEXT_CONTENT' THEN CASE WHEN length(value) > 200 THEN 1.0 WHEN length(value) > 100 THEN 0.8 WHEN length(value) > 30 THEN 0.6 ELSE 0.3 END WHEN 'IDENTIFIERS' THEN 0.0 ELSE 0.3 END::DOUBLE AS weight, kind = 'TEXT_CONTENT' AS expandable
 FROM (SELECT *, CASE WHEN length(value) >= 10 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) > 0.5 * length(replace(value, ' ', '')) THEN 'TEXT_CONTENT' WHEN regexp_matches(value, '^[0-9.,]+$') THEN 'METADATA' WHEN regexp_matches(value, '^(?:https?://|ftp://|www\\.|mailto:)') OR regexp_matches(value, '^[0-9a-fA-F]{17,}$') THEN 'IDENTIFIERS' ELSE 'UNKNOWN' END AS kind
-FROM (SELECT page_id AS entity, unnest(['url', 'head', 'size', 'etag']) AS field, unnest([url, html[1:120], length(html)::VARCHAR, md5(html)]) AS value FROM pages) WHERE value <> '')"""
+FROM (SELECT page_id AS entity, unnest(['url', 'head', 'size', 'etag']) AS field, unnest([url, html, length(html)::VARCHAR, md5(html)]) AS value FROM pages) WHERE value <> '')"""
 _SUMMARY = f"SELECT entity, count(*) AS total, count(*) FILTER (field_type = 'TEXT_CONTENT') AS text_content, count(*) FILTER (field_type = 'METADATA') AS metadata, count(*) FILTER (field_type = 'IDENTIFIERS') AS identifiers, count(*) FILTER (field_type = 'UNKNOWN') AS unknown, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (field_type = 'UNKNOWN'), '') AS unknown_fields FROM ({_PROFILE}) GROUP BY 1"
 
 
 def _upsert(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value"))
-    return upsert(o.where("version % 2 = 0").groupBy("id").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value")), o.where("version % 3 = 0"), "id", "version")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("value"), F.col("o_orderstatus").alias("status"))
+    return upsert(o.where("status = 'F'").drop("status").groupBy("id").agg(F.max("version").alias("version"), F.max_by("value", "version").alias("value")), o.where("status <> 'F'").drop("status"), "id", "version")
 
 
 QUERIES = {
     "a2_catalog_pull": lambda s, d: latest(table(s, d, "orders"), ["o_orderkey", "o_totalprice"], "o_orderkey", 50, o_orderstatus="F"),
-    "a2_name_search": lambda s, d: table(s, d, "part").join(F.broadcast(table(s, d, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("term"))), F.lower("p_name").contains(F.col("term"))).select("p_partkey", "p_name", "term"),
+    "a2_name_search": lambda s, d: table(s, d, "part").join(F.broadcast(table(s, d, "region").select(F.lower(F.substring("r_name", 2, 2)).alias("term"))), F.lower("p_name").contains(F.col("term"))).select("p_partkey", "p_name", "term"),
     "a3_upsert": _upsert,
     "a5_ingest_summary": lambda s, d: table(s, d, "part").withColumn("e", constraint_errors(PART_RULES)).agg(F.count("*").alias("processed"), F.count_if(F.size("e") == 0).alias("accepted"), F.count_if(F.size("e") > 0).alias("rejected")),
     "a7_json_output": lambda s, d: as_json(table(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("p_brand"))),
@@ -193,8 +193,8 @@ QUERIES = {
 }
 ORACLES = {
     "a2_catalog_pull": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC LIMIT 50",
-    "a2_name_search": "SELECT p_partkey, p_name, term FROM part JOIN (SELECT lower(r_name[1:2]) AS term FROM region) ON contains(lower(p_name), term)",
-    "a3_upsert": "WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, o_totalprice AS value FROM orders), t AS (SELECT id, max(version) AS version, max_by(value, version) AS value FROM o WHERE version % 2 = 0 GROUP BY 1), c AS (SELECT id, max(version) AS version, max_by(value, version) AS value FROM o WHERE version % 3 = 0 GROUP BY 1) SELECT * FROM t WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM c",
+    "a2_name_search": "SELECT p_partkey, p_name, term FROM part JOIN (SELECT lower(r_name[2:3]) AS term FROM region) ON contains(lower(p_name), term)",
+    "a3_upsert": "WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, o_totalprice AS value, o_orderstatus AS status FROM orders), t AS (SELECT id, max(version) AS version, max_by(value, version) AS value FROM o WHERE status = 'F' GROUP BY 1), c AS (SELECT id, max(version) AS version, max_by(value, version) AS value FROM o WHERE status <> 'F' GROUP BY 1) SELECT * FROM t WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM c",
     "a5_ingest_summary": f"SELECT count(*) AS processed, count(*) FILTER (e = '') AS accepted, count(*) FILTER (e <> '') AS rejected FROM (SELECT {_ERRORS} AS e FROM part)",
     "a7_json_output": "SELECT CASE WHEN p_size > 25 THEN '{\"p_partkey\":' || p_partkey || ',\"p_brand\":\"' || p_brand || '\"}' ELSE '{\"p_partkey\":' || p_partkey || '}' END AS json FROM part",
     "a8_verify": "SELECT lang, count(*) AS total, count(*) FILTER (doc_id % 2 = 0) AS enriched FROM documents GROUP BY 1",

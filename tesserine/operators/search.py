@@ -81,7 +81,7 @@ def _index(s, d):
 
 
 def _words(s, d):
-    v = table(s, d, "embeddings").where("vec_id % 25 = 0").select("vec_id")
+    v = table(s, d, "embeddings").where("vec_id % 20 = 0").select("vec_id")
     return v.select(F.col("vec_id").alias("concept"), F.explode(F.array(F.col("vec_id"), F.col("vec_id") + 1, F.col("vec_id") + 100_000_000)).alias("word"))
 
 
@@ -93,7 +93,7 @@ def _terms(s, d):
 _REL = "CASE WHEN contains(concept, term) OR contains(term, concept) THEN 1.5 WHEN " + " OR ".join(f"(contains(concept, '{k}') AND term IN {w})" for k, w in SYNONYMS.items()) + " THEN 1.3 WHEN " + " OR ".join(f"contains(term, '{w}')" for w in TIME_WORDS) + " THEN 1.2 ELSE 1.0 END::DOUBLE"
 _TERMS = "(SELECT p_partkey, p_partkey % 12 AS pos, ['recent movie', 'classic cinema', 'modern'][p_partkey % 3 + 1] AS concept, lower(['new', 'vintage', 'golden era of film', p_name, 'recent'][p_size % 5 + 1]) AS term FROM part)"
 _UNIT = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS u FROM (SELECT *, sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings))"
-_WORDS = "(SELECT vec_id AS concept, unnest([vec_id, vec_id + 1, vec_id + 100000000]) AS word FROM embeddings WHERE vec_id % 25 = 0)"
+_WORDS = "(SELECT vec_id AS concept, unnest([vec_id, vec_id + 1, vec_id + 100000000]) AS word FROM embeddings WHERE vec_id % 20 = 0)"
 _INDEX = f"(SELECT doc_id, keyword AS token, sum(w) AS weight FROM (SELECT doc_id, keyword, 1.0::DOUBLE AS w FROM ({concepts_sql('doc_id', 'text', most=1000)}) UNION ALL SELECT doc_id, keyword, 2.0::DOUBLE FROM ({concepts_sql('doc_id', 'source', most=1000)})) GROUP BY 1, 2)"
 
 QUERIES = {
