@@ -11,6 +11,7 @@ as a whole, unless the vocabulary drops white space anyway.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -23,6 +24,9 @@ TOGETHER = 64
 _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 
+#: Letters and then ASCII marks; not the apostrophe, which may belong to a contraction.
+MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -35,8 +39,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.feed, *marks = self._library(["\n", ".", ","])
-        self.marks = dict(zip(".,", marks))
+        self.feed = self._library(["\n"])[0]
+        self.marks: dict[str, bytes] = {}  # ids of runs of marks that follow a word
         self.drops_space = not self.feed
         #: Ids of pieces, with the space or line feed before them; a space is not part of the key.
         self.known: dict[str, bytes | bool] = {}
@@ -46,13 +50,17 @@ class Encoder:
 
     def _words(self, texts: list[str]) -> list[bytes]:
         """As _library, for pieces; a run of Latin letters is one word, which the library's model takes as it is."""
-        tokenize, out = self.library.model.tokenize, []
+        tokenize, out, other = self.library.model.tokenize, [], []
         for t in texts:
             word = t[1:] if t[:1] == " " else t
             if word.isalpha() and max(word) <= "\xff" and (not self.drops_space or word.islower()):
                 out.append(array("I", [x.id for x in tokenize(t.encode().decode("latin-1").translate(BYTES))]).tobytes())
             else:
-                out.append(self._library([t])[0])
+                other.append(len(out))
+                out.append(b"")
+        if other:
+            for i, ids in zip(other, self._library([texts[i] for i in other])):
+                out[i] = ids
         return out
 
     def _learn(self, pieces: set[str]) -> None:
@@ -65,8 +73,13 @@ class Encoder:
             if not self.drops_space and (not core or core[0].isspace() or core[-1].isspace()):
                 known[p] = False
                 continue
-            if core[-1:] in self.marks and core[:-1].isalpha():  # letters and a mark are separate words
-                core, after = core[:-1], self.marks[core[-1]]
+            if split := MARKED.fullmatch(core):  # letters and marks are separate words
+                core, marks = split.groups()
+                if marks not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[marks] = self._library([marks])[0]
+                after = self.marks[marks]
                 if p[:1] != "\n" and known.get(core):
                     known[p] = known[core] + after
                     continue

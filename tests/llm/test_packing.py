@@ -38,7 +38,7 @@ def test_near_the_bound_on_many_pieces():
 
 
 def test_pieces_encode_as_whole_texts():
-    texts = ["a b", "", None, " x", "a  b", "a\nb.\n\nc", "x.\n", "é. à, foo,\nBar. baz", "<|endoftext|> a", "it's, 12, a.b", "́ a\ta", "  x y z", "日本 語。 x", "A,, b.. C.,"]
+    texts = ["a b", "", None, " x", "a  b", "a\nb.\n\nc", "x.\n", "é. à, foo,\nBar. baz", "<|endoftext|> a", "it's, 12, a.b", "́ a\ta", "  x y z", "日本 語。 x", "A,, b.. C.,", "word### x%%% Y!! a_b don't. can't!! x's z'### q-r (s) t2! naïve*** ß,", "ONE!! TWO!!\nThree&&& four"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = Encoder(vocabulary(name))
         for _ in range(2):
