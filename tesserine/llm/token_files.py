@@ -57,9 +57,12 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if ids.max() >= U(1 << 60):
         raise ValueError("ids must be below 2**60")
     padded = np.concatenate((ids, np.zeros(COUNTS[0], U)))
+    narrow = padded.astype(np.uint32) if ids.max() < U(1 << 32) else padded  # cheaper to compare
     chosen = np.full(n, 15, np.int8)  # of a word that starts here: the first selector that fits
     for s in range(14, -1, -1):
-        wide = np.cumsum(np.concatenate(([0], padded >= U(1 << BITS[s]))))
+        wide = np.zeros(len(padded) + 1, np.int32)
+        if BITS[s] < 32 or narrow is padded:
+            np.cumsum(narrow >= narrow.dtype.type(1 << BITS[s]), out=wide[1:])
         fits = wide[COUNTS[s] : COUNTS[s] + n] == wide[:n]
         if s < 2:
             fits[max(0, n - COUNTS[s] + 1) :] = False  # runs of zeros are whole
@@ -113,7 +116,7 @@ def blocks(content: bytes) -> Iterator[tuple[list[int | None], list[np.ndarray]]
         if magic != MAGIC:
             raise ValueError(f"no block at byte {at}")
         table = list(struct.iter_unpack("<qBQ", content[at + 24 : at + offset]))
-        ids = unpack(np.frombuffer(content, "<u8", words, at + offset), n)
+        ids = unpack(np.frombuffer(content, "<u8", words, at + offset), n).astype("<u4")
         ends = np.cumsum([k for _, _, k in table])
         yield [None if null else d for d, null, _ in table], np.split(ids, ends[:-1])
         at += offset + 8 * words + len(SEPARATOR)
@@ -160,11 +163,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, content in zip(column(b, "path"), column(b, "content")):
                 at, number = 0, int(file.rsplit("/part-", 1)[1].split("-", 1)[0])
-                for doc_ids, ids in blocks(content):
+                for doc_ids, ids in blocks(content):  # ids as unsigned 32-bit numbers
                     sizes = np.array([len(i) for i in ids], np.int64)
                     starts = at + np.cumsum(sizes) - sizes
                     at += int(sizes.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(i) for i in ids], pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = written(read_files(spark, path).mapInArrow(decoded, "file long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
