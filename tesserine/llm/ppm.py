@@ -10,12 +10,14 @@ seen, all alike.  A document's score is the sum over its bytes and one end
 
 With whole counts a context's followers are a subset of its suffix's, so what
 must be excluded at a level is known from the level above: its mass is stored
-with the context.  The trie travels to the executors, so it has a bound of
-nodes: contexts of three bytes or more keep the followers seen at least as often
-as the smallest count with which all of them fit.  (With text it stays far below
-the bound for a long time.)
-
-The base score needs the counts of all words.  Documents are taken in blocks;
+with the context.  The trie is a table in parts by the last two bytes of the
+context, so that all longer contexts with the same end are in one part, whole;
+only the followers of contexts of no and one byte, 2**16 at most, travel.
+Documents are taken in blocks; each part gets the distinct contexts and bytes of
+all blocks that end so, and answers each block with their scores.  Nothing is
+dropped at any size and the trie is never in one place.
+
+The base score needs the counts of all words in the same way:
 distinct words of blocks and their counts travel as sorted hashes by slice of
 the hash range, each slice adds them up and answers each block with the totals.
 So neither vocabulary nor documents are ever in one place.  Words are told apart
@@ -35,7 +37,7 @@ from .shared import dropped, written
 from .textbytes import LOWER, SOLID, U, chunks, column, mixed, word_hashes
 
 ORDER = 5
-#: Nodes of the trie, at most.
+#: Nodes of a trie that train() returns, at most. Documents are scored without it.
 MAX_NODES = 4_000_000
 #: Parts that add up contexts, at least, and bytes of text that one part more serves.
 SLICES, SLICE_BYTES = 64, 16 << 20
@@ -60,6 +62,12 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at], first
 
 
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end of each text, and the text each belongs to."""
+    h, at = word_hashes(texts, SOLID)
+    return np.insert(h, at[1:], END), np.repeat(np.arange(len(texts)), np.diff(at) + 1)
+
+
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -150,8 +158,34 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def train(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> Trie:
-    """The trie of all texts of docs."""
+def _packed(data: bytes) -> bytes:
+    """Compressed bytes after their number: what blocks and parts send each other is larger than the texts."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending contexts and bytes, byte by byte of all of them."""
+    return _packed(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes())
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpacked(data), np.uint8).reshape(ORDER + 1, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : ORDER + 1] = planes.T
+    return out.view("<u8").ravel()
+
+
+def part_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The part of the trie that each context and byte belongs to: by the last two bytes before."""
+    return (mixed((keys >> U(8)) & U(0xFFFF)) % U(slices)).astype(np.int64)
+
+
+def trie_table(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> DataFrame:
+    """part, level, keys, counts for the whole trie of all texts of docs: followers of contexts of `level` bytes; those of one byte are sums of the part only."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
@@ -166,25 +200,52 @@ def train(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> Trie
                     keys, counts, size = [k], [c], len(k) // 2
         if keys:
             k, c = added(np.concatenate(keys), np.concatenate(counts))
-            part = (mixed((k >> U(8)) & U(0xFFFF)) % U(slices)).astype(np.int64)  # by the last two bytes before
+            part = part_of(k, slices)
             order = np.argsort(part, kind="stable")
             k, c, cut = k[order], c[order], np.searchsorted(part[order], np.arange(slices + 1))
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([_blob(k[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([_blob(c[a:b].astype(np.int64)) for a, b in zip(cut, cut[1:])], pa.binary())], names=["part", "keys", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
-        """Followers of contexts of 2 to ORDER bytes; all of a context of two bytes are in one part."""
+        """Followers of contexts of 1 to ORDER bytes; all of a context of two bytes are in one part."""
         k, c = added(*(np.concatenate([np.frombuffer(x, t) for x in table[n].to_pylist()]) for n, t in (("keys", U), ("counts", np.int64))))
         rows = [(ORDER, k, c)]
-        for level in range(ORDER - 1, 1, -1):
+        for level in range(ORDER - 1, 0, -1):
             k, c = added(k & U((1 << (8 * (level + 1))) - 1), c)
             rows.append((level, k, c))
-        return pa.table({"level": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([_blob(r[1]) for r in rows], pa.binary()), "counts": pa.array([_blob(r[2]) for r in rows], pa.binary()), "seen": pa.array([np.bincount(np.minimum(r[2], SEEN), minlength=SEEN + 1).tolist() for r in rows], pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([table["part"][0].as_py()] * len(rows), pa.int32()), "level": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([_blob(r[1]) for r in rows], pa.binary()), "counts": pa.array([_blob(r[2]) for r in rows], pa.binary())})
 
-    spark = docs.sparkSession
     parts = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(counted, "part int, keys binary, counts binary")
-    parts = written(parts.groupBy("part").applyInArrow(summed, "level int, keys binary, counts binary, seen array<long>"), "trie")
+    return written(parts.groupBy("part").applyInArrow(summed, "part int, level int, keys binary, counts binary"), "trie")
+
+
+def shortest(parts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Followers of contexts of no and one byte in the whole trie: 2**16 at most."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, c in zip(column(b, "keys"), column(b, "counts")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, U).astype(np.int32)), pa.array(np.frombuffer(c, np.int64))], names=["key", "n"])
+
+    rows = parts.where("level = 1").select("keys", "counts").mapInArrow(opened, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    one = added(np.array([r["key"] for r in rows], U), np.array([r["n"] for r in rows], np.int64))
+    return [added(one[0] & U(0xFF), one[1]), one]
+
+
+def train(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> Trie:
+    """A trie of the texts of docs in one place, of MAX_NODES nodes above order 2 at most: the smallest count that fits decides."""
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SEEN + 1, np.int64)
+        for b in batches:
+            for c in column(b, "counts"):
+                seen += np.bincount(np.minimum(np.frombuffer(c, np.int64), SEEN), minlength=SEEN + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEEN + 1), pa.int32()), pa.array(seen)], names=["pos", "col"])
+
+    spark = docs.sparkSession
+    table = trie_table(docs, text_col, slices)
+    parts = table.where("level > 1")
     seen = np.zeros(SEEN + 1, np.int64)
-    for r in parts.where("level > 2").select(F.posexplode("seen")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # SEEN + 1 numbers
+    for r in parts.where("level > 2").select("counts").mapInArrow(histogram, "pos int, col long").groupBy("pos").agg(F.sum("col").alias("n")).collect():  # SEEN + 1 numbers
         seen[r["pos"]] = r["n"]
     room = np.cumsum(seen[::-1])[::-1]  # nodes seen so often or more
     least = int(np.argmax(room <= MAX_NODES)) if room[-1] <= MAX_NODES else SEEN
@@ -202,7 +263,7 @@ def train(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> Trie
     levels: list[list] = [[] for _ in range(ORDER + 1)]
     for r in parts.select("level", "keys", "counts").mapInArrow(kept, "level int, keys binary, counts binary").collect():  # at most MAX_NODES and 2**24 short ones
         levels[r["level"]].append((np.frombuffer(r["keys"], U), np.frombuffer(r["counts"], np.int64)))
-    dropped(spark, parts)
+    dropped(spark, table)
     none = np.zeros(0, U), np.zeros(0, np.int64)
     done = [added(*(np.concatenate(x) for x in zip(*level))) if level else none for level in levels[2:]]
     one = added(done[0][0] & U(0xFFFF), done[0][1])
@@ -223,53 +284,70 @@ def score_documents(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("binary").alias("__text"))
     slices = max(SLICES, (rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // SLICE_BYTES)
-    sent = spark.sparkContext.broadcast(train(rows.where("learn"), "__text", slices))
+    parts = trie_table(rows.where("learn"), "__text", slices)
+    sent = spark.sparkContext.broadcast(shortest(parts))
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trie, task, nth = sent.value, TaskContext.get().partitionId(), 0
-        ids, learned, scores, words, counts, size = [], [], [], [], [], 0
+        task, nth = TaskContext.get().partitionId(), 0
+        ids, learned, kept, words, seen, keys, size = [], [], [], [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            h = np.concatenate(words)
-            n = np.concatenate(counts)
-            owner = np.repeat(np.arange(len(n)), n)
-            keys, key = np.unique(h, return_inverse=True)
-            seen = np.bincount(key, np.array(learned)[owner], len(keys)).astype(np.int64)
-            pair, tf = np.unique(owner * len(keys) + key, return_counts=True)
-            cut = np.searchsorted(((keys >> U(32)) * U(slices)) >> U(32), np.arange(slices + 1, dtype=U))
-            full = np.flatnonzero(np.diff(cut))
-            block = (task << 32) + nth
-            none = [None] * len(full)
-            docs_row = [ids, learned, n.tolist(), np.concatenate(scores).tolist(), _blob((pair // len(keys)).astype("<u4")), _blob((pair % len(keys)).astype("<u4")), _blob(tf.astype("<u4"))]
-            types = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-            columns = [pa.array([block] * (len(full) + 1), pa.int64()), pa.array([-1, *full.tolist()], pa.int32())]
-            columns += [pa.array([None, *(_blob(keys[cut[s] : cut[s + 1]]) for s in full)], pa.binary()), pa.array([None, *(_blob(seen[cut[s] : cut[s + 1]].astype("<u4")) for s in full)], pa.binary())]
-            columns += [pa.array([v, *none], t) for v, t in zip(docs_row, types)]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "slice", "keys", "seen", "ids", "learned", "n", "scores", "owner", "key", "tf"])
+            word, n = added(np.concatenate(words), np.concatenate(seen))
+            word_cut = np.searchsorted(((word >> U(32)) * U(slices)) >> U(32), np.arange(slices + 1, dtype=U))
+            key, key_cut = dealt(np.unique(np.concatenate(keys)))
+            full, ends = np.flatnonzero(np.diff(word_cut)).tolist(), np.flatnonzero(np.diff(key_cut)).tolist()
+            out = {"block": [(task << 32) + nth] * (1 + len(full) + len(ends)), "slice": [-1, *full, *[None] * len(ends)], "part": [None] * (1 + len(full)) + ends}
+            out["keys"] = [None, *(_blob(word[word_cut[x] : word_cut[x + 1]]) for x in full), *(_packed_keys(key[key_cut[x] : key_cut[x + 1]]) for x in ends)]
+            out["seen"] = [None, *(_blob(n[word_cut[x] : word_cut[x + 1]].astype("<u4")) for x in full), *[None] * len(ends)]
+            out |= {c: [v, *[None] * (len(full) + len(ends))] for c, v in (("ids", ids), ("learned", learned), ("lengths", list(map(len, kept))), ("texts", _packed(b"".join(kept))))}
+            types = {"block": pa.int64(), "slice": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "seen": pa.binary(), "ids": pa.list_(pa.int64()), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "texts": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in types.items()], names=list(types))
 
         for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             got_ids, got_learn, texts = column(b, "id"), column(b, "learn"), column(b, "__text")
             for i, run in chunks(texts, CHUNK):
-                key, first = contexts(run)
-                scores.append(np.add.reduceat(trie.score(key), first[:-1]))
-                h, at = word_hashes(run, SOLID)
-                words.append(np.insert(h, at[1:], END))
-                counts.append(np.diff(at) + 1)
+                key = contexts(run)[0]
+                keys.append(np.unique(key))
+                h, owner = tokens(run)
+                word, back = np.unique(h, return_inverse=True)
+                words.append(word)
+                seen.append(np.bincount(back, np.array(got_learn[i : i + len(run)])[owner], len(word)).astype(np.int64))
                 ids += got_ids[i : i + len(run)]
                 learned += got_learn[i : i + len(run)]
+                kept += run
                 size += len(key)
                 if size >= BLOCK:
                     yield made()
                     pa.default_memory_pool().release_unused()
-                    ids, learned, scores, words, counts, size, nth = [], [], [], [], [], 0, nth + 1
+                    ids, learned, kept, words, seen, keys, size, nth = [], [], [], [], [], [], 0, nth + 1
         if ids:
             yield made()
 
-    schema = "block long, slice int, keys binary, seen binary, ids array<long>, learned array<boolean>, n array<long>, scores array<double>, owner binary, key binary, tf binary"
+    def dealt(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct contexts and bytes by part of the trie, and where each part begins (one entry more: their number)."""
+        part = part_of(keys, slices)
+        order = np.argsort(part, kind="stable")
+        return keys[order], np.searchsorted(part[order], np.arange(slices + 1))
+
+    schema = "block long, slice int, part int, keys binary, seen binary, ids array<long>, learned array<boolean>, lengths array<long>, texts binary"
     blocks = written(rows.mapInArrow(blocked, schema), "word-blocks")
 
+    def scored(table: pa.Table) -> pa.Table:
+        """The scores of each block's contexts and bytes that belong to a part of the trie."""
+        held = {level: (np.frombuffer(k, U), np.frombuffer(c, np.int64)) for level, k, c in zip(*(table[c].to_pylist() for c in ("level", "keys", "counts"))) if level is not None and level > 1}
+        none = np.zeros(0, U), np.zeros(0, np.int64)
+        trie = Trie([*sent.value, *(held.get(level, none) for level in range(2, ORDER + 1))])
+        asked = [(block, k) for block, k in zip(table["block"].to_pylist(), table["keys"].to_pylist()) if block is not None]
+        scores = [_packed(_blob(trie.score(_unpacked_keys(k)))) for _, k in asked]
+        return pa.table({"block": pa.array([block for block, _ in asked], pa.int64()), "part": pa.array([table["part"][0].as_py()] * len(asked), pa.int32()), "scores": pa.array(scores, pa.binary())})
+
+    asked = blocks.where("part is not null").select("part", F.lit(None).cast("int").alias("level"), "keys", F.lit(None).cast("binary").alias("counts"), "block")
+    known = parts.where("level > 1").select("part", "level", "keys", "counts", F.lit(None).cast("long").alias("block"))
+    scores = written(asked.unionByName(known).groupBy("part").applyInArrow(scored, "block long, part int, scores binary"), "context-scores")
+    dropped(spark, parts)
+
     def totals(table: pa.Table) -> pa.Table:
         """The counts over all blocks of each block's words, and in a row of block -1 the sums of the slice."""
         keys = [np.frombuffer(k, U) for k in table["keys"].to_pylist()]
@@ -285,14 +363,30 @@ def score_documents(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", te
         rows = table.to_pylist()
         mine = next(r for r in rows if r["ids"] is not None)
         c = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted((r for r in rows if r["counts"] is not None), key=lambda r: r["slice"])])
-        owner, key, tf = (np.frombuffer(mine[x], "<u4").astype(np.int64) for x in ("owner", "key", "tf"))
-        n = np.array(mine["n"], np.int64)
-        base = np.bincount(owner, tf * np.log10(c[key] + 1.0), len(n)) - n * np.log10(n_tokens + n_distinct + 1.0)
-        known = np.bincount(owner, tf * (c[key] > 0), len(n)).astype(np.int64)
-        return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "learned": pa.array(mine["learned"], pa.bool_()), "n_tokens": n, "n_known": known, "train_tokens": pa.array([n_tokens] * len(n), pa.int64()), "base_score": base, "score": pa.array(mine["scores"], pa.float64())})
-
-    wanted = ["block", "slice", "ids", "learned", "n", "scores", "owner", "key", "tf"]
-    both = blocks.where("slice < 0").select(*wanted, F.lit(None).cast("binary").alias("counts")).unionByName(answers.where("block >= 0").select("block", "slice", "counts"), allowMissingColumns=True)
+        logp = np.concatenate([np.frombuffer(_unpacked(r["scores"]), np.float64) for r in sorted((r for r in rows if r["scores"] is not None), key=lambda r: r["part"])])
+        texts, at = _unpacked(mine["texts"]), np.concatenate(([0], np.cumsum(mine["lengths"]))).tolist()
+        runs = [run for _, run in chunks([texts[a:b] for a, b in zip(at, at[1:])], CHUNK)]
+        word = np.unique(np.concatenate([np.unique(tokens(run)[0]) for run in runs]))
+        key = np.unique(np.concatenate([np.unique(contexts(run)[0]) for run in runs]))
+        logp = logp[np.argsort(np.argsort(part_of(key, slices), kind="stable"), kind="stable")]  # back from the order of parts
+        n, base, known, score = [], [], [], []
+        for run in runs:
+            h, owner = tokens(run)
+            some, back = np.unique(h, return_inverse=True)
+            total = c[np.searchsorted(word, some)]
+            n.append(np.bincount(owner, minlength=len(run)))
+            base.append(np.bincount(owner, np.log10(total + 1.0)[back], len(run)))
+            known.append(np.bincount(owner, (total > 0)[back], len(run)))
+            each, first = contexts(run)
+            some, back = np.unique(each, return_inverse=True)
+            score.append(np.add.reduceat(logp[np.searchsorted(key, some)][back], first[:-1]))
+        n = np.concatenate(n).astype(np.int64)
+        base = np.concatenate(base) - n * np.log10(n_tokens + n_distinct + 1.0)
+        return pa.table({"doc_id": pa.array(mine["ids"], pa.int64()), "learned": pa.array(mine["learned"], pa.bool_()), "n_tokens": n, "n_known": np.concatenate(known).astype(np.int64), "train_tokens": pa.array([n_tokens] * len(n), pa.int64()), "base_score": base, "score": np.concatenate(score)})
+
+    none = F.lit(None)
+    both = blocks.where("slice = -1").select("block", none.cast("int").alias("slice"), none.cast("int").alias("part"), "ids", "learned", "lengths", "texts", none.cast("binary").alias("counts"), none.cast("binary").alias("scores"))
+    both = both.unionByName(answers.where("block >= 0").select("block", "slice", "counts"), allowMissingColumns=True).unionByName(scores, allowMissingColumns=True)
     return both.groupBy("block").applyInArrow(finished, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

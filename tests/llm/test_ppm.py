@@ -97,3 +97,12 @@ def test_whole_table(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     assert all(r.held_out == held(r.doc_id) for r in rows)
     check(rows, docs, lambda i: not held(i))
+
+
+def test_scores_do_not_depend_on_a_bound_of_nodes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(p, "MAX_NODES", 20)
+    docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the hog sat"] * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(p.score_documents(df, F.col("doc_id") % 3 != 0).collect(), docs, lambda i: i % 3 != 0)
