@@ -4,7 +4,10 @@ A record is one gzip member, so damage to one does not reach the next.  The
 reader goes on after a failed check (a member that doesn't inflate, a header
 that doesn't parse, a block that isn't followed by its end, a payload whose
 digest differs) at the next gzip member or version line that reads well, and
-reports the bytes in between as a gap.
+reports the bytes in between as a gap.  Within a member it goes on at the next
+version line of the content.  Of a member that doesn't inflate to its end, what
+did inflate is read; if it is corrupt and not just cut off, only records whose
+payload has the digest that they name are kept, since any byte may be wrong.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ SEPARATOR = gzip.compress(b"", mtime=0)
 #: Fixed values of the format.
 MEMBER, VERSION, PROFILE = b"\x1f\x8b\x08", b"WARC/1.", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _STEP = 1 << 16
 
 
@@ -66,7 +70,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Header, payload and end of the record at a place; Damage if any check fails."""
     if data[at : at + 7] != VERSION:
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damage("no end of header")
     head = {}
@@ -89,50 +93,89 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, payload, stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at a place; Damage if it doesn't inflate to its end."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at a place, and what is wrong with it; if anything is, what inflates and where that ends."""
     inflater, parts, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
         while not inflater.eof and pos < len(data):
             parts.append(inflater.decompress(view[pos : pos + _STEP]))
             pos += _STEP
     except zlib.error as e:
-        raise Damage(f"member: {e}") from None
+        # The failed call returns nothing: again up to its bytes, and these one by one.
+        inflater = zlib.decompressobj(31)
+        for k in range(at, pos, _STEP):
+            inflater.decompress(view[k : k + _STEP])
+        try:
+            while True:
+                parts.append(inflater.decompress(view[pos : pos + 1]))
+                pos += 1
+        except zlib.error:
+            return b"".join(parts), pos, f"member: {e}"
     if not inflater.eof:
-        raise Damage("member is cut off")
-    return b"".join(parts), min(pos, len(data)) - len(inflater.unused_data)
+        return b"".join(parts), len(data), "member is cut off"
+    return b"".join(parts), min(pos, len(data)) - len(inflater.unused_data), ""
+
+
+def _content(inner: bytes) -> tuple[list[tuple[dict, bytes]], str]:
+    """The records in the content of a member, and the first thing that is wrong with it."""
+    found, pos, why = [], 0, ""
+    while pos < len(inner):
+        try:
+            head, payload, pos = _parse(inner, pos)
+            found.append((head, payload))
+        except Damage as e:
+            why = why or str(e)
+            nearest = _LINE.search(inner, pos + 1)
+            pos = nearest.start() if nearest else len(inner)
+    return found, why
+
+
+def _digested(head: dict) -> bool:
+    """Whether the payload of a record that was read has been compared with a digest."""
+    return head.get("warc-type") == "response" and head.get("warc-payload-digest", "").startswith("sha1:")
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
     """Of a file, in order: ("record", offset, length, header, payload) and ("gap", offset, length, reason, b"").
 
-    Offsets are those of the file; a record within a member has the member's.
+    Offsets are those of the file; a record within a member has the member's,
+    and so has a gap within a member that inflates.  The gap of a member that
+    doesn't begins at the last byte before its end or the next member.
     """
-    at, gap, why = 0, None, ""
+    at, gap, why, covered = 0, None, "", 0
     while at < len(data):
-        found = []
-        try:
-            if data[at : at + 3] == MEMBER:
-                inner, end = _inflate(data, at)
-                pos = 0
-                while pos < len(inner):
-                    head, payload, pos = _parse(inner, pos)
-                    found.append((head, payload))
-            else:
+        found, broken, inside, end = [], "", "", at
+        if data[at : at + 3] == MEMBER:
+            inner, end, broken = _inflate(data, at)
+            found, inside = _content(inner)
+            if broken and broken != "member is cut off":
+                found = [r for r in found if _digested(r[0])]
+        else:
+            try:
                 head, payload, end = _parse(data, at)
                 found.append((head, payload))
-        except Damage as e:
-            if gap is None:
-                gap, why = at, str(e)
-            nearest = _NEXT.search(data, at + 1)
-            end = nearest.start() if nearest else len(data)
+            except Damage as e:
+                broken = str(e)
+        if broken:
+            if found:
+                covered = max(covered, end)  # version lines up to there are of content that has been read
+            after = next((m.start() for m in _NEXT.finditer(data, at + 1) if m.start() >= covered or m[0] == MEMBER), len(data))
+            last = min(end, after) - 1
         else:
+            after = last = end
+        if found or not (broken or inside):
             if gap is not None:
                 yield "gap", gap, at - gap, why, b""
                 gap = None
-        for head, payload in found:
-            yield "record", at, end - at, head, payload
-        at = end
+            for head, payload in found:
+                yield "record", at, last - at, head, payload
+            if broken:
+                gap, why = last, broken
+            elif inside:
+                yield "gap", at, end - at, inside, b""
+        elif gap is None:
+            gap, why = at, broken or inside
+        at = after
     if gap is not None:
         yield "gap", gap, len(data) - gap, why, b""
 

@@ -86,3 +86,44 @@ def test_any_flip_leaves_the_others():
 def test_whole_table(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     assert sorted((tuple(r) for r in w.op6_warc(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)
+
+
+def test_very_long_urls(spark):
+    cases = [(1, "data:text/html," + "a" * 70_000, "<p>1</p>"), (2, "http://b/?q=" + "é" * 300_000, "<p>2</p>"), (3, "u", "<p>1</p>")]
+    path = new_path(spark, "w")
+    w.write_archives(spark.createDataFrame(cases, "page_id long, url string, html string"), path)
+    rows = w.read_archives(spark, path).collect()
+    assert all(r.gap is None for r in rows)
+    assert sorted((r.page_id, r.url) for r in rows) == [c[:2] for c in cases]
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str) == brute(cases)
+
+
+def salvaged(data):
+    rows = list(w.salvage(data))
+    assert all(r[2] > 0 for r in rows)
+    return [int(r[3]["warc-record-id"][10:-1]) for r in rows if r[0] == "record"], sum(r[0] == "gap" for r in rows)
+
+
+def test_damage_within_a_member_leaves_its_other_records():
+    noise = random.Random(3)
+    records = [w.record(i, "u", b"text %d " % i + noise.randbytes(100_000), None) for i in range(5)]
+    assert salvaged(gzip.compress(b"".join(records), mtime=0)) == ([0, 1, 2, 3, 4], 0)
+    wrong = records[1].replace(b"text 1", b"text X")
+    one = gzip.compress(b"".join([records[0], wrong, *records[2:]]), mtime=0)
+    more = w.SEPARATOR + gzip.compress(w.record(9, "u", b"nine", None), mtime=0)
+    assert salvaged(one + more) == ([0, 2, 3, 4, 9], 1)
+    for level in (0, 6):
+        whole = gzip.compress(b"".join(records), level, mtime=0)
+        assert salvaged(whole[: int(len(whole) * 0.7)]) == ([0, 1, 2], 1)
+        assert salvaged(whole[:-4]) == ([0, 1, 2, 3, 4], 1)
+        cut = int(len(whole) * 0.7)
+        assert salvaged(whole[:cut] + more) == ([0, 1, 2, 9], 1)
+        flipped = bytearray(whole + more)
+        flipped[len(whole) - 6] ^= 255
+        assert salvaged(bytes(flipped)) == ([0, 1, 2, 3, 4, 9], 1)
+
+
+def test_corrupt_members_give_no_record_that_nothing_vouches_for():
+    data = bytearray(gzip.compress(w.record(1, "u", b"", 5), mtime=0))
+    data[-6] ^= 255
+    assert salvaged(bytes(data)) == ([], 1)
