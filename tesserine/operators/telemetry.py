@@ -67,25 +67,44 @@ def request_metrics(c: DataFrame) -> DataFrame:
     return c.agg(F.count("*").alias("total"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("success_rate"), F.round(F.avg("ms"), 4).alias("mean_ms"))
 
 
-def breaker(c: DataFrame, failures: int = 5, idle_s: int = 60) -> DataFrame:
-    """Circuit state after each check: failures in a row open it, the next check after an idle minute half-opens it, a success closes it."""
-
-    def replay(pdf):
-        states, state, run, last = [], "CLOSED", 0, None
-        pdf = pdf.sort_values(["ts", "id"])
-        for ts, ok in zip(pdf["ts"], pdf["ok"]):
-            if state == "OPEN" and (ts - last).total_seconds() >= idle_s:
-                state = "HALF_OPEN"
-            if ok:
-                state, run = "CLOSED", 0
-            else:
-                run, last = run + 1, ts
-                if state == "CLOSED" and run >= failures:
-                    state = "OPEN"
-            states.append(state)
-        return pdf.assign(state=states)[["service", "id", "state"]]
-
-    return c.select("service", "ts", "id", "ok").groupBy("service").applyInPandas(replay, "service long, id long, state string")
+def breaker(c: DataFrame, failures: int = 5, idle_s: int = 60, slice_s: int = 3600) -> DataFrame:
+    """Circuit state after each check: failures in a row open it, the next check after an idle minute half-opens it, a success closes it.
+
+    With the number of a failure in its run, the run is open from number
+    `failures` on, and half-open once an idle gap lies before a later one.
+    Checks are taken in slices of time of a service, so that a service with very
+    many is in many tasks; a row for each slice carries the run at its end (its
+    length, the number after its last idle gap and its time) to the next one.
+    """
+    order = [F.col("ts").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    ok, us = F.coalesce("ok", F.lit(False)), F.unix_micros("ts")
+    idle = lambda since: F.coalesce(us - since >= idle_s * 1_000_000, F.lit(False))
+    piece = Window.partitionBy("service", "slice").orderBy(*order)
+    run = Window.partitionBy("service", "slice", "island").orderBy(*order)
+    rows = c.select("service", "ts", "id", ok.alias("ok"), F.floor(us / (slice_s * 1_000_000)).alias("slice"))
+    rows = rows.withColumn("island", F.sum(F.col("ok").cast("int")).over(piece))
+    # A run within a slice: an island's failures follow its success, if it has one.
+    rows = rows.withColumns({"number": F.sum((~F.col("ok")).cast("int")).over(run), "since": F.lag(F.when(~F.col("ok"), us)).over(run)})
+    rows = rows.withColumn("gap", F.max(F.when(~F.col("ok") & idle(F.col("since")), F.col("number"))).over(run))
+
+    last = F.struct("island", "number", F.coalesce("gap", F.lit(0)).alias("gap"))
+    ends = rows.groupBy("service", "slice").agg(F.max(last).alias("x"), F.min(us).alias("first"), F.max(us).alias("last"))
+    ends = ends.select("service", "slice", F.col("x.island").alias("successes"), F.col("x.number").alias("tail"), F.nullif("x.gap", F.lit(0)).alias("tail_gap"), "first", "last")
+    slices = Window.partitionBy("service").orderBy(F.col("slice").asc_nulls_last())
+    ends = ends.withColumns({"stretch": F.sum((F.col("successes") > 0).cast("int")).over(slices), "before": F.lag("last").over(slices)})
+    stretch = Window.partitionBy("service", "stretch").orderBy(F.col("slice").asc_nulls_last())
+    ends = ends.withColumn("length", F.sum("tail").over(stretch)).withColumn("start", F.col("length") - F.col("tail"))
+    crossed = (F.col("successes") == 0) & (F.col("start") > 0) & F.coalesce(F.col("first") - F.col("before") >= idle_s * 1_000_000, F.lit(False))
+    ends = ends.withColumn("end_gap", F.max(F.col("start") + F.coalesce("tail_gap", F.when(crossed, 1))).over(stretch))
+    carried = ends.select(F.col("service").alias("s"), F.col("slice").alias("t"), "first", "before", F.coalesce(F.lag("length").over(slices), F.lit(0)).alias("run_before"), F.lag("end_gap").over(slices).alias("gap_before"))
+
+    joined = rows.join(carried, F.col("service").eqNullSafe(F.col("s")) & F.col("slice").eqNullSafe(F.col("t")))
+    goes_on = (F.col("island") == 0) & (F.col("run_before") > 0)
+    number = F.col("number") + F.when(goes_on, F.col("run_before")).otherwise(0)
+    first_gap = F.col("first") - F.col("before") >= idle_s * 1_000_000
+    gap = F.greatest(number - F.col("number") + F.col("gap"), F.when(goes_on, F.col("gap_before")), F.when(goes_on & first_gap, F.col("run_before") + 1))
+    state = F.when(F.col("ok") | (number < failures), "CLOSED").when(F.coalesce(gap > max(failures, 1), F.lit(False)), "HALF_OPEN").otherwise("OPEN")
+    return joined.select("service", "id", state.alias("state"))
 
 
 def windowed(c: DataFrame, length: str = "5 minutes", slide: str | None = None, *keys: str) -> DataFrame:
