@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import rule_table, table
 from .text_jobs import concepts_sql, top_per_group
 
 #: Field-name patterns of media types with weights, in order of the types; lexicons of tags; kinds by prefix.
@@ -18,10 +18,10 @@ LEXICON = {"genre": ("the", "and", "of"), "quality": ("is", "was", "are"), "temp
 def detect_by_patterns(keys: DataFrame, patterns: DataFrame, order: tuple[str, ...] = TYPES) -> DataFrame:
     """rec, media_type, score: the type whose patterns (matched at the start of any key) weigh most; ties by order of types.
 
-    Distinct keys are matched, not records; the rule table is small.
+    Distinct keys are matched, not records.
     """
     names = keys.select("key").distinct()
-    rules = F.broadcast(patterns.limit(1000).withColumn("pattern_id", F.monotonically_increasing_id()))
+    rules = patterns.withColumn("pattern_id", F.monotonically_increasing_id())
     matched = names.join(rules, F.expr("rlike(lower(key), concat('^(?:', pattern, ')'))")).select("key", "media_type", "pattern_id", "weight")
     hit = keys.join(matched, "key").select("rec", "media_type", "pattern_id", "weight").distinct()
     scores = hit.groupBy("rec", "media_type").agg(F.round(F.sum("weight"), 6).alias("score"))
@@ -55,8 +55,8 @@ def rule_concepts(rows: DataFrame, id_col: str, rules: list[tuple[str, Column]],
 
 
 def tagged(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc, tag, n) of words that a small lexicon (tag, term) lists."""
-    return words.join(F.broadcast(lexicon.limit(10_000)), words.word == lexicon.term).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    """(doc, tag, n) of words that a lexicon (tag, term) lists."""
+    return words.join(lexicon, words.word == lexicon.term).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 def people_split(people: Column, creators: tuple[str, ...], performers: tuple[str, ...]) -> Column:
@@ -123,7 +123,7 @@ _PAT = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{p}', {w}::DOUBLE, {i})"
 _PART_RULES = lambda: [("name", T.key_concepts(F.col("p_name"))), ("type", F.array(F.lower("p_type"), F.lower("p_name"))), ("brand", F.array(F.lower("p_brand")))]
 
 QUERIES = {
-    "e1_pattern_detection": lambda s, d: detect_by_patterns(_keys(s, d), s.createDataFrame(list(PATTERNS), "media_type string, pattern string, weight double")),
+    "e1_pattern_detection": lambda s, d: detect_by_patterns(_keys(s, d), rule_table(s, PATTERNS, "media_type", "pattern", "weight")),
     "e3_presence_detection": lambda s, d: table(s, d, "events").select("event_id", detect_by_presence(F.array_union(F.json_object_keys("props"), F.when(F.col("event_id") % 4 == 0, F.array(F.lit("artist"))).when(F.col("event_id") % 4 == 1, F.array(F.lit("isbn"))).otherwise(F.array(F.lit("x"))))).alias("media_type")),
     "e4_standard_types": lambda s, d: table(s, d, "events").groupBy(standard_type(F.when(F.col("event_type") == "click", "BOOK").otherwise(F.col("event_type"))).alias("media_type")).agg(F.count("*").alias("n")),
     "f1_rule_concepts": lambda s, d: rule_concepts(table(s, d, "part"), "p_partkey", _PART_RULES()).withColumn("rank", F.col("rank").cast("long")),
@@ -131,7 +131,7 @@ QUERIES = {
     "f5_people_split": lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("Name"), F.col("o_orderpriority").alias("Type")))).alias("p")).select("o_custkey", people_split(F.col("p"), ("1-urgent", "2-high"), ("5-low",)).alias("x")).select("o_custkey", F.array_join(F.col("x.creators").cast("array<string>"), ",").alias("creators"), F.array_join(F.col("x.performers").cast("array<string>"), ",").alias("performers")),
     "f7_simple_keywords": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(simple_keywords(F.col("text"), F.col("lang")), " ").alias("words")),
     "f8_technical": lambda s, d: table(s, d, "part").select("p_partkey", technical(F.create_map(F.lit("size"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")), F.lit("brand"), F.col("p_brand"))).alias("m")).select("p_partkey", F.array_join(F.map_keys("m"), ",").alias("keys")),
-    "f9_lexicon_tags": lambda s, d: tagged(table(s, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")), s.createDataFrame([(t, w) for t, ws in LEXICON.items() for w in ws], "tag string, term string")),
+    "f9_lexicon_tags": lambda s, d: tagged(table(s, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")), rule_table(s, [(t, w) for t, ws in LEXICON.items() for w in ws], "tag", "term")),
     "i1_temporal_flags": lambda s, d: _events_text(s, d).select("event_id", *(c.alias(n) for c, n in zip(temporal_flag(F.col("text")), ("temporal", "confidence")))),
     "i2_expressions": lambda s, d: _exploded(s, d).select("event_id", F.col("pos").cast("long").alias("pos"), "e.type", "e.value", "e.text", falling(0.9, 0.1, 0.3, F.col("pos")).alias("confidence")),
     "i5_temporal_concepts": lambda s, d: _exploded(s, d).select("event_id", F.explode(temporal_concepts(F.col("e"))).alias("concept")).distinct(),

@@ -103,7 +103,7 @@ def overall(results: DataFrame) -> DataFrame:
 
 def requests(categories: DataFrame, contexts: DataFrame) -> DataFrame:
     """Every category (a small table) in every context, its first two terms each."""
-    return categories.select("category", F.posexplode(F.slice("terms", 1, 2)).alias("pos", "term")).crossJoin(F.broadcast(contexts.limit(1000)))
+    return categories.select("category", F.posexplode(F.slice("terms", 1, 2)).alias("pos", "term")).crossJoin(contexts)
 
 
 def _concepts(s, d):

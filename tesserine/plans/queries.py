@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.records import PART_RULES, _ERRORS
 from ..operators.text_jobs import key_sql
-from ..sources.tables import table
+from ..sources.tables import rule_table, table
 from .enrich import Plan
 
 PLAN = Plan(constraints=PART_RULES, enrichments=[("key", "p_name", T.key_part), ("brand_key", "p_brand", T.key_part)], prompts={"prompt": "Name {p_name} as {key} of {brand_key}"}, overrides={"p_type": "key"})
@@ -19,9 +19,9 @@ def questions(spark, sf):
     """A request for each field and question of its rule, each once."""
     p = table(spark, sf, "part")
     fields = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("p_name", "p_type"))))
-    rules = spark.createDataFrame([(k, q) for k, qs in QUESTIONS.items() for q in qs], "part string, question string")
+    rules = rule_table(spark, [(k, q) for k, qs in QUESTIONS.items() for q in qs], "part", "question")
     rows = p.select(fields.alias("x")).select("x.field", "x.value").distinct()
-    return rows.join(F.broadcast(rules.limit(1000)), F.col("field").contains(F.col("part"))).select("field", "value", "question")
+    return rows.join(rules, F.col("field").contains(F.col("part"))).select("field", "value", "question")
 
 
 _RULES = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{q}')" for k, qs in QUESTIONS.items() for q in qs) + ") v(part, question))"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,3 +47,8 @@ def write_routed(items: DataFrame, path: str, by: str = "_media_type") -> None:
 def as_json(items: DataFrame, omit_nulls: bool = True) -> DataFrame:
     """One JSON text a row, with or without null fields."""
     return items.select(F.to_json(F.struct("*"), {"ignoreNullFields": str(omit_nulls).lower()}).alias("json"))
+
+
+def rule_table(spark: SparkSession, rows: Sequence[tuple], *names: str) -> DataFrame:
+    """A table of fixed rules whose size Spark knows, so that it is broadcast where it is small."""
+    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows)], names=list(names)))
