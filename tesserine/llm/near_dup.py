@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import dropped, written
 from .textbytes import U, chunks, column, mixed, word_hashes
+from .worker import fresh, task
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -129,7 +130,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = sum(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())
         return pa.table({"part": table["part"][:1], "n": [sum(table["n"].to_pylist())], "counts": pa.array([total.tobytes()], pa.binary())}, schema=table.schema)
 
-    sums = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(counted, "part int, n long, counts binary")
+    sums = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(task(counted), "part int, n long, counts binary")
     rows = sums.groupBy("part").applyInArrow(added, "part int, n long, counts binary").collect()  # TERMS numbers in all
     if not rows:
         return np.ones(TERMS)
@@ -166,7 +167,7 @@ def _signatures(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(weights, pa.float64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "node", "weight", "bands", "sketch"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), _node(text_col).alias("node"), F.col(text_col).cast("binary").alias("__text"))
-    return plain.mapInArrow(signed, "id long, node binary, weight double, bands array<long>, sketch array<long>")
+    return plain.mapInArrow(task(signed), "id long, node binary, weight double, bands array<long>, sketch array<long>")
 
 
 def _worth_a_look(threshold: float) -> F.Column:
@@ -198,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sent, threshold: float) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(2)], names=["a", "b"])
 
     both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(checked, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(task(checked), "a binary, b binary")
 
 
 def _outsiders(rest: DataFrame, sent, threshold: float) -> DataFrame:
@@ -311,10 +312,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, all columns kept."""
-    keep = near_duplicates(docs, threshold, id_col, text_col).where("kept").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
-    marked = docs.withColumn("__key", _node(text_col))
-    return marked.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__node")), "left_semi").drop("__key")
+    """docs with one document of each class, all columns kept, whatever their names."""
+    key, own, node = fresh(docs, "__key", "__id", "__node")
+    keep = near_duplicates(docs, threshold, id_col, text_col).where("kept").select(F.col("id").alias(own), F.col("node").alias(node)).distinct()
+    marked = docs.withColumn(key, _node(text_col))
+    return marked.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(key) == F.col(node)), "left_semi").drop(key)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

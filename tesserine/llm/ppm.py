@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, written
 from .textbytes import LOWER, SOLID, U, chunks, column, mixed, word_hashes
+from .worker import task
 
 ORDER = 5
 #: Nodes of a trie that train() returns, at most. Documents are scored without it.
@@ -43,8 +44,6 @@ MAX_NODES = 4_000_000
 SLICES, SLICE_BYTES = 64, 16 << 20
 #: Bytes of text of a block, and of what is worked on at a time.
 BLOCK, CHUNK = 8 << 20, 1 << 18
-#: Rows of a batch that are taken out of Arrow at a time.
-ROWS = 256
 #: Hash of the end token.
 END = U(0x5DEECE66D1234567)
 
@@ -189,7 +188,7 @@ def trie_table(docs: DataFrame, text_col: str = "text", slices: int = SLICES) ->
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
-        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
+        for b in batches:
             for _, run in chunks(column(b, "__text"), CHUNK):
                 k, c = np.unique(contexts(run)[0], return_counts=True)
                 keys.append(k)
@@ -214,7 +213,7 @@ def trie_table(docs: DataFrame, text_col: str = "text", slices: int = SLICES) ->
             rows.append((level, k, c))
         return pa.table({"part": pa.array([table["part"][0].as_py()] * len(rows), pa.int32()), "level": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([_blob(r[1]) for r in rows], pa.binary()), "counts": pa.array([_blob(r[2]) for r in rows], pa.binary())})
 
-    parts = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(counted, "part int, keys binary, counts binary")
+    parts = docs.select(F.col(text_col).cast("binary").alias("__text")).mapInArrow(task(counted), "part int, keys binary, counts binary")
     return written(parts.groupBy("part").applyInArrow(summed, "part int, level int, keys binary, counts binary"), "trie")
 
 
@@ -226,7 +225,7 @@ def shortest(parts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             for k, c in zip(column(b, "keys"), column(b, "counts")):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, U).astype(np.int32)), pa.array(np.frombuffer(c, np.int64))], names=["key", "n"])
 
-    rows = parts.where("level = 1").select("keys", "counts").mapInArrow(opened, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = parts.where("level = 1").select("keys", "counts").mapInArrow(task(opened), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     one = added(np.array([r["key"] for r in rows], U), np.array([r["n"] for r in rows], np.int64))
     return [added(one[0] & U(0xFF), one[1]), one]
 
@@ -245,7 +244,7 @@ def train(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> Trie
     table = trie_table(docs, text_col, slices)
     parts = table.where("level > 1")
     seen = np.zeros(SEEN + 1, np.int64)
-    for r in parts.where("level > 2").select("counts").mapInArrow(histogram, "pos int, col long").groupBy("pos").agg(F.sum("col").alias("n")).collect():  # SEEN + 1 numbers
+    for r in parts.where("level > 2").select("counts").mapInArrow(task(histogram), "pos int, col long").groupBy("pos").agg(F.sum("col").alias("n")).collect():  # SEEN + 1 numbers
         seen[r["pos"]] = r["n"]
     room = np.cumsum(seen[::-1])[::-1]  # nodes seen so often or more
     least = int(np.argmax(room <= MAX_NODES)) if room[-1] <= MAX_NODES else SEEN
@@ -261,7 +260,7 @@ def train(docs: DataFrame, text_col: str = "text", slices: int = SLICES) -> Trie
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["level", "keys", "counts"])
 
     levels: list[list] = [[] for _ in range(ORDER + 1)]
-    for r in parts.select("level", "keys", "counts").mapInArrow(kept, "level int, keys binary, counts binary").collect():  # at most MAX_NODES and 2**24 short ones
+    for r in parts.select("level", "keys", "counts").mapInArrow(task(kept), "level int, keys binary, counts binary").collect():  # at most MAX_NODES and 2**24 short ones
         levels[r["level"]].append((np.frombuffer(r["keys"], U), np.frombuffer(r["counts"], np.int64)))
     dropped(spark, table)
     none = np.zeros(0, U), np.zeros(0, np.int64)
@@ -305,7 +304,7 @@ def score_documents(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", te
             types = {"block": pa.int64(), "slice": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "seen": pa.binary(), "ids": pa.list_(pa.int64()), "learned": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int64()), "texts": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in types.items()], names=list(types))
 
-        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
+        for b in batches:
             got_ids, got_learn, texts = column(b, "id"), column(b, "learn"), column(b, "__text")
             for i, run in chunks(texts, CHUNK):
                 key = contexts(run)[0]
@@ -332,7 +331,7 @@ def score_documents(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", te
         return keys[order], np.searchsorted(part[order], np.arange(slices + 1))
 
     schema = "block long, slice int, part int, keys binary, seen binary, ids array<long>, learned array<boolean>, lengths array<long>, texts binary"
-    blocks = written(rows.mapInArrow(blocked, schema), "word-blocks")
+    blocks = written(rows.mapInArrow(task(blocked), schema), "word-blocks")
 
     def scored(table: pa.Table) -> pa.Table:
         """The scores of each block's contexts and bytes that belong to a part of the trie."""

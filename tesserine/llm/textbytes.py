@@ -18,9 +18,8 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 SOLID = np.ones(256, bool)
 SOLID[[32, *range(9, 14)]] = False
 
-_BASE, _SPAN = 0x9E3779B97F4A7C15 | 1, 1 << 16
-_powers = np.zeros(0, U)
-_inverse = np.zeros(0, U)
+#: Odd base of the polynomial hashes, and places that one table of its powers covers.
+_BASE, _SPAN = 0x9E3779B97F4A7C15, 1 << 14
 
 
 def chunks(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -63,22 +62,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 1 << 21)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate(([U(1)], np.full(size - 1, U(_BASE)))), dtype=U)
-            _inverse = np.cumprod(np.concatenate(([U(1)], np.full(size - 1, U(pow(_BASE, -1, 1 << 64))))), dtype=U)
-    return _powers[:n], _inverse
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2**64."""
+    return np.cumprod(np.concatenate(([U(1)], np.full(n - 1, U(base)))), dtype=U)
+
+
+_POWERS, _INVERSE = _powers(_BASE, _SPAN), _powers(pow(_BASE, -1, 1 << 64), _SPAN)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, equal wherever the bytes are equal."""
-    powers, inverse = _tables(len(data))
+    turns = -(-len(data) // _SPAN) + 1
+    powers = (_powers(pow(_BASE, _SPAN, 1 << 64), turns)[:, None] * _POWERS).ravel()[: len(data)]
     before = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * powers, out=before[1:])
-    return mixed((before[ends] - before[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    inverse = _powers(pow(_BASE, -_SPAN, 1 << 64), turns)[starts // _SPAN] * _INVERSE[starts % _SPAN]
+    return mixed((before[ends] - before[starts]) * inverse + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def word_hashes(texts: list[bytes], kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:

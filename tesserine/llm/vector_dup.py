@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import written
+from .worker import task
 
 COSINE = 0.95
 #: Vectors a cell, about, and the most pivots (they are sent to every executor).
@@ -59,7 +60,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 nodes.append(hashlib.md5((a + 0.0).tobytes()).digest() if a is not None else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(units, pa.binary())], names=["id", "node", "unit"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(normed, "id long, node binary, unit binary")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(task(normed), "id long, node binary, unit binary")
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -85,7 +86,7 @@ def _links(nodes: DataFrame, size: int, cosine: float, n: int) -> DataFrame:
             home = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(d[np.arange(len(x)), home])], names=["node", "n", "unit", "home", "distance"])
 
-    homes = written(nodes.mapInArrow(celled, "node binary, n long, unit binary, home int, distance double"), "vector-cells")
+    homes = written(nodes.mapInArrow(task(celled), "node binary, n long, unit binary, home int, distance double"), "vector-cells")
     cells = {r["home"]: (r["radius"], r["members"]) for r in homes.groupBy("home").agg(F.max("distance").alias("radius"), F.count("*").alias("members")).collect()}  # a row a pivot
     limits = spark.sparkContext.broadcast(np.array([cells.get(q, (-10.0, 0))[0] for q in range(len(picked))]))
 
@@ -105,7 +106,7 @@ def _links(nodes: DataFrame, size: int, cosine: float, n: int) -> DataFrame:
             total += near(_matrix(b.column(2), size), b.column(3).to_numpy()).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["cell", "copies"])
 
-    copies = {r["cell"]: r["copies"] for r in homes.mapInArrow(counted, "cell int, copies long").groupBy("cell").agg(F.sum("copies").alias("copies")).collect()}  # a row a pivot
+    copies = {r["cell"]: r["copies"] for r in homes.mapInArrow(task(counted), "cell int, copies long").groupBy("cell").agg(F.sum("copies").alias("copies")).collect()}  # a row a pivot
     parts = np.array([max(1, -(-cells.get(q, (0, 0))[1] // GROUP)) for q in range(len(picked))])
     slices = np.array([max(1, -(-copies.get(q, 0) // GROUP)) for q in range(len(picked))])
     dealt = spark.sparkContext.broadcast((parts, slices))
@@ -153,7 +154,7 @@ def _links(nodes: DataFrame, size: int, cosine: float, n: int) -> DataFrame:
         linked = np.flatnonzero(np.bincount(label, minlength=len(nodes))[label] > 1)
         return pa.table({"node": pa.array([nodes[i] for i in (*mine, *linked)], pa.binary()), "links": pa.array([*links.tolist(), *[None] * len(linked)], pa.int64()), "root": pa.array([nodes[i] for i in (*mine, *label[linked])], pa.binary())})
 
-    dealt_out = homes.mapInArrow(copied, "node binary, n long, unit binary, cell int, part int, piece int, mine boolean, there boolean")
+    dealt_out = homes.mapInArrow(task(copied), "node binary, n long, unit binary, cell int, part int, piece int, mine boolean, there boolean")
     return dealt_out.groupBy("cell", "part", "piece").applyInArrow(joined, "node binary, links long, root binary")
 
 

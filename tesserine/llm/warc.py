@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .binary_files import read_files, write_records
 from .shared import dropped, new_path, written
 from .textbytes import column
+from .worker import task
 
 #: Payloads of at least so many bytes are stored once; later records revisit the first.
 LEAST_BYTES = 0
@@ -200,7 +201,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
             made = [gzip.compress(record(*r), 5, mtime=0) for r in zip(*(column(b, c) for c in ("page_id", "url", "payload", "refers_to")))]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    write_records(marked.mapInArrow(recorded, "record binary"), path, SEPARATOR)
+    write_records(marked.mapInArrow(task(recorded), "record binary"), path, SEPARATOR)
     dropped(spark, repeated)
 
 
@@ -238,7 +239,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return read_files(spark, path).mapInArrow(records, _READ)
+    return read_files(spark, path).mapInArrow(task(records), _READ)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
