@@ -1,12 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A filter looks at CHUNK consecutive bytes; chunks overlap by half and cover the
-whole document.  The filters' responses pass a rectifier, their maxima and means
-over all chunks of a document are the features of a logistic output.  As the
-input of a filter is a byte at each place, a response is a sum of table entries
-(one table for each place in the chunk).  The network learns on the driver from
-a sample of labelled documents whose size is bounded by parameters, and scores
-each text as a whole in the tasks that read it.
+A filter looks at CHUNK consecutive bytes and at a mark that tells whether they
+have just been seen (all of them, the first half, or neither, within the BACK
+bytes before): equality of bytes is what a sum over bytes can't express, and
+texts that repeat a word again and again consist of it.  Chunks overlap by half
+and cover the whole document.  The filters' responses pass a rectifier, their
+maxima and means over all chunks of a document are the features of a logistic
+output.  As the inputs of a filter are a byte at each place and the mark, a
+response is a sum of table entries (one table for each place in the chunk).  The
+network learns on the driver from a sample of labelled documents whose size is
+bounded by parameters, and scores each text as a whole in the tasks that read it.
 """
 
 from __future__ import annotations
@@ -20,39 +23,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textbytes import chunks, column
+from .worker import fresh, task
 
 #: Bytes of a chunk and from one chunk to the next.
 CHUNK, STEP = 8, 4
+#: Bytes before a chunk in which it is looked for.
+BACK = 32
 FILTERS = 16
 #: Bytes of a long text that are worked on at a time.
 PART = 1 << 20
 #: Bounds of the sample that the network learns from: documents, and bytes of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 2400, 12 << 20
-EPOCHS, BATCH, RATE = 14, 32, 0.01
+EPOCHS, BATCH, RATE, PATIENCE = 14, 32, 0.01, 3
 THRESHOLD = 0.3
 
 
 @dataclass
 class Network:
-    tables: np.ndarray  # CHUNK x 256 x FILTERS
+    tables: np.ndarray  # CHUNK + 1 x 256 x FILTERS: bytes, and the mark
     bias: np.ndarray  # FILTERS
     out: np.ndarray  # 2 * FILTERS + 1: maxima, means, constant
 
-    def responses(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of each chunk, rectified responses of each chunk, first chunk of each text."""
-        counts = np.array([max(1, -(-(len(t) - CHUNK) // STEP) + 1) for t in texts])
+    @classmethod
+    def chunked(cls, texts: list[bytes], leads: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and mark of each chunk, first chunk of each text; of each text, so many bytes as its lead tells only stand before the first chunk."""
+        lead = np.zeros(len(texts), np.int64) if leads is None else np.array(leads, np.int64)
+        counts = np.array([max(1, -(-(len(t) - n - CHUNK) // STEP) + 1) for t, n in zip(texts, lead.tolist())])
         first = np.concatenate(([0], np.cumsum(counts)))
-        padded = b"".join(t.ljust((n - 1) * STEP + CHUNK, b"\0") for t, n in zip(texts, counts.tolist()))
-        data = np.frombuffer(padded, np.uint8)
-        # A text of n chunks has n * STEP + CHUNK - STEP bytes.
-        at = np.arange(first[-1]) * STEP + np.repeat(np.arange(len(texts)) * (CHUNK - STEP), counts)
-        seen = np.stack([data[at + j] for j in range(CHUNK)])
+        sizes = lead + (counts - 1) * STEP + CHUNK
+        data = np.frombuffer(b"".join(t.ljust(n, b"\0") for t, n in zip(texts, sizes.tolist())), np.uint8)
+        place = np.repeat(lead, counts) + (np.arange(first[-1]) - np.repeat(first[:-1], counts)) * STEP  # in its text
+        at = place + np.repeat(np.cumsum(sizes) - sizes, counts)
+        return np.stack([*(data[at + j] for j in range(CHUNK)), cls.marks(data, at, place)]), first
+
+    def responses(self, seen: np.ndarray) -> np.ndarray:
+        """The rectified responses of each chunk."""
         act = self.tables[0][seen[0]]
-        for j in range(1, CHUNK):
+        for j in range(1, CHUNK + 1):
             act += self.tables[j][seen[j]]
         act += self.bias
-        np.maximum(act, 0, out=act)
-        return seen, act, first
+        return np.maximum(act, 0, out=act)
+
+    @staticmethod
+    def marks(data: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """2 where all bytes of a chunk stand at most BACK bytes before as well, 1 where those of its first half do, else 0."""
+        half, whole = (np.ndarray(shape=(len(data) - n + 1,), dtype=f"<u{n}", buffer=data, strides=(1,)) for n in (STEP, CHUNK))
+        out, low, high = np.zeros(len(at), np.uint8), half[at], whole[at]
+        for back in range(1, BACK + 1):
+            k = at - np.minimum(back, place)  # at a text's beginning, the chunk itself
+            mark = (half[k] == low).view(np.uint8) + (whole[k] == high)
+            mark[place < back] = 0
+            np.maximum(out, mark, out=out)
+        return out
 
     def features(self, act: np.ndarray, first: np.ndarray) -> np.ndarray:
         top = np.maximum.reduceat(act, first[:-1], axis=0)
@@ -61,13 +83,14 @@ class Network:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probability of label 1 for each text, whatever its length; the empty text has one chunk of zero bytes."""
-        parts, owner = [], []
+        parts, owner, leads = [], [], []
         for i, t in enumerate(texts):
             for k in range(0, max(1, len(t) - CHUNK + STEP), PART):
-                parts.append(t[k : k + PART + CHUNK - STEP])
+                leads.append(min(k, BACK))
+                parts.append(t[k - leads[-1] : k + PART + CHUNK - STEP])
                 owner.append(i)
-        _, act, first = self.responses(parts)
-        each = self.features(act, first).astype(np.float64)
+        seen, first = self.chunked(parts, leads)
+        each = self.features(self.responses(seen), first).astype(np.float64)
         if len(parts) > len(texts):
             start = np.flatnonzero(np.diff(owner, prepend=-1))
             count = np.diff(first)[:, None]
@@ -77,22 +100,30 @@ class Network:
 
 
 def fit(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
-    """Gradient descent (Adam) on the logistic loss."""
+    """Gradient descent (Adam) on the logistic loss, until the loss of a tenth of the texts that it doesn't learn from has not fallen for PATIENCE epochs."""
     rng = np.random.default_rng(seed)
-    net = Network((rng.normal(size=(CHUNK, 256, FILTERS)) * 0.25).astype(np.float32), np.zeros(FILTERS, np.float32), (rng.normal(size=2 * FILTERS + 1) * 0.1))
+    net = Network((rng.normal(size=(CHUNK + 1, 256, FILTERS)) * 0.25).astype(np.float32), np.zeros(FILTERS, np.float32), (rng.normal(size=2 * FILTERS + 1) * 0.1))
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():  # one class: its share is the score
         net.out[:] = 0
         net.out[-1] = 0 if not len(y) else 4 * y[0] - 2
         return net
+    chunks_of = [Network.chunked([t])[0] for t in texts]
     params = [net.tables, net.bias, net.out]
     first_m, second_m = [np.zeros(p.shape) for p in params], [np.zeros(p.shape) for p in params]
-    step = 0
-    for epoch in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-            seen, act, first = net.responses([texts[i] for i in part])
-            feats = net.features(act, first)
-            p = 1 / (1 + np.exp(-(feats @ net.out)))
+    checked, learned = np.split(rng.permutation(len(y)), [len(y) // 10])
+    step, best, least, since = 0, [p.copy() for p in params], np.inf, 0
+
+    def forward(part: np.ndarray) -> tuple[np.ndarray, ...]:
+        first = np.concatenate(([0], np.cumsum([chunks_of[i].shape[1] for i in part])))
+        seen = np.concatenate([chunks_of[i] for i in part], axis=1)
+        act = net.responses(seen)
+        feats = net.features(act, first)
+        return seen, act, first, feats, 1 / (1 + np.exp(-(feats @ net.out)))
+
+    for _ in range(EPOCHS):
+        for part in np.array_split(rng.permutation(learned), max(1, len(learned) // BATCH)):
+            seen, act, first, feats, p = forward(part)
             d = (p - y[part]) / len(part)
             grad_out = feats.T @ d
             back = d[:, None] * net.out
@@ -102,7 +133,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
                 g[a + act[a:b].argmax(axis=0), np.arange(FILTERS)] += back[i, :FILTERS]
             g *= act > 0
             grad = np.empty_like(net.tables)
-            for j in range(CHUNK):
+            for j in range(CHUNK + 1):
                 for f in range(FILTERS):
                     grad[j, :, f] = np.bincount(seen[j], g[:, f], 256)
             step += 1
@@ -110,15 +141,25 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 5) -> Network:
                 m += 0.1 * (h - m)
                 v += 0.001 * (h * h - v)
                 q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return net
+        loss = 0.0
+        for k in range(0, len(checked), BATCH):
+            part = checked[k : k + BATCH]
+            p = np.clip(forward(part)[-1], 1e-7, 1 - 1e-7)
+            loss -= float(np.where(y[part] == 1, np.log(p), np.log(1 - p)).sum())
+        since = 0 if loss < least or not len(checked) else since + 1
+        if not since:
+            best, least = [p.copy() for p in params], loss
+        elif since == PATIENCE:
+            break
+    return Network(*best)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most SAMPLE_DOCS documents, a third of label 0 and two thirds of label 1 where there are enough, in an order that the ids decide.
 
-    Only ids and labels are ordered; the shortest of the chosen documents, up to
-    SAMPLE_BYTES of text, are then read.  Null ids and labels are left out, and
-    an id that is labelled twice counts once.
+    Only ids and labels are ordered.  The chosen documents are taken in that
+    order, those passed over that are longer than what is left of SAMPLE_BYTES.
+    Null ids and labels are left out, and an id that is labelled twice counts once.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).dropDuplicates(["id"]).withColumn("order", F.xxhash64("id")).where(learn)
     chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("order", "id").limit(SAMPLE_DOCS * (y + 1) // 3).collect()]
@@ -128,13 +169,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col:
         few = docs.sparkSession.createDataFrame([(r["id"], r["y"], r["order"]) for r in rows], "id long, y int, order long")
         return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")).join(F.broadcast(few), "id")
 
-    # Sizes first: the shortest texts up to the bound of bytes, then only those are fetched.
-    kept, total = [], 0
-    for r in sorted(among(chosen).groupBy("id", "y", "order").agg(F.sum(F.octet_length("t")).alias("n")).collect(), key=lambda r: (r["n"], r["order"])):
-        total += r["n"]
-        if total > SAMPLE_BYTES:
-            break
-        kept.append(r)
+    # Sizes first, so that no more than the bound is fetched.
+    kept, left = [], SAMPLE_BYTES
+    for r in sorted(among(chosen).groupBy("id", "y", "order").agg(F.sum(F.octet_length("t")).alias("n")).collect(), key=lambda r: (r["order"], r["id"])):
+        if r["n"] <= left:
+            kept.append(r)
+            left -= r["n"]
     got = sorted(among(kept).collect(), key=lambda r: (r["order"], r["t"]))
     return [bytes(r["t"]) for r in got], [r["y"] for r in got]
 
@@ -142,22 +182,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col:
 def score_quality(docs: DataFrame, net: Network, text_col: str = "text", output: str = "score") -> DataFrame:
     """docs with a double column `output`, the probability that a document's quality label is 1.
 
-    Null texts score as empty ones.  All columns of docs are kept as they are;
-    one named like the output is replaced.  Nothing is shuffled.
+    Null texts score as empty ones.  All columns of docs are kept as they are,
+    whatever their names; one named like the output is replaced.  Nothing is
+    shuffled.
     """
     spark = docs.sparkSession
     rest = docs.drop(output)
-    plain = rest.withColumn("__text", F.col(text_col).cast("binary"))
+    (text,) = fresh(docs, "__text")
+    plain = docs.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(text_col).cast("binary").alias(text))
     schema = rest.withColumn(output, F.lit(0.0)).schema
     sent = spark.sparkContext.broadcast(net)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for b in batches:
-            scores = [net.score(part) for _, part in chunks(column(b, "__text"), 1 << 20)]
+            scores = [net.score(part) for _, part in chunks(column(b, text), 1 << 20)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=schema.names)
 
-    return plain.mapInArrow(scored, schema)
+    return plain.mapInArrow(task(scored), schema)
 
 
 def remainder(column_name: str, n: int) -> F.Column:
