@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from .shared import dropped, written
 from .textbytes import column
 from .tokens import encoder, vocabulary
+from .worker import task
 
 CAPACITY = 1024
 END = 2
@@ -207,7 +208,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACI
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = source.select("doc_id", F.lit(0).alias("piece"), *(F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32")), F.lit(0).alias("task"), F.lit(0).cast("long").alias("nth")).schema
-    pieces = written(source.mapInArrow(tokenized, schema), "pieces")
+    pieces = written(source.mapInArrow(task(tokenized, encodes=True), schema), "pieces")
 
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -225,7 +226,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACI
 
     ranked = pieces.join(counts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     out = ranked.drop("rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked.mapInArrow(placed, out)
+    return ranked.mapInArrow(task(placed, encodes=True), out)
 
 
 #: More than the pieces of any one length.

@@ -29,6 +29,7 @@ from .binary_files import read_files, write_records
 from .shared import new_path, written
 from .textbytes import column
 from .tokens import encoder, vocabulary
+from .worker import task
 
 U = np.uint64
 END = 2
@@ -153,7 +154,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
     size = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     order = F.col("doc_id").asc_nulls_first()
     ordered = source.repartitionByRange(max(1, -(-size // FILE_TEXT)), order).sortWithinPartitions(order)
-    write_records(ordered.mapInArrow(blocked, "record binary"), path, SEPARATOR)
+    write_records(ordered.mapInArrow(task(blocked, encodes=True), "record binary"), path, SEPARATOR)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,7 +170,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     at += int(sizes.sum())
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(i) for i in ids], pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    rows = written(read_files(spark, path).mapInArrow(decoded, "file long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
+    rows = written(read_files(spark, path).mapInArrow(task(decoded, encodes=True), "file long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tesserine.llm import token_files as t
 from tesserine.llm.shared import new_path
-from tesserine.llm.tokens import encoder, vocabulary
+from tesserine.llm.tokens import vocabulary
+from tokenizers import Tokenizer
 
 
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 3), st.integers(0, 50000), st.integers(0, 2**60 - 1)), max_size=400), st.integers(0, 300))
@@ -18,7 +19,7 @@ def test_words_hold_all_ids(ids, zeros):
 
 
 def check(rows, docs):
-    library, at, want = encoder(vocabulary(t.VOCABULARY)).library, 0, []
+    library, at, want = Tokenizer.from_file(vocabulary(t.VOCABULARY)), 0, []
     for d, text in sorted(docs, key=lambda r: (r[0] is not None, r[0])):
         ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
