@@ -3,8 +3,8 @@
 The windows of the benchmark items are the patterns.  Texts and patterns are
 normalised to lower-cased words between single spaces.  A shift table over
 hashed byte blocks tells how far a search position may jump; where the shift is
-zero, the block's bucket holds the only patterns that can end there, and their
-bytes are compared.  Many stretches of text are searched in step, so that each
+zero, the block's bucket holds the only patterns that can end there, the first
+block selects among them, and the bytes of those that are left are compared.  Many stretches of text are searched in step, so that each
 table lookup serves thousands of positions.
 """
 
@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbytes import LOWER, U, WORD, chunks, column, joined, mixed, spans
+from .textbytes import LOWER, U, WORD, chunks, column, joined, mixed, span_hashes, spans
+from .worker import fresh, task
 
 #: Words of a window.
 WINDOW = 10
 #: Bytes of a block; shorter where the shortest pattern of a class is shorter.
 BLOCK = 8
-#: Bits of the shift table.
+#: Bits of a shift table, at most.
 TABLE_BITS = 20
-#: Benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
-PASS_BYTES = 32 << 20
+#: Benchmark text that one pass over the documents takes, whose tables take about six times that; a larger benchmark takes more passes.
+PASS_BYTES = 16 << 20
 #: Bytes of text searched at a time, and stretches searched in step.
 CHUNK, LANES = 1 << 20, 2048
 
@@ -53,84 +54,92 @@ def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, sizes, counts
 
 
-def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
-    """The distinct windows of an item as patterns: size consecutive words, or all of them if there are fewer, none if there is none."""
-    data = bytes(LOWER[np.frombuffer(text or b"", np.uint8)])
-    words = bytes(b if WORD[b] else 32 for b in data).split()
-    if not words:
-        return []
-    return list(dict.fromkeys(b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))))
-
-
 class Searcher:
-    """Shift and bucket tables for patterns of about one length."""
+    """Shift and bucket tables for patterns of about one length: the stretches start to end of a text in bytes."""
 
-    def __init__(self, patterns: list[tuple[bytes, list[int]]]):
-        self.shortest = m = min(len(p) for p, _ in patterns)
+    def __init__(self, text: bytes, start: np.ndarray, end: np.ndarray, owner: np.ndarray):
+        self.text = text
+        self.shortest = m = int((end - start).min())
         self.block = min(BLOCK, m)
-        head = np.frombuffer(b"".join(p[:m] for p, _ in patterns), np.uint8).reshape(-1, m)
-        self.shift = np.full(1 << TABLE_BITS, m - self.block + 1, np.int32)
-        for end in range(self.block, m + 1):
-            np.minimum.at(self.shift, self.slot(self.value(head[:, end - self.block : end])), m - end)
-        last = self.value(head[:, m - self.block :])
-        order = np.argsort(last, kind="stable")
-        self.patterns = [patterns[i] for i in order]
-        self.suffix, self.first = np.unique(last[order], return_index=True)
-        self.first = np.append(self.first, len(patterns))
-
-    @staticmethod
-    def value(blocks: np.ndarray) -> np.ndarray:
-        """Blocks of up to 8 bytes as numbers."""
-        wide = np.zeros((len(blocks), 8), np.uint8)
-        wide[:, : blocks.shape[1]] = blocks
-        return wide.view("<u8")[:, 0]
+        self.bits = max(12, min(TABLE_BITS, (4 * m * len(start)).bit_length()))
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.int32)
+        words = self.words(np.frombuffer(text + bytes(8), np.uint8))
+        for last in range(self.block, m + 1):  # ever smaller shifts, so that the smallest stays
+            self.shift[self.slot(words[start + last - self.block])] = m - last
+        key = self.key(words[start + m - self.block], words[start])
+        order = np.argsort(key, kind="stable")
+        self.bucket, self.start, self.end, self.owner = key[order], start[order], end[order], owner[order]
+
+    def words(self, data: np.ndarray) -> np.ndarray:
+        """The block of bytes at each place of data as a number; data has 8 bytes more at its end."""
+        return np.ndarray(shape=(len(data) - 8,), dtype="<u8", buffer=data, strides=(1,)) & U((1 << (8 * self.block)) - 1)
+
+    def slot(self, blocks: np.ndarray) -> np.ndarray:
+        return (mixed(blocks) >> U(64 - self.bits)).astype(np.int64)
 
     @staticmethod
-    def slot(values: np.ndarray) -> np.ndarray:
-        return (mixed(values) >> U(64 - TABLE_BITS)).astype(np.int64)
+    def key(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Of a bucket, which is told by the suffix, the patterns with a prefix."""
+        return mixed(suffix) + prefix * U(0x9E3779B97F4A7C15)
 
-    def find(self, data: np.ndarray, raw: bytes) -> Iterator[tuple[int, bytes, list[int]]]:
-        """(start, pattern, items) of each occurrence; data has 8 bytes more than raw at its end."""
+    def find(self, data: np.ndarray, raw: bytes) -> Iterator[tuple[int, int]]:
+        """(start, pattern) of each occurrence; data has 8 bytes more than raw at its end."""
         m, n = self.shortest, len(raw)
         if n < m:
             return
-        words = np.ndarray(shape=(n,), dtype="<u8", buffer=data, strides=(1,))
-        mask = U((1 << (8 * self.block)) - 1)
+        words = self.words(data)
         bounds = np.linspace(m - self.block, n - self.block + 1, min(LANES, n - m + 1) + 1).astype(np.int64)
         at, end = bounds[:-1].copy(), bounds[1:]
-        hits = []
+        stops = []
         while len(at):
-            value = words[at] & mask
-            step = self.shift[self.slot(value)]
-            zero = step == 0
-            if zero.any():
-                where, seen = at[zero], value[zero]
-                bucket = np.minimum(np.searchsorted(self.suffix, seen), len(self.suffix) - 1)
-                real = self.suffix[bucket] == seen
-                hits += zip((where[real] + self.block - m).tolist(), bucket[real].tolist())
+            step = self.shift[self.slot(words[at])]
+            stops.append(at[step == 0])
             at = at + np.maximum(step, 1)
             live = at < end
             at, end = at[live], end[live]
-        for start, bucket in hits:
-            for k in range(self.first[bucket], self.first[bucket + 1]):
-                pattern, items = self.patterns[k]
-                if raw.startswith(pattern, start):
-                    yield start, pattern, items
-
-
-def searchers(items: list[bytes | None], size: int = WINDOW) -> list[Searcher]:
-    """One searcher for each class of pattern lengths, so that a few short items don't shorten all jumps."""
-    owners: dict[bytes, list[int]] = {}
-    for i, text in enumerate(items):
-        for w in windows(text, size):
-            owners.setdefault(w, []).append(i)
-    classes: dict[int, list] = {}
-    for p, who in owners.items():
-        classes.setdefault(len(p).bit_length() * 2 + (len(p) >> max(0, len(p).bit_length() - 2) & 1), []).append((p, who))
-    return [Searcher(v) for v in classes.values()]
-
-
-def hits(texts: list[bytes | None], tables: list[Searcher]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
+        at = np.concatenate(stops)
+        start = at + self.block - m
+        key = self.key(words[at], words[start])
+        low, high = np.searchsorted(self.bucket, key), np.searchsorted(self.bucket, key, "right")
+        for i in np.flatnonzero(low < high).tolist():
+            for k in range(low[i], high[i]):
+                if raw.startswith(self.text[self.start[k] : self.end[k]], start[i]):
+                    yield int(start[i]), k
+
+
+class Benchmark:
+    """The windows of items: size consecutive words, or all of an item's if there are fewer, none if there is none."""
+
+    def __init__(self, items: list[bytes | None], size: int = WINDOW):
+        data, _, counts = normalised([t or b"" for t in items])
+        spaces = np.flatnonzero(data == 32)
+        spaces_before = np.cumsum(counts + 1) - counts - 1
+        n = np.where(counts, np.maximum(counts - size + 1, 1), 0)  # windows of each item
+        item = np.repeat(np.arange(len(items)), n)
+        first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + spaces_before[item]
+        words = np.minimum(counts, size)[item]
+        start, end = spaces[first], spaces[first + words] + 1
+        # Equal windows are one pattern with several items.
+        h = span_hashes(data, start, end)
+        order = np.argsort(h, kind="stable")
+        new = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1])) if len(h) else np.zeros(0, np.int64)
+        self.items, self.items_from = item[order].astype(np.int32), np.append(new, len(h))
+        start, end = start[order][new], end[order][new]
+        self.words = words[order][new].astype(np.int32)
+        # A searcher for each class of pattern lengths, so that a few short items don't shorten all jumps.
+        size_class = np.floor(2 * np.log2(np.maximum(end - start, 1))).astype(np.int64)
+        text = data.tobytes()
+        self.searchers = [Searcher(text, start[mine], end[mine], np.flatnonzero(mine)) for mine in (size_class == c for c in np.unique(size_class))]
+
+    def find(self, data: np.ndarray, raw: bytes) -> Iterator[tuple[int, int, list[int]]]:
+        """(start, words, items) of each occurrence of a window."""
+        for s in self.searchers:
+            for start, k in s.find(data, raw):
+                w = s.owner[k]
+                yield start, int(self.words[w]), self.items[self.items_from[w] : self.items_from[w + 1]].tolist()
+
+
+def hits(texts: list[bytes | None], benchmark: Benchmark) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
     """For each text: count of words, runs of hit words as (first, count), items found."""
     for _, run in chunks(texts, CHUNK):
         data, at, counts = normalised(run)
@@ -139,12 +148,11 @@ def hits(texts: list[bytes | None], tables: list[Searcher]) -> Iterator[tuple[in
         found: dict[int, tuple[set, set]] = {}
         spaces = np.flatnonzero(data == 32)
         begins = np.searchsorted(spaces, at)
-        for table in tables:
-            for start, pattern, items in table.find(data, raw):
-                i = int(np.searchsorted(at, start, "right")) - 1
-                runs, who = found.setdefault(i, (set(), set()))
-                runs.add((int(np.searchsorted(spaces, start) - begins[i]), pattern.count(b" ") - 1))
-                who.update(items)
+        for start, words, items in benchmark.find(data, raw):
+            i = int(np.searchsorted(at, start, "right")) - 1
+            runs, who = found.setdefault(i, (set(), set()))
+            runs.add((int(np.searchsorted(spaces, start) - begins[i]), words))
+            who.update(items)
         for i, n in enumerate(counts.tolist()):
             runs, who = found.get(i, ((), ()))
             yield n, sorted(runs), sorted(who)
@@ -168,12 +176,16 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     the executors; so its size has no limit, and what is sent has one.  Each pass
     adds to the runs and items of its rows, without a shuffle.
     Null texts have no words; items with a null id or without words match
-    nothing; repeated items count once.
+    nothing; repeated items count once, rows of docs that are repeated each.  Of
+    columns to keep, one named like n_words, runs or items gives way to it;
+    other names of docs' columns don't matter.
     """
     spark = docs.sparkSession
-    rest = list(dict.fromkeys((id_col, *keep)))
-    out = docs.select(*rest, F.col(text_col).cast("binary").alias("__text"), F.lit(None).cast("array<struct<first:long,count:long>>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
-    schema = out.select(*rest, "__text", F.lit(0).cast("long").alias("n_words"), "runs", "items").schema
+    rest = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in ("n_words", "runs", "items")]
+    (text,) = fresh(docs, "__text")
+    kept = [F.col(f"`{c}`") for c in rest]
+    out = docs.select(*kept, F.col(text_col).cast("binary").alias(text), F.lit(None).cast("array<struct<first:long,count:long>>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
+    schema = out.select(*kept, text, F.lit(0).cast("long").alias("n_words"), "runs", "items").schema
 
     def passes() -> Iterator[list[tuple[str, bytes]]]:
         got, n = [], 0
@@ -186,28 +198,27 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         yield got
 
     def one(these: list[tuple[str, bytes]]):
-        sent = spark.sparkContext.broadcast((searchers([t for _, t in these], size), [i for i, _ in these]))
+        sent = spark.sparkContext.broadcast((Benchmark([t for _, t in these], size), [i for i, _ in these]))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables, names = sent.value
+            benchmark, names = sent.value
             for b in batches:
-                texts, runs, who = column(b, "__text"), column(b, "runs"), column(b, "items")
-                counts = []
-                for i, (n, r, w) in enumerate(hits(texts, tables)):
+                runs, who, counts = column(b, "runs"), column(b, "items"), []
+                for i, (n, r, w) in enumerate(hits(column(b, text), benchmark)):
                     counts.append(n)
                     runs[i] = [{"first": f, "count": c} for f, c in merged([(x["first"], x["count"]) for x in runs[i] or ()] + r)]
                     who[i] = sorted({*(who[i] or ()), *(names[k] for k in w)})
                 place = b.schema.get_field_index
-                arrays = [*(b.column(place(c)) for c in rest), b.column(place("__text")), pa.array(counts, pa.int64()), pa.array(runs, b.schema.field("runs").type), pa.array(who, b.schema.field("items").type)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "__text", "n_words", "runs", "items"])
+                arrays = [*(b.column(place(c)) for c in (*rest, text)), pa.array(counts, pa.int64()), pa.array(runs, b.schema.field("runs").type), pa.array(who, b.schema.field("items").type)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, text, "n_words", "runs", "items"])
 
-        return search
+        return task(search)
 
     for k, these in enumerate(passes()):
         if k:  # the tables of one pass at a time in an executor's memory
             out = written(out, "decontaminate")
         out = out.mapInArrow(one(these), schema)
-    return out.drop("__text")
+    return out.drop(text)
 
 
 def n_hit(runs: F.Column) -> F.Column:

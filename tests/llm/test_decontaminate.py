@@ -47,6 +47,22 @@ def test_small_cases(spark):
     check(spark, docs, [])
 
 
+def test_names_nulls_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "one two three", 1, 2, 3, "k"), (4, "x", 1, 2, 3, "k"), (4, "x", 1, 2, 3, "k")], "doc_id long, text string, runs int, items int, n_words int, __text string")
+    items = spark.createDataFrame([(70, "one two, THREE"), (70, "one two, THREE"), (None, "x")], "item_id long, text string")
+    rows = d.find_items(docs, items, keep=tuple(docs.columns)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r["items"], r["__text"], r["text"]) for r in rows) == [("4", 1, [], "k", "x"), ("4", 1, [], "k", "x"), ("None", 3, ["70"], "k", "one two three")]
+    assert d.find_items(docs.limit(0), items).collect() == []
+
+
+def test_random_texts(spark):
+    import random
+
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(("a", "b", "cc", "ddd é", "B,", "x1")) for _ in range(r.randint(0, n)))
+    check(spark, [(i, text(80)) for i in range(150)], [(i, text(r.choice((3, 14)))) for i in range(60)])
+
+
 def test_passes_add_up(spark, monkeypatch):
     monkeypatch.setattr(d, "PASS_BYTES", 40)
     check(spark, [(1, "one two three and a"), (2, "b c " + " ".join(f"w{i}é" for i in range(30)))], CASES)
