@@ -4,11 +4,14 @@ The unit is a run of consecutive lines of at least MIN_WORDS words.  For each
 line, the shortest such run that begins with it and the shortest that ends with
 it are its windows.  Each window selects its smallest line hash as fingerprint,
 which any other occurrence of the same lines selects as well, so every repeated
-run shares a fingerprint with its first occurrence.  Fingerprint positions are
-joined; only where a fingerprint recurs do windows go on.  There, the digests of
-whole windows are joined, and as windows reach from every line forwards and
-backwards, the repeated ones together cover a repeated run to both its ends.
-All of its lines are deleted wherever it isn't the first occurrence.
+run shares fingerprints with its first occurrence.  Fingerprint positions are
+joined: those whose hash recurs, and of them those whose window is the same,
+each with the first such position.  Matched positions are extended line by line
+in both directions as far as the two texts agree, and the lines of the run are
+deleted in the later one.
+
+A window's digest is part of the join's key, so a line that stands in very many
+texts brings each of its positions one partner, and not all others.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, written
 from .textbytes import column
+from .worker import fresh, task
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -53,17 +57,39 @@ def windows(counts: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def fingerprints(text: str, least: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(fingerprint, its line, first, end, digest) of each window of a text."""
+def fingerprints(text: str, least: int) -> tuple[list[int], list[int], list[int], list[tuple[int, int, bytes]]]:
+    """Hash, words and number of each line that isn't blank, and (hash, line, digest of the window) of the fingerprint of each window."""
     lines = [(k, words) for k, line in enumerate(text.split("\n")) if (words := line.split())]  # blank lines don't count
-    found = windows([len(words) for _, words in lines], least)
+    counts = [len(words) for _, words in lines]
+    found = windows(counts, least)
     if not found:
-        return
+        return [], [], [], []
     hashes = [xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63) for _, words in lines]
-    packed = np.array(hashes, "<i8").tobytes()
+    packed, prints = np.array(hashes, "<i8").tobytes(), []
     for i, j in found:
-        least_hash = min(hashes[i:j])
-        yield least_hash, lines[hashes.index(least_hash, i, j)][0], lines[i][0], lines[j - 1][0] + 1, xxhash.xxh3_128_digest(packed[8 * i : 8 * j])
+        smallest = min(hashes[i:j])
+        prints.append((smallest, hashes.index(smallest, i, j), xxhash.xxh3_128_digest(packed[8 * i : 8 * j])))
+    return hashes, counts, [k for k, _ in lines], prints
+
+
+def extended(a: np.ndarray, b: np.ndarray, at: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs (first, end) of a that equal b around matched positions (place in a, place in b)."""
+    runs, reached = [], {}
+    for p, q in sorted(at):
+        if p < reached.get(q - p, 0):
+            continue  # of a run that has been found
+        n, m = min(len(a) - p, len(b) - q), min(p, q)
+        after, before = np.flatnonzero(a[p : p + n] != b[q : q + n]), np.flatnonzero(a[p - m : p][::-1] != b[q - m : q][::-1])
+        end = p + int(after[0] if len(after) else n)
+        if end > p:
+            runs.append((p - int(before[0] if len(before) else m), end))
+            reached[q - p] = end
+    return runs
+
+
+def _same(a: str, b: str) -> F.Column:
+    """Whether two document keys (id and hash of the text) agree."""
+    return F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")) & (F.col(f"{a}h") == F.col(f"{b}h"))
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,52 +100,71 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     runs that overlap each other within a text, the lines of every occurrence but
     the first are deleted.  Rows repeated with id and text count as one
     occurrence and lose the same lines; null and empty texts have no runs and
-    stay as they are.  A text all of whose lines go becomes empty.
+    stay as they are.  A text all of whose lines go becomes empty.  Other columns
+    are kept as they are, whatever their names.
     """
     spark = docs.sparkSession
-    key = [F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__h")]
+    types = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int32())), ("prints", pa.list_(pa.struct([("fp", pa.int64()), ("place", pa.int32()), ("digest", pa.binary())])))])
 
-    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
-
-            def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["fp", "place", "id", "h", "first", "end", "digest"])
-
-            for d, h, text in zip(column(b, "__id"), column(b, "__h"), column(b, "__text")):
-                for fp, place, i, j, digest in fingerprints(text or "", least):
-                    for to, v in zip(rows, (fp, place, d, h, i, j, digest)):
-                        to.append(v)
-                if len(rows[0]) > 50_000:
-                    yield made()
-                    rows = [[] for _ in range(7)]
-            yield made()
-
-    plain = docs.select(*key, F.col(text_col).alias("__text"))
-    all_windows = written(plain.mapInArrow(windowed, "fp long, place int, id long, h long, first int, end int, digest binary"), "line-windows")
-    place = F.struct("id", "h", "place")
-    recurring = all_windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("fp")
+            rows = []
+            for d, h, text in zip(column(b, "id"), column(b, "h"), column(b, "text")):
+                hashes, counts, numbers, prints = fingerprints(text or "", least)
+                if prints:
+                    rows.append({"id": d, "h": h, "lines": hashes, "words": counts, "numbers": numbers, "prints": [{"fp": f, "place": p, "digest": g} for f, p, g in prints]})
+            yield pa.RecordBatch.from_pylist(rows, types)
+
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    schema = "id long, h long, lines array<long>, words array<int>, numbers array<int>, prints array<struct<fp:long,place:int,digest:binary>>"
+    texts = written(plain.mapInArrow(task(selected), schema), "line-hashes")
+
+    # Positions of fingerprints that recur, each with the first one of the same window.
+    at = F.struct("id", "h", "place")
+    positions = texts.select("id", "h", F.inline("prints"))
+    recurring = positions.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a < b").select("fp")
     recurring = written(recurring, "line-fingerprints")  # a hot fingerprint can then be split in the join
-    at = F.struct("id", "h", "first", "end")
-    close = all_windows.join(recurring, "fp", "left_semi")
+    close = positions.join(recurring, "fp", "left_semi")
     first = written(close.groupBy("digest").agg(F.min(at).alias("source"), F.max(at).alias("last")).where("source < last").select("digest", "source"), "line-sources")
-    runs = all_windows.join(first, "digest").where(at > F.col("source"))
-    gone = runs.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("first", "end")).alias("__gone"))  # at most two windows a line
-    gone = written(gone, "line-runs")
-    dropped(spark, all_windows, recurring, first)
+    pairs = positions.join(first, "digest").where(at > F.col("source")).select("id", "h", "place", F.col("source.id").alias("sid"), F.col("source.h").alias("sh"), F.col("source.place").alias("splace"))
+    matches = written(pairs.groupBy("id", "h", "sid", "sh").agg(F.collect_set(F.struct("place", "splace")).alias("at")), "line-matches")  # of two texts: at most two windows a line
+
+    # The line hashes of both texts come to their matched positions.
+    sides = matches.select("id", "h").union(matches.select("sid", "sh")).distinct().select(F.col("id").alias("jid"), F.col("h").alias("jh"))
+    involved = texts.join(sides, _same("", "j"), "left_semi").groupBy("id", "h").agg(*(F.first(c).alias(c) for c in ("lines", "words", "numbers")))
+    involved = written(involved, "line-texts")
+    sources = involved.select(F.col("id").alias("jid"), F.col("h").alias("jh"), F.col("lines").alias("slines"))
+    both = matches.join(sources, _same("s", "j")).select("id", "h", "at", "slines").join(involved.withColumnsRenamed({"id": "jid", "h": "jh"}), _same("", "j")).select("id", "h", "at", "slines", "lines", "words", "numbers")
 
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_removed_words")]
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, h, places, theirs, mine, words, numbers in zip(*(column(b, c) for c in ("id", "h", "at", "slines", "lines", "words", "numbers"))):
+                for i, j in extended(np.array(mine), np.array(theirs), [(x["place"], x["splace"]) for x in places]):
+                    if sum(words[i:j]) >= least:
+                        rows.append({"id": d, "h": h, "first": numbers[i], "end": numbers[j - 1] + 1})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
+
+    own_id, own_h, other_id, other_h, gone = fresh(docs, "__id", "__h", "__id2", "__h2", "__gone")
+    runs = both.mapInArrow(task(grown), "id long, h long, first int, end int")
+    runs = runs.groupBy(F.col("id").alias(other_id), F.col("h").alias(other_h)).agg(F.collect_set(F.struct("first", "end")).alias(gone))  # of one text: no more than it has lines
+    runs = written(runs, "line-runs")
+    dropped(spark, texts, recurring, first, matches, involved)
+
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_removed_words")]
     # The runs grow with the documents: one plan for every size.
-    marked = docs.select(*rest, *key).join(gone.withColumnsRenamed({"__id": "__id2", "__h": "__h2"}).hint("merge"), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__h") == F.col("__h2")), "left").select(*rest, "__gone")
-    schema = docs.select(*rest, *(F.lit(0).alias(c) for c in ("n_lines", "n_removed", "n_removed_words"))).schema
+    key = [F.col(id_col).cast("long").alias(own_id), F.xxhash64(text_col).alias(own_h)]
+    kept = [F.col(f"`{c}`") for c in rest]
+    marked = docs.select(*kept, *key).join(runs.hint("merge"), F.col(own_id).eqNullSafe(F.col(other_id)) & (F.col(own_h) == F.col(other_h)), "left").select(*kept, gone)
+    schema = docs.select(*kept, *(F.lit(0).alias(c) for c in ("n_lines", "n_removed", "n_removed_words"))).schema
     column_at = rest.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts = column(b, text_col), [[], [], []]
-            for k, (text, gone) in enumerate(zip(texts, column(b, "__gone"))):
+            for k, (text, runs) in enumerate(zip(texts, column(b, gone))):
                 lines = text.split("\n") if text else []
-                out = {i for g in gone or () for i in range(g["first"], g["end"])}
+                out = {i for g in runs or () for i in range(g["first"], g["end"])}
                 if out:
                     texts[k] = "\n".join(line for i, line in enumerate(lines) if i not in out)
                 for to, v in zip(counts, (len(lines), len(out), sum(len(lines[i].split()) for i in out))):
@@ -128,7 +173,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
             columns[column_at] = pa.array(texts, columns[column_at].type)
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int32()) for c in counts)], names=schema.names)
 
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(task(cut), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

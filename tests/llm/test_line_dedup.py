@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tesserine.llm import line_dedup as d
 
 
@@ -35,10 +36,23 @@ def test_against_all_runs(spark):
     docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 9)))) for i in range(40)]
     passage = "\n".join(f"line {i} of a shared passage" for i in range(4))
     docs += [(100, "x\n" + passage), (101, passage + "\ny y y"), (102, None), (103, ""), (104, "  " + passage.replace("\n", " \n")), (105, "long " * 50000)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).selectExpr("*", "1 as n_lines", "'z' as first", "0 as __h2")
-    got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in d.dedup_lines(df.drop("__h2"), 8).collect()}
-    want = brute(docs, 8)
-    assert got == want
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).selectExpr("*", "1 as n_lines", "'z' as first", "0 as __h2", "1 as __h", "2 as __id", "3 as __gone", "4 as lines", "'a.b' as `a.b`")
+    rows = d.dedup_lines(df, 8).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in rows} == brute(docs, 8)
+    assert {(x["first"], x["__h2"], x["__h"], x["__id"], x["__gone"], x["lines"], x["a.b"]) for x in rows} == {("z", 0, 1, 2, 3, 4, "a.b")}
+
+
+def test_a_line_of_many_texts_joins_once(spark):
+    common = "the same line in all of these texts here"
+    docs = [(i, f"own {i} a b c\n{common}\nlast {i} x y z") for i in range(300)] + [(900 + i, f"x{i}\nown 7 a b c\n{common}\nlast 7 x y z\ny{i}") for i in range(3)]
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in d.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 12).collect()}
+    assert got == brute(docs, 12) and sum(n for _, n, _ in got.values()) == 9
+
+
+def test_extends_both_ways():
+    a, b = np.array([1, 2, 3, 4, 5, 9]), np.array([7, 2, 3, 4, 5, 6])
+    assert d.extended(a, b, [(2, 2), (3, 3)]) == [(1, 5)]
+    assert d.extended(np.array([5, 5, 5]), np.array([5, 5, 5]), [(1, 0)]) == [(1, 3)]
 
 
 def test_repeated_rows_and_nulls(spark):
