@@ -30,8 +30,8 @@ CHUNK, STEP = 8, 4
 #: Bytes before a chunk in which it is looked for.
 BACK = 32
 FILTERS = 16
-#: Bytes of a long text that are worked on at a time.
-PART = 1 << 20
+#: Bytes of text that are worked on at a time.
+PART = 1 << 18
 #: Bounds of the sample that the network learns from: documents, and bytes of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 2400, 12 << 20
 EPOCHS, BATCH, RATE, PATIENCE = 14, 32, 0.01, 3
@@ -52,9 +52,9 @@ class Network:
         first = np.concatenate(([0], np.cumsum(counts)))
         sizes = lead + (counts - 1) * STEP + CHUNK
         data = np.frombuffer(b"".join(t.ljust(n, b"\0") for t, n in zip(texts, sizes.tolist())), np.uint8)
-        place = np.repeat(lead, counts) + (np.arange(first[-1]) - np.repeat(first[:-1], counts)) * STEP  # in its text
-        at = place + np.repeat(np.cumsum(sizes) - sizes, counts)
-        return np.stack([*(data[at + j] for j in range(CHUNK)), cls.marks(data, at, place)]), first
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(lead + starts, counts) + (np.arange(first[-1]) - np.repeat(first[:-1], counts)) * STEP
+        return np.stack([*(data[at + j] for j in range(CHUNK)), cls.marks(data, starts, at)]), first
 
     def responses(self, seen: np.ndarray) -> np.ndarray:
         """The rectified responses of each chunk."""
@@ -65,16 +65,18 @@ class Network:
         return np.maximum(act, 0, out=act)
 
     @staticmethod
-    def marks(data: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """2 where all bytes of a chunk stand at most BACK bytes before as well, 1 where those of its first half do, else 0."""
-        half, whole = (np.ndarray(shape=(len(data) - n + 1,), dtype=f"<u{n}", buffer=data, strides=(1,)) for n in (STEP, CHUNK))
-        out, low, high = np.zeros(len(at), np.uint8), half[at], whole[at]
-        for back in range(1, BACK + 1):
-            k = at - np.minimum(back, place)  # at a text's beginning, the chunk itself
-            mark = (half[k] == low).view(np.uint8) + (whole[k] == high)
-            mark[place < back] = 0
-            np.maximum(out, mark, out=out)
-        return out
+    def marks(data: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """2 where all bytes of a chunk stand at most BACK bytes before as well, 1 where those of its first half do, else 0; starts are those of the texts in data."""
+        half = np.ndarray(shape=(len(data) - STEP + 1,), dtype=f"<u{STEP}", buffer=data, strides=(1,)).copy()
+        low, both = np.zeros(len(half), bool), np.zeros(len(half), bool)
+        for back in range(1, min(BACK, len(half) - 1) + 1):
+            same = np.zeros(len(half), bool)
+            np.equal(half[back:], half[:-back], out=same[back:])
+            first = (starts[:, None] + np.arange(back)).ravel()  # what stands before is another text
+            same[first[first < len(same)]] = False
+            low |= same
+            both[:-STEP] |= same[:-STEP] & same[STEP:]
+        return low[at].view(np.uint8) + both[at]
 
     def features(self, act: np.ndarray, first: np.ndarray) -> np.ndarray:
         top = np.maximum.reduceat(act, first[:-1], axis=0)
@@ -196,7 +198,7 @@ def score_quality(docs: DataFrame, net: Network, text_col: str = "text", output:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for b in batches:
-            scores = [net.score(part) for _, part in chunks(column(b, text), 1 << 20)]
+            scores = [net.score(part) for _, part in chunks(column(b, text), PART)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=schema.names)
 
     return plain.mapInArrow(task(scored), schema)
