@@ -6,8 +6,20 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English words that carry no concept.
-STOPWORDS = ("the", "and", "for", "are", "but", "not", "you", "all", "any", "can", "had", "her", "was", "one", "our", "out", "has", "him", "his", "how", "its", "may", "new", "now", "old", "see", "two", "who", "did", "get", "she", "too", "use", "that", "this", "with", "from", "they", "have", "were", "what", "when", "your", "which", "their", "will", "there", "been", "than", "then", "them", "these", "those", "into", "only", "over", "such", "very")
+#: The English stop list that the rule of key concepts names.
+STOPWORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "she's", "her", "hers", "herself", "it", "it's", "its", "itself", "they", "them", "their", "theirs", "themselves",
+    "what", "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while",
+    "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below",
+    "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
+    "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "aren't",
+    "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't", "isn", "isn't", "ma",
+    "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't",
+    "won", "won't", "wouldn", "wouldn't",
+)
 #: Fixed value: what separates words.
 DELIMITERS = r"[,.!?;:\s\-()]+"
 
@@ -42,12 +54,21 @@ def cache_key(kind: Column, field: Column, value: Column, context: Column) -> Co
     return F.concat_ws(":", kind, key_part(field), key_part(value), key_part(context))
 
 
-def key_concepts(text: Column, most: int = 10, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """Distinct words of three letters or more in order, without stopwords and numbers, the first `most`."""
+def fast_key_part(text: Column) -> Column:
+    """The other variant of a key component: underscores go, hyphens stay."""
+    kept = F.regexp_replace(to_ascii(F.lower(text)), r"[^a-z0-9\s\-]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"\s+", "_"), "_+", "_"), "^_|_$", "")
+
+
+def key_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Distinct words of three letters or more in order, without stopwords and numbers."""
     words = F.split(F.lower(analysis_text(text)), DELIMITERS)
-    stop = F.array(*map(F.lit, stopwords))
-    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
-    return F.slice(F.array_distinct(kept), 1, most)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stopwords) & ~w.rlike("^[0-9]+$")))
+
+
+def key_concepts(text: Column, most: int = 10, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """The first `most` key words, the short list of a field."""
+    return F.slice(key_words(text, stopwords), 1, most)
 
 
 def preview(text: Column, most: int = 200) -> Column:
@@ -66,3 +87,30 @@ def uri_term(uri: Column) -> Column:
     """Term of an English concept URI, null for others."""
     term = F.regexp_extract(uri, "^/c/en/([^/]+)", 1)
     return F.when(term != "", F.translate(term, "_", " "))
+
+
+#: What answers about time may begin with.
+ANSWER_HEADS = ("Related temporal concepts:", "Temporal concepts:", "Concepts:", "Related terms:", "Here are", "The concepts are:")
+
+
+def temporal_answer(text: Column, most: int = 10) -> Column:
+    """Concepts of an answer about time: quoted strings if there are any (and a comma), else what commas or lines separate, cleaned."""
+    body = F.trim(text)
+    for head in ANSWER_HEADS:
+        body = F.trim(F.regexp_replace(body, "(?i)^" + head, ""))
+    quoted = F.regexp_extract_all(body, F.lit('"([^"]+)"'), 1)
+    parts = F.when(body.contains(","), F.when(F.size(quoted) > 0, quoted).otherwise(F.split(body, ","))).otherwise(F.split(body, "\n"))
+
+    def clean(c: Column) -> Column:
+        for pattern, to in ((r"^\s+|\s+$", ""), ("^[\"']+|[\"']+$", ""), ("^[a-zA-Z]/", ""), (r"^[0-9]+\.?\s*", ""), (r"^[-•*]\s*", ""), (r"\s+", " ")):
+            c = F.regexp_replace(c, pattern, to)
+        return F.trim(F.lower(c))
+
+    return F.slice(F.filter(F.transform(parts, clean), lambda c: F.length(c) > 1), 1, most)
+
+
+def light_answer(text: Column, most: int = 10) -> Column:
+    """Lines of an answer without spaces, then dashes, then stars around them."""
+    around = lambda c, what: F.regexp_replace(c, f"^{what}+|{what}+$", "")
+    clean = lambda c: around(around(around(around(c, r"\s"), "-"), r"\*"), r"\s")
+    return F.slice(F.filter(F.transform(F.split(text, "\n"), clean), lambda c: F.length(c) > 1), 1, most)

@@ -51,6 +51,62 @@ def exists(keys: DataFrame, cache: DataFrame, now: float) -> DataFrame:
     return lookup(keys, cache, now).select("cache_key", F.col("hit").alias("cached"))
 
 
+def warmed(values: DataFrame, cache: DataFrame, now: float, compute: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True, ttl: float = TTL) -> tuple[DataFrame, DataFrame]:
+    """(cache_key, warm) for each of the values (cache_key, concept), and the cache after it.
+
+    Values that are there are warm.  Others are computed all together and are
+    warm where a result came; without a function, or where warming is switched
+    off, they are not.
+    """
+    keys = values.select("cache_key", "concept").dropDuplicates(["cache_key"])
+    if not enabled:
+        return keys.select("cache_key", F.lit(False).alias("warm")), cache
+    found = exists(keys, cache, now)
+    if compute is None:
+        return found.select("cache_key", F.col("cached").alias("warm")), cache
+    new = compute(keys.join(found.where("not cached"), "cache_key", "left_semi")).where("result is not null").withColumns({"expires_at": F.lit(now + ttl), "created_at": F.lit(now)})
+    after = cache.join(new.select("cache_key"), "cache_key", "left_anti").unionByName(new, allowMissingColumns=True)
+    done = found.join(new.select("cache_key", F.lit(True).alias("made")), "cache_key", "left")
+    return done.select("cache_key", (F.col("cached") | F.coalesce("made", F.lit(False))).alias("warm")), after
+
+
+def to_documents(results: DataFrame, now: float, ttl: float | None = TTL) -> DataFrame:
+    """Results (cache_key, result, per_item, overall, plugin, ms) as cache documents: the parts of the key as fields, metadata nested, with defaults."""
+    p = parsed_key(F.col("cache_key"))
+    meta = F.struct(F.coalesce("plugin", F.lit("unknown")).alias("plugin_name"), F.coalesce("ms", F.lit(0.0)).alias("execution_time_ms"))
+    return results.select(
+        "cache_key", p["field"].alias("field_name"), p["value"].alias("input_value"), p["context"].alias("media_type"), p["type"].alias("expansion_type"), F.col("result").alias("expansion_result"),
+        F.col("per_item").alias("confidence_scores"), F.col("overall").alias("overall_confidence"), meta.alias("source_metadata"), F.lit(True).alias("success"), F.lit(now).alias("created_at"), F.lit(now + ttl if ttl else None).cast("double").alias("expires_at"),
+    )
+
+
+def from_documents(documents: DataFrame) -> DataFrame:
+    """Results of cache documents; what a document lacks has its default. Documents whose key hasn't four parts are left out."""
+    has = lambda c, default: F.coalesce(F.col(c), default)
+    none = F.create_map().cast("map<string,double>")
+    return documents.where(parsed_key(F.col("cache_key")).isNotNull()).select("cache_key", F.col("expansion_result").alias("result"), has("confidence_scores", none).alias("per_item"), has("overall_confidence", F.lit(0.0)).alias("overall"), has("source_metadata.plugin_name", F.lit("unknown")).alias("plugin"), has("source_metadata.execution_time_ms", F.lit(0.0)).alias("ms"), has("success", F.lit(True)).alias("success"))
+
+
+def found_by(documents: DataFrame, field: str | None = None, value: str | None = None, media_type: str | None = None, kind: str | None = None, since: float | None = None, least: float | None = None) -> DataFrame:
+    """Secondary look-ups: by field and value, field and media type, type, time and confidence; all that are given must hold."""
+    wanted = {"field_name": field, "input_value": value, "media_type": media_type, "expansion_type": kind}
+    for c, v in wanted.items():
+        if v is not None:
+            documents = documents.where(F.col(c) == v)
+    if since is not None:
+        documents = documents.where(F.col("created_at") >= since)
+    return documents if least is None else documents.where(F.col("overall_confidence") >= least)
+
+
+def write_documents(documents: DataFrame, path: str, files: int) -> None:
+    """A folder for each type, in it files in order of field and value, so that look-ups read few row groups."""
+    documents.repartitionByRange(files, "expansion_type", "field_name", "input_value").sortWithinPartitions("expansion_type", "field_name", "input_value").write.partitionBy("expansion_type").parquet(path)
+
+
+def newest(cache: DataFrame, n: int = 10) -> DataFrame:
+    return cache.orderBy(F.col("created_at").desc(), "cache_key").limit(n)
+
+
 def stats(cache: DataFrame, now: float) -> DataFrame:
     return cache.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_if(F.col("created_at") >= now - 86400).alias("last_day"))
 
@@ -103,6 +159,12 @@ def _computed(missing: DataFrame) -> DataFrame:
     return missing.select("cache_key", F.element_at(F.split("cache_key", ":"), 1).alias("type"), F.array(F.length("concept")).alias("result"))
 
 
+def _documents(s, d) -> DataFrame:
+    e = entries(s, d)
+    items = F.map_from_arrays(F.transform("result", lambda x: x.cast("string")), F.transform("result", lambda x: F.round(1 / (x + 1), 6)))
+    return to_documents(e.select("cache_key", "result", F.when(F.size("result") > 1, items).alias("per_item"), F.when(F.col("confidence") > 0.01, F.col("confidence")).alias("overall"), F.when(F.col("type") != "view", F.col("type")).alias("plugin"), F.when(F.col("event_id") % 2 == 0, F.col("confidence") * 1000).alias("ms")), NOW)
+
+
 E = f"""(SELECT *, CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_id % 4 > 1 THEN created_at + 86400.0 END AS expires_at FROM (
  SELECT event_id, event_type AS type, event_type || ':props:' || k || ':user_' || (user_id % 7) AS cache_key, floor(epoch(ts))::DOUBLE AS created_at, round(value / 1000, 6) AS confidence, range(0, k % 5 + 1) AS result
  FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)) QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, event_id DESC) = 1)"""
@@ -117,6 +179,12 @@ QUERIES = {
     "j3_cache_after": lambda s, d: get_or_compute(_requests(s, d), entries(s, d), _computed, NOW)[1].select("cache_key", "type", "expires_at"),
     "j4_live": lambda s, d: live(entries(s, d), NOW).select("cache_key", "created_at"),
     "j5_exists": lambda s, d: exists(_requests(s, d).select("cache_key"), entries(s, d), NOW),
+    "j6_warm": lambda s, d: warmed(_requests(s, d), entries(s, d), NOW, lambda m: _computed(m).where(F.length(F.element_at(F.split("cache_key", ":"), 3)) > 1))[0],
+    "j6_warm_without_function": lambda s, d: warmed(_requests(s, d), entries(s, d), NOW)[0],
+    "j8_newest": lambda s, d: newest(entries(s, d)).select("cache_key", "created_at"),
+    "j12_documents": lambda s, d: _documents(s, d).select("cache_key", "field_name", "input_value", "media_type", "expansion_type", "overall_confidence", F.col("source_metadata.plugin_name").alias("plugin"), "expires_at"),
+    "j12_results": lambda s, d: from_documents(_documents(s, d)).select("cache_key", F.size("result").cast("long").alias("n"), F.round(F.aggregate(F.map_values("per_item"), F.lit(0.0), lambda a, x: a + x), 5).alias("sum"), "overall", "plugin", F.round("ms", 4).alias("ms")),
+    "j13_lookups": lambda s, d: found_by(_documents(s, d), field="props", media_type="user_3", least=0.01).select("cache_key", "overall_confidence"),
     "j7_stats": lambda s, d: stats(entries(s, d), NOW),
     "j8_summary": lambda s, d: summary(entries(s, d)),
     "j9_page": lambda s, d: page(entries(s, d), 20, 30).select("cache_key", "created_at"),
@@ -131,6 +199,12 @@ ORACLES = {
     "j3_cache_after": f"SELECT cache_key, type, expires_at FROM {E} WHERE cache_key IN (SELECT cache_key FROM {LIVE}) OR cache_key NOT IN (SELECT cache_key FROM {R}) UNION ALL SELECT cache_key, split_part(cache_key, ':', 1), {NOW + TTL} FROM {R} WHERE cache_key NOT IN (SELECT cache_key FROM {LIVE})",
     "j4_live": f"SELECT cache_key, created_at FROM {LIVE}",
     "j5_exists": f"SELECT cache_key, cache_key IN (SELECT cache_key FROM {LIVE}) AS cached FROM {R}",
+    "j6_warm": f"SELECT cache_key, cache_key IN (SELECT cache_key FROM {LIVE}) OR length(concept) > 1 AS warm FROM {R}",
+    "j6_warm_without_function": f"SELECT cache_key, cache_key IN (SELECT cache_key FROM {LIVE}) AS warm FROM {R}",
+    "j8_newest": f"SELECT cache_key, created_at FROM {E} ORDER BY created_at DESC, cache_key LIMIT 10",
+    "j12_documents": f"SELECT cache_key, split_part(cache_key, ':', 2) AS field_name, split_part(cache_key, ':', 3) AS input_value, split_part(cache_key, ':', 4) AS media_type, type AS expansion_type, CASE WHEN confidence > 0.01 THEN confidence END AS overall_confidence, CASE WHEN type <> 'view' THEN type ELSE 'unknown' END AS plugin, {NOW + TTL}::DOUBLE AS expires_at FROM {E}",
+    "j12_results": f"SELECT cache_key, len(result)::BIGINT AS n, round(CASE WHEN len(result) > 1 THEN list_sum(list_transform(result, lambda x: round(1 / (x + 1), 6))) ELSE 0.0 END, 5) AS sum, CASE WHEN confidence > 0.01 THEN confidence ELSE 0.0 END AS overall, CASE WHEN type <> 'view' THEN type ELSE 'unknown' END AS plugin, round(CASE WHEN event_id % 2 = 0 THEN confidence * 1000 ELSE 0.0 END, 4) AS ms FROM {E}",
+    "j13_lookups": f"SELECT cache_key, confidence AS overall_confidence FROM {E} WHERE split_part(cache_key, ':', 2) = 'props' AND split_part(cache_key, ':', 4) = 'user_3' AND confidence > 0.01 AND confidence >= 0.01",
     "j7_stats": f"SELECT type, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) FILTER (created_at >= {NOW} - 86400) AS last_day FROM {E} GROUP BY 1",
     "j8_summary": f"SELECT type, count(*) AS n, round(avg(len(result)), 2) AS concepts FROM {E} GROUP BY 1",
     "j9_page": f"SELECT cache_key, created_at FROM {E} ORDER BY created_at DESC, cache_key LIMIT 30 OFFSET 20",

@@ -54,6 +54,14 @@ def statistics(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return given.join(merged.groupBy("rec").agg(F.count("*").alias("final")), "rec", "left").fillna(0, ["final"])
 
 
+def merge_statistics(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The statistics of a union, from one pass over the keywords."""
+    once = rows.groupBy("rec", "keyword").agg(F.collect_set("provider").alias("providers"), F.count("*").alias("n"))  # a few providers
+    out = once.groupBy("rec").agg(F.sum("n").alias("given"), F.least(F.count("*"), F.lit(most)).alias("final"), *(F.max(F.array_contains("providers", p)).alias(f"has_{i}") for i, p in enumerate(sorted(WEIGHTS))))
+    named = F.array_compact(F.array(*(F.when(F.col(f"has_{i}"), F.lit(p)) for i, p in enumerate(sorted(WEIGHTS)))))
+    return out.select("rec", F.size(named).cast("long").alias("sources"), "given", F.array_join(named, ",").alias("providers"), F.col("final").cast("long").alias("final"))
+
+
 def borda(rows: DataFrame, most: int = 20) -> DataFrame:
     """Rank fusion: each source gives weight times (its length - rank)."""
     n = F.count("*").over(Window.partitionBy("rec", "provider"))
@@ -66,7 +74,7 @@ def factor_ranked(rows: DataFrame, most: int = 20) -> DataFrame:
     """0.4 provider weight + 0.3 frequency + 0.3 mean confidence, the first two relative to the record's largest."""
     per = rows.groupBy("rec", "keyword").agg(F.max(weight_of()).alias("w"), F.count("*").alias("n"), F.avg("confidence").alias("c"))
     w = Window.partitionBy("rec")
-    per = per.withColumn("score", F.round(0.4 * F.col("w") / F.max("w").over(w) + 0.3 * F.col("n") / F.max("n").over(w) + 0.3 * F.col("c"), 6))
+    per = per.withColumn("score", F.round(0.4 * F.col("w") / F.max("w").over(w) + 0.3 * F.col("n") / F.max("n").over(w) + 0.3 * F.col("c"), 10))
     return top_per_group(per, ["rec"], [F.col("score").desc(), "keyword"], most)
 
 
@@ -75,22 +83,37 @@ def combined_weight(field: F.Column, group: F.Column, plugin: F.Column) -> F.Col
     return F.least(F.greatest(product, F.lit(0.1)), F.lit(10.0))
 
 
+def normalised_weights(rows: DataFrame) -> DataFrame:
+    """rows with the weight of each provider as its share of those that a record's providers have together."""
+    own = rows.select("rec", "provider").distinct().withColumn("w", weight_of())
+    total = own.groupBy("rec").agg(F.sum("w").alias("total"))
+    return rows.join(total, "rec").withColumn("weight", weight_of() / F.col("total")).drop("total")
+
+
+def weighted_by(rows: DataFrame, weight: str = "weight", most: int = 20) -> DataFrame:
+    """As weighted, by the weights that stand in a column."""
+    scored = rows.groupBy("rec", "keyword").agg(F.round(F.sum(weight), 6).alias("score"), F.min(F.struct("provider", "pos")).alias("first"))
+    return top_per_group(scored, ["rec"], [F.col("score").desc(), "first", "keyword"], most)
+
+
 def sources(spark, sf) -> DataFrame:
-    """Three keyword sources of each document: key concepts, plain long words, words of the last sentence."""
+    """Three keyword sources of each document, from one scan: all key words, all plain long words, and the key words of its longest line."""
     d = table(spark, sf, "documents")
-    plain = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3), 1, 10)
-    tail = T.key_concepts(F.element_at(F.split("text", "\n"), -1), 8)
-    one = lambda p, a: d.select(F.col("doc_id").alias("rec"), F.lit(p).alias("provider"), F.posexplode(a).alias("pos", "keyword"))
-    rows = one("llm", T.key_concepts(F.col("text"))).unionByName(one("graph", plain)).unionByName(one("vector", tail))
+    lines = F.split("text", "\n")
+    longest = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+    plain = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)
+    placed = lambda p, a: F.transform(a, lambda k, i: F.struct(F.lit(p).alias("provider"), i.alias("pos"), k.alias("keyword")))
+    each = F.concat(placed("llm", T.key_words(F.col("text"))), placed("graph", F.array_distinct(plain)), placed("vector", T.key_words(longest)))
+    rows = d.select(F.col("doc_id").alias("rec"), F.explode(each).alias("x")).select("rec", "x.provider", "x.pos", "x.keyword")
     return normalise_sources(rows).withColumn("confidence", F.round(1 / (F.col("pos") + 1), 6))
 
 
-_TAIL = "(SELECT doc_id, string_split(text, chr(10))[-1] AS t FROM documents)"
+_LONGEST = "(SELECT doc_id, (list_max(list_transform(string_split(text, chr(10)), lambda x: {'n': length(x), 'line': x}))).line AS t FROM documents)"
 SOURCES_SQL = f"""
 SELECT rec, provider, pos, lower(trim(k)) AS keyword, round(1 / (pos + 1), 6) AS confidence FROM (
-  SELECT doc_id AS rec, 'llm' AS provider, pos, keyword AS k FROM ({concepts_sql('doc_id', 'text')})
-  UNION ALL SELECT doc_id, 'graph', unnest(range(0, len(l))), unnest(l) FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 3)[1:10] AS l FROM documents)
-  UNION ALL SELECT doc_id, 'vector', pos, keyword FROM ({concepts_sql('doc_id', 't', _TAIL, 8)})
+  SELECT doc_id AS rec, 'llm' AS provider, pos, keyword AS k FROM ({concepts_sql('doc_id', 'text', most=None)})
+  UNION ALL SELECT doc_id, 'graph', row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1, k FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS k FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 3) AS l FROM documents)) GROUP BY doc_id, k
+  UNION ALL SELECT doc_id, 'vector', pos, keyword FROM ({concepts_sql('doc_id', 't', _LONGEST, None)})
 ) WHERE lower(trim(k)) <> ''"""
 _W = "CASE provider WHEN 'llm' THEN 1.0 WHEN 'graph' THEN 0.8 WHEN 'vector' THEN 0.6 ELSE 0.5 END::DOUBLE"
 SUMMED_SQL = f"SELECT rec, keyword, count(*) AS n, count(DISTINCT provider) AS sources, sum({_W}) AS score, min({{'provider': provider, 'pos': pos}}) AS first FROM ({SOURCES_SQL}) GROUP BY 1, 2"
@@ -110,8 +133,9 @@ QUERIES = {
     "h3_intersection": lambda s, d: intersection(sources(s, d)),
     "h4_weighted": lambda s, d: _long(weighted(sources(s, d)).withColumn("score", F.round("score", 6)), "rec", "keyword", "score"),
     "h5_ranked": lambda s, d: _long(ranked(sources(s, d)), "rec", "keyword", "n"),
-    "h6_statistics": lambda s, d: statistics(sources(s, d), union(sources(s, d))),
+    "h6_statistics": lambda s, d: merge_statistics(sources(s, d)),
     "h7_min_sources": lambda s, d: intersection(sources(s, d), 2),
+    "h7_normalised_weights": lambda s, d: _long(weighted_by(normalised_weights(sources(s, d).where("provider <> 'llm' or rec % 3 > 0"))), "rec", "keyword", "score"),
     "h7_factors": lambda s, d: _long(factor_ranked(sources(s, d)), "rec", "keyword", "score"),
     "h9_borda": lambda s, d: _long(borda(sources(s, d)), "rec", "keyword", "score"),
     "h8_weights": lambda s, d: table(s, d, "part").select("p_partkey", F.round(combined_weight(F.col("p_size") / 10, F.when(F.col("p_size") % 3 != 0, F.col("p_retailprice") / 1000), F.lit(None).cast("double")), 6).alias("weight")),
@@ -124,7 +148,8 @@ ORACLES = {
     "h5_ranked": _top(SUMMED_SQL, "n DESC, first, keyword", "rec, keyword, n, rank"),
     "h6_statistics": f"SELECT rec, count(DISTINCT provider) AS sources, count(*) AS given, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers, least(count(DISTINCT keyword), 20) AS final FROM ({SOURCES_SQL}) GROUP BY 1",
     "h7_min_sources": f"SELECT rec, keyword, sources FROM ({SUMMED_SQL}) WHERE sources >= 2",
-    "h7_factors": _top(f"SELECT rec, keyword, round(0.4 * w / max(w) OVER (PARTITION BY rec) + 0.3 * n / max(n) OVER (PARTITION BY rec) + 0.3 * c, 6) AS score FROM (SELECT rec, keyword, max({_W}) AS w, count(*) AS n, avg(confidence) AS c FROM ({SOURCES_SQL}) GROUP BY 1, 2)", "score DESC, keyword", "rec, keyword, score, rank"),
+    "h7_normalised_weights": _top(f"WITH r AS (SELECT * FROM ({SOURCES_SQL}) WHERE provider <> 'llm' OR rec % 3 > 0), t AS (SELECT rec, sum(w) AS total FROM (SELECT DISTINCT rec, provider, {_W} AS w FROM r) GROUP BY 1) SELECT rec, keyword, round(sum({_W} / total), 6) AS score, min({{'provider': provider, 'pos': pos}}) AS first FROM r JOIN t USING (rec) GROUP BY 1, 2", "score DESC, first, keyword", "rec, keyword, score, rank"),
+    "h7_factors": _top(f"SELECT rec, keyword, round(0.4 * w / max(w) OVER (PARTITION BY rec) + 0.3 * n / max(n) OVER (PARTITION BY rec) + 0.3 * c, 10) AS score FROM (SELECT rec, keyword, max({_W}) AS w, count(*) AS n, avg(confidence) AS c FROM ({SOURCES_SQL}) GROUP BY 1, 2)", "score DESC, keyword", "rec, keyword, score, rank"),
     "h9_borda": _top(f"SELECT rec, keyword, round(sum(p), 6) AS score FROM (SELECT *, {_W} * (count(*) OVER (PARTITION BY rec, provider) - row_number() OVER (PARTITION BY rec, provider ORDER BY pos)) AS p FROM ({SOURCES_SQL})) GROUP BY 1, 2", "score DESC, keyword", "rec, keyword, score, rank"),
     "h8_weights": "SELECT p_partkey, round(least(greatest(p_size / 10 * CASE WHEN p_size % 3 <> 0 THEN p_retailprice / 1000 ELSE 1.0 END, 0.1), 10.0), 6) AS weight FROM part",
 }

@@ -2,64 +2,60 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import table
-from .expand import dot, unit
 from .text_jobs import concepts_sql, top_per_group
-
-#: Synonyms of temporal words, and words of time.
-SYNONYMS = {"recent": ("new", "latest", "current"), "classic": ("old", "vintage", "timeless"), "modern": ("contemporary", "current")}
-TIME_WORDS = ("year", "decade", "era", "period", "time")
+from .vectors import multi_word
+
+#: Words kin to a word of time, and words of time.
+SYNONYMS = {
+    "recent": ("new", "current", "contemporary", "modern", "latest", "fresh"),
+    "classic": ("old", "vintage", "retro", "traditional", "golden", "timeless"),
+    "90s": ("nineties", "decade", "era", "period", "grunge", "alternative"),
+    "vintage": ("old", "classic", "retro", "antique", "aged", "traditional"),
+    "modern": ("new", "current", "contemporary", "recent", "latest", "today"),
+}
+TIME_WORDS = ("year", "decade", "era", "period", "time", "age", "season")
 
 
 def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """(id, token, weight): the weight of every field that holds the token, added up."""
-    each = [docs.select(id_col, F.explode(T.key_concepts(F.col(f), 1000)).alias("token"), F.lit(w).alias("weight")) for f, w in fields.items()]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out.groupBy(id_col, "token").agg(F.sum("weight").alias("weight"))
+    """(id, token, weight) for all key words of whole fields: the weight of every field that holds the token, added up in the document's own row."""
+    held = [F.transform(F.coalesce(T.key_words(F.col(f)), F.array().cast("array<string>")), _weighed(w)) for f, w in fields.items()]
+    each = docs.select(id_col, F.explode(F.concat(*held)).alias("x"))
+    return each.select(id_col, "x.token", "x.weight").groupBy(id_col, "token").agg(F.sum("weight").alias("weight"))
+
 
+def _weighed(w: float):
+    return lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
 
-def search(index: DataFrame, queries: DataFrame, id_col: str, k: int = 10) -> DataFrame:
-    """query_id, id, score, rank: documents by the weights of the query's tokens they hold."""
-    tokens = queries.select("query_id", F.explode(T.key_concepts(F.col("text"))).alias("token"))
+
+def search(index: DataFrame, queries: DataFrame, id_col: str, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank: documents by the weights of the query's tokens they hold; with allowed, only its ids (the filter of a request)."""
+    tokens = queries.select("query_id", F.explode(T.key_words(F.col("text"))).alias("token"))
+    if allowed is not None:
+        index = index.join(allowed.select(id_col), id_col, "left_semi")
     scores = tokens.join(index, "token").groupBy("query_id", id_col).agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_per_group(scores, ["query_id"], [F.col("score").desc(), id_col], k)
 
 
-def relevance(concept: Column, term: Column) -> Column:
-    """1.5 where either holds the other, 1.3 for a synonym, 1.2 for a word of time, else 1."""
-    c, t = F.lower(concept), F.lower(term)
-    kin = c.contains(t) | t.contains(c)
-    alike = F.lit(False)
-    for k, words in SYNONYMS.items():
-        alike = alike | (c.contains(k) & t.isin(*words))
-    timely = F.lit(False)
-    for w in TIME_WORDS:
-        timely = timely | t.contains(w)
-    return F.when(kin, 1.5).when(alike, 1.3).when(timely, 1.2).otherwise(1.0)
+def relevance(generated: Column, term: Column) -> Column:
+    """Of a generated concept for a term of time: 1.5 where either holds the other, 1.3 for a kin word, 1.2 for a word of time, else 1."""
+    c, t = F.lower(generated), F.lower(term)
+    holds = lambda x, words: reduce(lambda a, b: a | b, (x.contains(w) for w in words))
+    kin = reduce(lambda a, b: a | b, (t.contains(k) & holds(c, words) for k, words in SYNONYMS.items()))
+    return F.when(c.contains(t) | t.contains(c), 1.5).when(kin, 1.3).when(holds(c, TIME_WORDS), 1.2).otherwise(1.0)
 
 
-def temporal_confidence(position: Column, term: Column, concept: Column) -> Column:
+def temporal_confidence(position: Column, generated: Column, term: Column) -> Column:
     """0.85, falling with position, by number of words and relevance; within 0.4 and 0.95."""
-    words = F.size(F.split(term, r"\s+"))
-    score = F.lit(0.85) * F.greatest(1 - position * 0.05, F.lit(0.6)) * F.least(F.greatest(words / 3, F.lit(0.8)), F.lit(1.2)) * relevance(concept, term)
-    return F.round(F.least(F.greatest(score, F.lit(0.4)), F.lit(0.95)), 4)
-
-
-def multi_word(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """concept, term, similarity: of the neighbours of a concept's words (concept, word), each term's best similarity, the first k.
-
-    The words are a stated query set; all vectors are compared with them.
-    """
-    q = queries.join(vectors.select(F.col("vec_id").alias("word"), unit(F.col("embedding")).alias("q")), "word")
-    v = vectors.select(F.col("vec_id").alias("term"), unit(F.col("embedding")).alias("v"))
-    best = v.crossJoin(q).where("term <> word").groupBy("concept", "term").agg(F.max(F.round(dot(F.col("q"), F.col("v")), 6)).alias("similarity"))
-    return top_per_group(best, ["concept"], [F.col("similarity").desc(), "term"], k)
+    words = F.size(F.split(generated, r"\s+"))
+    score = F.lit(0.85) * F.greatest(1 - position * 0.05, F.lit(0.6)) * F.least(F.greatest(words / 3, F.lit(0.8)), F.lit(1.2)) * relevance(generated, term)
+    return F.round(F.least(F.greatest(score, F.lit(0.4)), F.lit(0.95)), 6)
 
 
 def known(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -67,11 +63,6 @@ def known(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return queries.join(vocabulary, "word", "left_semi").select("concept").distinct()
 
 
-def new_fields(before: DataFrame, after: DataFrame) -> list[str]:
-    """Fields that an enrichment added."""
-    return [c for c in after.columns if c not in before.columns]
-
-
 def _queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -87,24 +78,35 @@ def _words(s, d):
 
 def _terms(s, d):
     p = table(s, d, "part")
-    return p.select("p_partkey", (F.col("p_partkey") % 12).alias("pos"), F.element_at(F.array(*map(F.lit, ("recent movie", "classic cinema", "modern"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("concept"), F.element_at(F.array(F.lit("new"), F.lit("vintage"), F.lit("golden era of film"), F.col("p_name"), F.lit("recent")), (F.col("p_size") % 5 + 1).cast("int")).alias("term"))
+    term = F.when(F.col("p_type") == "ECONOMY", "Recent").when(F.col("p_type") == "PROMO", "the 90s").when(F.col("p_size") > 25, "classic films").when(F.col("p_size") > 10, "modern").otherwise("vintage")
+    made = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("new "), F.col("p_name"))).when(F.col("p_size") % 5 == 1, "retro style").when(F.col("p_size") % 5 == 2, "Golden Era of film").when(F.col("p_size") % 5 == 3, F.concat("p_name", F.lit(" of the season"))).otherwise(F.lower("p_name"))
+    return p.select("p_partkey", (F.col("p_partkey") % 12).alias("pos"), term.alias("term"), made.alias("generated"))
 
 
-_REL = "CASE WHEN contains(concept, term) OR contains(term, concept) THEN 1.5 WHEN " + " OR ".join(f"(contains(concept, '{k}') AND term IN {w})" for k, w in SYNONYMS.items()) + " THEN 1.3 WHEN " + " OR ".join(f"contains(term, '{w}')" for w in TIME_WORDS) + " THEN 1.2 ELSE 1.0 END::DOUBLE"
-_TERMS = "(SELECT p_partkey, p_partkey % 12 AS pos, ['recent movie', 'classic cinema', 'modern'][p_partkey % 3 + 1] AS concept, lower(['new', 'vintage', 'golden era of film', p_name, 'recent'][p_size % 5 + 1]) AS term FROM part)"
+_ANY = lambda x, words: "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in words) + ")"
+_REL = "CASE WHEN contains(lower(generated), lower(term)) OR contains(lower(term), lower(generated)) THEN 1.5 WHEN " + " OR ".join(f"(contains(lower(term), '{k}') AND {_ANY('generated', w)})" for k, w in SYNONYMS.items()) + f" THEN 1.3 WHEN {_ANY('generated', TIME_WORDS)} THEN 1.2 ELSE 1.0 END::DOUBLE"
+_TERMS = "(SELECT p_partkey, p_partkey % 12 AS pos, CASE WHEN p_type = 'ECONOMY' THEN 'Recent' WHEN p_type = 'PROMO' THEN 'the 90s' WHEN p_size > 25 THEN 'classic films' WHEN p_size > 10 THEN 'modern' ELSE 'vintage' END AS term, CASE p_size % 5 WHEN 0 THEN 'new ' || p_name WHEN 1 THEN 'retro style' WHEN 2 THEN 'Golden Era of film' WHEN 3 THEN p_name || ' of the season' ELSE lower(p_name) END AS generated FROM part)"
 _UNIT = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS u FROM (SELECT *, sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings))"
 _WORDS = "(SELECT vec_id AS concept, unnest([vec_id, vec_id + 1, vec_id + 100000000]) AS word FROM embeddings WHERE vec_id % 20 = 0)"
-_INDEX = f"(SELECT doc_id, keyword AS token, sum(w) AS weight FROM (SELECT doc_id, keyword, 1.0::DOUBLE AS w FROM ({concepts_sql('doc_id', 'text', most=1000)}) UNION ALL SELECT doc_id, keyword, 2.0::DOUBLE FROM ({concepts_sql('doc_id', 'source', most=1000)})) GROUP BY 1, 2)"
+_INDEX = f"(SELECT doc_id, keyword AS token, sum(w) AS weight FROM (SELECT doc_id, keyword, 1.0::DOUBLE AS w FROM ({concepts_sql('doc_id', 'text', most=None)}) UNION ALL SELECT doc_id, keyword, 2.0::DOUBLE FROM ({concepts_sql('doc_id', 'source', most=None)})) GROUP BY 1, 2)"
+
+
+
+def _searched(where: str, k: int) -> str:
+    return f"SELECT query_id, doc_id, round(sum(weight), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(weight), 6) DESC, doc_id) AS rank FROM (SELECT item_id AS query_id, keyword AS token FROM ({concepts_sql('item_id', 'text', 'benchmark', None)})) JOIN {_INDEX} USING (token) WHERE {where} GROUP BY 1, 2 QUALIFY rank <= {k}"
+
 
 QUERIES = {
     "g2a_multi_word_neighbours": lambda s, d: multi_word(_words(s, d), table(s, d, "embeddings")).select("concept", "term", "similarity"),
     "g2b_vocabulary_coverage": lambda s, d: known(_words(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("word"))),
-    "g11_temporal_confidence": lambda s, d: _terms(s, d).select("p_partkey", relevance(F.col("concept"), F.col("term")).alias("relevance"), temporal_confidence(F.col("pos"), F.col("term"), F.col("concept")).alias("confidence")),
+    "g11_temporal_confidence": lambda s, d: _terms(s, d).select("p_partkey", relevance(F.col("generated"), F.col("term")).alias("relevance"), temporal_confidence(F.col("pos"), F.col("generated"), F.col("term")).alias("confidence")),
+    "h11_filtered_search": lambda s, d: search(_index(s, d), _queries(s, d), "doc_id", 5, table(s, d, "documents").where("lang = 'en'")).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")),
     "h11_field_search": lambda s, d: search(_index(s, d), _queries(s, d), "doc_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")),
 }
 ORACLES = {
     "g2a_multi_word_neighbours": f"SELECT concept, term, max(round(list_dot_product(a.u, b.u), 6)) AS similarity FROM (SELECT concept, word, u FROM {_WORDS} w JOIN {_UNIT} e ON w.word = e.vec_id) a, (SELECT vec_id AS term, u FROM {_UNIT}) b WHERE term <> word GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY similarity DESC, term) <= 5",
     "g2b_vocabulary_coverage": f"SELECT DISTINCT concept FROM {_WORDS} WHERE word IN (SELECT vec_id FROM embeddings)",
-    "g11_temporal_confidence": f"SELECT p_partkey, r AS relevance, round(least(greatest(0.85::DOUBLE * greatest(1 - pos * 0.05::DOUBLE, 0.6::DOUBLE) * least(greatest(len(string_split(term, ' ')) / 3, 0.8::DOUBLE), 1.2::DOUBLE) * r, 0.4::DOUBLE), 0.95::DOUBLE), 4) AS confidence FROM (SELECT *, {_REL} AS r FROM {_TERMS})",
-    "h11_field_search": f"SELECT query_id, doc_id, round(sum(weight), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(weight), 6) DESC, doc_id) AS rank FROM (SELECT item_id AS query_id, keyword AS token FROM ({concepts_sql('item_id', 'text', 'benchmark')})) JOIN {_INDEX} USING (token) GROUP BY 1, 2 QUALIFY rank <= 10",
+    "g11_temporal_confidence": f"SELECT p_partkey, r AS relevance, round(least(greatest(0.85::DOUBLE * greatest(1 - pos * 0.05::DOUBLE, 0.6::DOUBLE) * least(greatest(len(string_split(generated, ' ')) / 3, 0.8::DOUBLE), 1.2::DOUBLE) * r, 0.4::DOUBLE), 0.95::DOUBLE), 6) AS confidence FROM (SELECT *, {_REL} AS r FROM {_TERMS})",
+    "h11_filtered_search": _searched("doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')", 5),
+    "h11_field_search": _searched("true", 10),
 }

@@ -107,17 +107,44 @@ def breaker(c: DataFrame, failures: int = 5, idle_s: int = 60, slice_s: int = 36
     return joined.select("service", "id", state.alias("state"))
 
 
+#: Accuracy of window quantiles: the rank of a value is right to one part in so many.
+ACCURACY = 10_000
+
+
+def seconds(length: str) -> float:
+    """Seconds of a length such as "5 minutes"."""
+    n, unit = length.split()
+    return float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def windowed(c: DataFrame, length: str = "5 minutes", slide: str | None = None, *keys: str) -> DataFrame:
-    """Requests, errors, rate a second and latency quantiles by event-time window; works on streams with a watermark."""
+    """Requests, errors, rate a second and latency quantiles by event-time window; works on streams with a watermark.
+
+    Quantiles are values of the window whose rank is right to 1 / ACCURACY, so
+    a window's state stays small; in windows of up to ACCURACY values they are exact.
+    """
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return c.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.percentile("ms", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99))).alias("q")).select(F.unix_timestamp("w.start").alias("start"), *keys, "n", "errors", F.round(F.col("n") / F.lit(300.0), 6).alias("rate"), F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"), *(F.round(F.get("q", F.lit(i)), 4).alias(p) for i, p in enumerate(("p50", "p90", "p95", "p99"))))
+    quantiles = F.percentile_approx("ms", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99)), F.lit(ACCURACY))
+    rows = c.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), quantiles.alias("q"))
+    return rows.select(F.unix_timestamp("w.start").alias("start"), *keys, "n", "errors", F.round(F.col("n") / seconds(length), 6).alias("rate"), F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"), *(F.round(F.get("q", F.lit(i)), 4).alias(p) for i, p in enumerate(("p50", "p90", "p95", "p99"))))
+
+
+def per_minute(c: DataFrame, length: str = "5 minutes", *keys: str) -> DataFrame:
+    """Tasks done and failed a minute, by window."""
+    minutes = seconds(length) / 60
+    rows = c.groupBy(F.window("ts", length).alias("w"), *keys).agg(F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("failed"))
+    return rows.select(F.unix_timestamp("w.start").alias("start"), *keys, *(F.round(F.col(x) / minutes, 6).alias(x) for x in ("done", "failed")))
 
 
 def gauges(c: DataFrame) -> DataFrame:
-    """Latest sample of each series, and the sum of a counter's increases (a fall is a reset)."""
+    """Of each series: the latest sample, whether it is up, how many of its tasks are in progress, the sum of its counter's increases (a fall is a reset), and that a second in percent."""
     w = Window.partitionBy("service").orderBy("ts", "id")
     step = F.col("ms") - F.lag("ms").over(w)
-    return c.withColumn("up", F.when(step >= 0, step).when(step < 0, F.col("ms"))).groupBy("service").agg(F.round(F.max_by("ms", F.struct("ts", "id")), 4).alias("latest"), F.round(F.sum("up"), 4).alias("increase"))
+    at = F.struct("ts", "id")
+    rows = c.withColumn("up", F.when(step >= 0, step).when(step < 0, F.col("ms")))
+    out = rows.groupBy("service").agg(F.round(F.max_by("ms", at), 4).alias("latest"), F.max_by("ok", at).alias("is_up"), F.greatest(F.count_if(F.col("event_type") == "view") - F.count_if(F.col("event_type") == "click"), F.lit(0)).alias("in_progress"), F.round(F.sum("up"), 4).alias("increase"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    span = F.unix_micros("t1") - F.unix_micros("t0")
+    return out.withColumn("rate_percent", F.when(span > 0, F.round(F.col("increase") / (span / 1e6) * 100, 4))).drop("t0", "t1")
 
 
 def routed(tasks: DataFrame, attempts: F.Column, most: int = 3, delay: float = 2.0) -> DataFrame:
@@ -135,7 +162,7 @@ C = "(SELECT user_id AS service, ts, event_id AS id, event_type <> 'error' AS ok
 H = f"""(SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY service, island ORDER BY ts, id)::BIGINT AS failures FROM (SELECT *, avg(ms) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS rolling_ms, CASE WHEN NOT ok THEN 'UNHEALTHY' WHEN ms < 100 THEN 'HEALTHY' ELSE 'DEGRADED' END AS status, sum(ok::INT) OVER w AS island, last_value(CASE WHEN ok THEN ts END IGNORE NULLS) OVER w AS last_healthy FROM {C} WINDOW w AS (PARTITION BY service ORDER BY ts, id)))"""
 _h = lambda s, d: health(_c(s, d), slow=100.0)
 _S = f"(SELECT count(*) AS services, count(*) FILTER (status = 'HEALTHY') AS healthy, count(*) FILTER (status = 'DEGRADED') AS degraded, count(*) FILTER (status = 'UNHEALTHY') AS unhealthy FROM (SELECT service, arg_max(status, {{'t': ts, 'i': id}}) AS status FROM {H} GROUP BY 1))"
-_Q = ", ".join(f"round(quantile_cont(ms, {q}), 4) AS p{n}" for q, n in ((0.5, 50), (0.9, 90), (0.95, 95), (0.99, 99)))
+_Q = ", ".join(f"round(list_sort(list(ms))[greatest(1, ceil({q}::DOUBLE * count(*)))::INT], 4) AS p{n}" for q, n in ((0.5, 50), (0.9, 90), (0.95, 95), (0.99, 99)))
 
 QUERIES = {
     "l1_rolling_health": lambda s, d: _h(s, d).select("id", F.round("rolling_ms", 6).alias("rolling_ms"), "status", F.col("failures").cast("long").alias("failures"), F.unix_timestamp("last_healthy").alias("last_healthy")),
@@ -151,6 +178,8 @@ QUERIES = {
     "l12_breaker": lambda s, d: breaker(_c(s, d), 2, 3600),
     "l13_windows": lambda s, d: windowed(_c(s, d), "5 minutes"),
     "l13_sliding_by_type": lambda s, d: windowed(_c(s, d), "5 minutes", "1 minute", "event_type").select("start", "event_type", "n", "rate"),
+    "l13_minute_windows": lambda s, d: windowed(_c(s, d), "1 minutes").select("start", "n", "rate"),
+    "l16_tasks_per_minute": lambda s, d: per_minute(_c(s, d), "5 minutes", "event_type"),
     "l17_gauges": lambda s, d: gauges(_c(s, d)),
     "l18_routing": lambda s, d: routed(_c(s, d), (F.col("id") % 5).cast("long")),
 }
@@ -166,8 +195,11 @@ ORACLES = {
     "l9_recommendations": f"SELECT service, failures, CASE WHEN failures >= 5 THEN 'high/restart' WHEN failures >= 3 THEN 'medium/check' ELSE 'low/monitor' END AS advice FROM (SELECT service, arg_max(failures, {{'t': ts, 'i': id}}) AS failures FROM {H} GROUP BY 1)",
     "l10_counters": f"SELECT event_type, count(*) AS executions, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, round(sum(ms), 4) AS total_ms, round(avg(ms), 4) AS mean_ms FROM {C} GROUP BY 1",
     "l11_request_metrics": f"SELECT count(*) AS total, count(*) FILTER (NOT ok) AS failed, round(avg(ok::INT), 6) AS success_rate, round(avg(ms), 4) AS mean_ms FROM {C}",
+    "l12_breaker": f"SELECT service, id, CASE WHEN ok OR number < 2 THEN 'CLOSED' WHEN gap > 2 THEN 'HALF_OPEN' ELSE 'OPEN' END AS state FROM (SELECT *, max(CASE WHEN NOT ok AND ts - before >= INTERVAL 3600 SECOND THEN number END) OVER r AS gap FROM (SELECT *, sum((NOT ok)::INT) OVER r AS number, lag(CASE WHEN NOT ok THEN ts END) OVER r AS before FROM (SELECT *, sum(ok::INT) OVER (PARTITION BY service ORDER BY ts, id) AS island FROM {C}) WINDOW r AS (PARTITION BY service, island ORDER BY ts, id)) WINDOW r AS (PARTITION BY service, island ORDER BY ts, id))",
     "l13_windows": f"SELECT {_WIN} AS start, count(*) AS n, count(*) FILTER (NOT ok) AS errors, round(count(*) / 300.0, 6) AS rate, round(count(*) FILTER (NOT ok) / count(*), 6) AS error_rate, {_Q} FROM {C} GROUP BY 1",
     "l13_sliding_by_type": f"SELECT start, event_type, count(*) AS n, round(count(*) / 300.0, 6) AS rate FROM (SELECT event_type, epoch(time_bucket(INTERVAL 1 MINUTE, ts))::BIGINT - 60 * k AS start FROM {C}, range(5) r(k)) GROUP BY 1, 2",
-    "l17_gauges": f"SELECT service, round(arg_max(ms, {{'t': ts, 'i': id}}), 4) AS latest, round(sum(CASE WHEN ms - b >= 0 THEN ms - b WHEN ms - b < 0 THEN ms END), 4) AS increase FROM (SELECT *, lag(ms) OVER (PARTITION BY service ORDER BY ts, id) AS b FROM {C}) GROUP BY 1",
+    "l13_minute_windows": f"SELECT epoch(time_bucket(INTERVAL 1 MINUTE, ts))::BIGINT AS start, count(*) AS n, round(count(*) / 60.0, 6) AS rate FROM {C} GROUP BY 1",
+    "l16_tasks_per_minute": f"SELECT {_WIN} AS start, event_type, round(count(*) FILTER (ok) / 5.0, 6) AS done, round(count(*) FILTER (NOT ok) / 5.0, 6) AS failed FROM {C} GROUP BY 1, 2",
+    "l17_gauges": f"SELECT service, latest, is_up, in_progress, increase, CASE WHEN span > 0 THEN round(increase / (span / 1e6) * 100, 4) END AS rate_percent FROM (SELECT service, round(arg_max(ms, {{'t': ts, 'i': id}}), 4) AS latest, arg_max(ok, {{'t': ts, 'i': id}}) AS is_up, greatest(count(*) FILTER (event_type = 'view') - count(*) FILTER (event_type = 'click'), 0) AS in_progress, round(sum(CASE WHEN ms - b >= 0 THEN ms - b WHEN ms - b < 0 THEN ms END), 4) AS increase, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM (SELECT *, lag(ms) OVER (PARTITION BY service ORDER BY ts, id) AS b FROM {C}) GROUP BY 1)",
     "l18_routing": f"SELECT id, id % 5 AS attempts, CASE WHEN id % 5 < 3 THEN 'retry' ELSE 'dead_letter' END AS route, CASE WHEN id % 5 < 3 THEN pow(2.0, id % 5) * 2.0 END AS delay_s FROM {C} WHERE NOT ok",
 }

@@ -8,9 +8,22 @@ from ..functions import text as T
 from ..operators.records import PART_RULES, _ERRORS
 from ..operators.text_jobs import key_sql
 from ..sources.tables import rule_table, table
-from .enrich import Plan
+from ..operators.detect import _film, content_analysis
+from ..operators.expand import embellished
+from ..operators.questions import LOG, log, search_terms
+from .enrich import Group, Plan, Step, analysed
+
+PLAN = Plan(constraints=PART_RULES, enrichments=[Step("key", ("p_name",), T.key_part), Step("brand_key", ("p_brand",), T.key_part)], prompts={"prompt": "Name {p_name} as {key} of {brand_key}"}, overrides={"p_type": "key"})
+_words = lambda c: F.split(F.lower(c), " ")
+#: Two keyword sources that only their merge sees, and prompts chained by reference.
+CHAIN = Plan(
+    enrichments=[
+        Group([Step("name_words", ("p_name",), _words), Step("type_words", ("p_type",), _words)], [Step("merged", ("name_words", "type_words"), lambda a, b: F.array_distinct(F.concat(a, b)))]),
+        Step("size", ("p_size", "merged"), lambda n, m: F.struct(n.alias("value"), F.size(m).alias("keywords"))),
+    ],
+    prompts={"first": "About {@merged}: {@merged.0} of size {@size.value}", "second": "{@first}? {@size.keywords} words, not {@merged.9}"},
+)
 
-PLAN = Plan(constraints=PART_RULES, enrichments=[("key", "p_name", T.key_part), ("brand_key", "p_brand", T.key_part)], prompts={"prompt": "Name {p_name} as {key} of {brand_key}"}, overrides={"p_type": "key"})
 #: Questions asked of a field by what its name contains.
 QUESTIONS = {"name": ("What is this about?", "Who made it?"), "type": ("Which kind is it?",), "comment": ("What is remarkable?",)}
 
@@ -25,11 +38,41 @@ def questions(spark, sf):
 
 
 _RULES = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{q}')" for k, qs in QUESTIONS.items() for q in qs) + ") v(part, question))"
+
+
+def _embellished(s, d):
+    """Texts of the log lower-cased, without question marks, then cut to their search terms."""
+    replace = lambda make: lambda df, c: df.withColumn(c, make(F.col(c)))
+    steps = (replace(lambda t: F.trim(F.replace(F.lower(t), F.lit("?"), F.lit("")))), replace(lambda t: F.array_join(search_terms(t), " ")))
+    return embellished(log(s, d), "text", *steps)
+
+
+def _analysed(s, d):
+    f = _film(s, d).withColumn("kind", F.when(F.col("o_orderkey") % 3 == 0, "movie").when(F.col("title") == "1-URGENT", "tv_show").when(F.col("title").isNotNull(), "book").otherwise("game"))
+    fields = {n: F.col(n) for n in ("name", "title", "people")}
+    own = {t: {"heading": (a := content_analysis(t, fields))["title"], "makers": F.array_join(a["people"]["creators"], ",")} for t in ("movie", "tv_show", "book")}
+    return analysed(f, "kind", own).select("o_orderkey", "kind", "heading", "makers")
+
+
+_FILM = "(SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'movie' WHEN title = '1-URGENT' THEN 'tv_show' WHEN title IS NOT NULL THEN 'book' ELSE 'game' END AS kind FROM (SELECT *, CASE WHEN o_totalprice > 100000 THEN 'Order ' || o_orderkey END AS name, CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS title FROM orders))"
+_MAKERS = "CASE WHEN kind IN ('movie', 'tv_show') THEN array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'clerk ' || o_custkey END, CASE WHEN o_orderstatus <> 'P' THEN lower(o_orderpriority) END], lambda x: x IS NOT NULL), ',') WHEN kind = 'book' THEN '' END"
+_SEARCHED = "trim(replace(t, '?', ''))"
+for _w in ("find", "search", "show", "movies", "films", "with", "featuring", "about"):
+    _SEARCHED = f"replace({_SEARCHED}, '{_w}', ' ')"
+_MERGED = "(SELECT p_partkey, p_size, list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: list_position(l, z[1]) = z[2]), lambda z: z[1]) AS m FROM (SELECT *, string_split(lower(p_name), ' ') || string_split(lower(p_type), ' ') AS l FROM part))"
+_FIRST = "'About ' || array_to_string(m, ', ') || ': ' || m[1] || ' of size ' || p_size"
+
 QUERIES = {
+    "m2_embellished": lambda s, d: _embellished(s, d).select("query_id", "text"),
+    "m6_media_analysis": _analysed,
+    "m8_chained_plan": lambda s, d: CHAIN.apply(table(s, d, "part")).select("p_partkey", "first", "second"),
     "m8_compiled_plan": lambda s, d: PLAN.apply(table(s, d, "part")).select("p_partkey", F.array_join("errors", ",").alias("errors"), "prompt", "p_type"),
     "g17_question_requests": questions,
 }
 ORACLES = {
+    "m2_embellished": f"SELECT query_id, array_to_string(list_filter(string_split_regex({_SEARCHED}, '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for')), ' ') AS text FROM (SELECT *, lower(text) AS t FROM {LOG})",
+    "m6_media_analysis": f"SELECT o_orderkey, kind, CASE kind WHEN 'book' THEN coalesce(title, name, 'Unknown Title') WHEN 'movie' THEN coalesce(name, title, 'Unknown Title') WHEN 'tv_show' THEN coalesce(name, title, 'Unknown Title') END AS heading, {_MAKERS} AS makers FROM {_FILM}",
+    "m8_chained_plan": f"SELECT p_partkey, {_FIRST} AS first, {_FIRST} || '? ' || len(m) || ' words, not ' AS second FROM {_MERGED}",
     "m8_compiled_plan": f"SELECT p_partkey, {_ERRORS} AS errors, 'Name ' || p_name || ' as ' || {key_sql('p_name')} || ' of ' || {key_sql('p_brand')} AS prompt, {key_sql('p_name')} AS p_type FROM part",
     "g17_question_requests": f"SELECT field, value, question FROM (SELECT DISTINCT unnest(['p_name', 'p_type']) AS field, unnest([p_name, p_type]) AS value FROM part) f JOIN {_RULES} r ON contains(field, part)",
 }

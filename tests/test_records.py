@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tesserine.operators import records as r
 from tesserine.operators.cache import get_or_compute, purged
 from tesserine.operators.detect import detect_by_presence
-from tesserine.plans.enrich import Plan, answered
+from tesserine.plans.enrich import Plan, Step, answered
 from tesserine.sources.tables import load_records, stamped, write_routed
 
 MOVIE = {"ProductionYear": {"min": 1888, "max": 2030}, "CommunityRating": {"min": 0, "max": 10}, "Genres": {"max_items": 3}, "Name": {}, "Id": {}}
@@ -33,13 +33,22 @@ def test_computed_fields(spark):
 def test_json_items(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"Name": "x", "Id": "1"}))
     (tmp_path / "two.json").write_text(json.dumps([{"Name": "y", "Id": "2", "Extra": 3}, {"Name": "z", "Id": "3"}]))
-    items = load_records(spark, str(tmp_path))
-    assert {(i.Name, i.Id) for i in items.collect()} == {("x", "1"), ("y", "2"), ("z", "3")}
+    items, rejected = load_records(spark, str(tmp_path))
+    assert {(i.Name, i.Id) for i in items.collect()} == {("x", "1"), ("y", "2"), ("z", "3")} and rejected.collect() == []
     out = str(tmp_path / "out")
     write_routed(stamped(items, "movie", now="2024-01-01"), out)
     assert spark.read.parquet(out).where("_media_type = 'movie' and _enrichment_version = '2.0'").count() == 3
 
 
+def test_undeclared_keys_and_rejected_items(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"Name": "y", "Id": "2", "Extra": [3, {"k": 1}]}, {"Id": "3"}, 7]))
+    (tmp_path / "b.json").write_text("{ not json")
+    (tmp_path / "c.json").write_text(json.dumps({"Name": "z", "Id": "4", "Extra": None}))
+    items, rejected = load_records(spark, str(tmp_path), "Name string, Id string", ["Name"])
+    assert {i.Id: json.loads(i.raw).get("Extra") for i in items.collect()} == {"2": [3, {"k": 1}], "4": None}
+    assert sorted((r.raw, r.reason) for r in rejected.collect()) == [("7", "not JSON"), ('{ not json', "not JSON"), ('{"Id":"3"}', "without Name")]
+
+
 def test_profile_cascade(spark):
     values = {"A readable overview of it": "TEXT_CONTENT", "1994": "METADATA", "8,5": "METADATA", "http://a.b/1234567890123456": "IDENTIFIERS", "0123456789abcdef01234": "IDENTIFIERS", "?": "UNKNOWN"}
     df = spark.createDataFrame([(v,) for v in values], "v string")
@@ -66,7 +75,7 @@ def test_cache_strategies(spark):
 def test_compiled_plan_and_model_requests(spark):
     import pyarrow as pa
 
-    plan = Plan(constraints=MOVIE, required=("Name",), enrichments=[("loud", "Name", F.upper)], prompts={"prompt": "Ask {Name} {loud}"})
+    plan = Plan(constraints=MOVIE, required=("Name",), enrichments=[Step("loud", ("Name",), F.upper)], prompts={"prompt": "Ask {Name} {loud}"})
     assert plan.apply(movies(spark)).where("Id = '1'").select("prompt").first()[0] == "Ask a A"
 
     def model(batches):
