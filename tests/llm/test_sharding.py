@@ -48,13 +48,31 @@ def test_cases(spark):
 
 
 def test_smallest_capacity(spark):
+    """Stretches of one digit of some hundred groups, which have to be opened; some groups are as large as a third of all."""
     r = random.Random(6)
-    for n in (1, 2, 5):
-        sizes = [r.choice((1, 5, 90, 400)) for _ in range(60)]
-        upto = [sum(sizes[: i + 1]) for i in range(len(sizes))]
-        table = written(spark.createDataFrame(list(zip(sizes, upto)), "bytes long, upto long"), "t")
-        capacity, ends = s.cuts(table, n)
-        assert capacity == least_capacity(sizes, n) and ends[-1] == sum(sizes)
+    for n, most in ((1, 400), (2, 400), (5, 400), (8, 30), (4, 9000)):
+        groups = sorted({f"{r.getrandbits(128):032x}": r.choice((1, 5, 90, most)) for _ in range(400)}.items())
+        sizes = [b for _, b in groups]
+        table = written(spark.createDataFrame(groups, "`group` string, bytes long"), "t")
+        want = least_capacity(sizes, n)
+        ends, room = [""], want
+        for (g, b), before in zip(groups, ["", *(g for g, _ in groups)]):
+            if b > room:
+                ends.append(before)
+                room = want
+            room -= b
+        capacity, last = s.cuts(table, n, digits=1)
+        assert capacity == want and last[: len(ends) - 1] == ends[1:] and all(g == groups[-1][0] for g in last[len(ends) - 1 :])
+
+
+def test_few_scans(spark, monkeypatch):
+    """The whole table is summed once, opened stretches a few times."""
+    calls = []
+    sums = s._stretches
+    monkeypatch.setattr(s, "_stretches", lambda g, d: calls.append(d) or sums(g, d))
+    table = written(spark.range(20000).selectExpr("md5(string(id)) as `group`", "id % 1000 + 1 as bytes"), "t")
+    s.cuts(table, 8, digits=2)
+    assert calls.count(2) == 1 and len(calls) <= 4
 
 
 def test_whole_table(spark):
