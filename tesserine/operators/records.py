@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import as_json, latest, stamped, table, upsert, with_options, write_routed
+from ..sources.tables import as_json, latest, scratch_path, stamped, table, upsert, with_options, write_routed
 from .text_jobs import key_sql
 
 # --- validation -----------------------------------------------------------------
@@ -251,10 +251,7 @@ def _stored(s, d) -> DataFrame:
 
 def _routed(s, d):
     """A folder for each media type, written and read again."""
-    import uuid
-
-    # Spark's own scratch of the warehouse, which driver and executors share.
-    path = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserine-routed-{uuid.uuid4().hex}"
+    path = scratch_path(s, "routed")
     write_routed(_stored(s, d), path)
     return s.read.parquet(path).groupBy("_media_type").agg(F.count("*").alias("n"), F.min("Id").alias("first"))
 

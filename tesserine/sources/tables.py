@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -13,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names for checkpoints, or else in the warehouse: both are shared by driver and executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tesserine-{name}-{uuid.uuid4().hex}"
+
+
 def load_records(spark: SparkSession, path: str, schema: str | None = None, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(items, rejected) of JSON files that each hold an array of objects or one.
 
