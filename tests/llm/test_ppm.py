@@ -17,7 +17,7 @@ def brute(docs, learned):
     for i, t in docs:
         if learned(i):
             count.update(TOKEN.findall(lower(t)) + [None])
-            data = b"\0" * p.ORDER + lower(t) + b"\0"
+            data = b"\0" * p.ORDER + lower(t).replace(b"\0", b"\xff") + b"\0"
             for at in range(p.ORDER, len(data)):
                 for k in range(p.ORDER + 1):
                     follow[k][data[at - k : at]][data[at]] += 1
@@ -26,7 +26,7 @@ def brute(docs, learned):
     for i, t in docs:
         words = TOKEN.findall(lower(t)) + [None]
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words)
-        data, score = b"\0" * p.ORDER + lower(t) + b"\0", 0.0
+        data, score = b"\0" * p.ORDER + lower(t).replace(b"\0", b"\xff") + b"\0", 0.0
         for at in range(p.ORDER, len(data)):
             excluded, s = set(), data[at]
             for k in range(p.ORDER, -1, -1):
@@ -71,24 +71,21 @@ def test_cases(spark, monkeypatch):
 
 def test_probabilities_of_all_bytes_add_up(spark):
     import numpy as np
+    from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("abracadabra abra",), ("banana band",)], "text string")
-    trie = p.train(df)
+    keys, counts = np.unique(p.contexts([b"abracadabra abra", b"banana band"])[0].astype(np.int64), return_counts=True)
+    levels = p.trie_levels(spark.createDataFrame(list(zip(keys.tolist(), counts.tolist())), "key long, n long"))
+    known = dict(zip(keys.tolist(), counts.tolist()))
     for ctx in (b"\0\0abr", b"anana", b"xyzab", b"zzzzz", b"\0\0\0\0\0", b"band "):
-        keys = np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert abs((10 ** trie.score(keys)).sum() - 1) < 1e-9
-
+        asked = [int.from_bytes(ctx + bytes([s]), "big") for s in range(256)]
+        rows = p.scored_contexts(spark.createDataFrame([(k, known.get(k, 0)) for k in asked], "key long, n long"), levels)
+        assert abs(rows.agg(F.sum(F.pow(F.lit(10.0), "value"))).first()[0] - 1) < 1e-9
 
-def test_bound_of_nodes(spark, monkeypatch):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    whole = p.train(df)
-    monkeypatch.setattr(p, "MAX_NODES", sum(len(k) for k, _ in whole.levels[3:]) // 3)
-    few = p.train(df)
-    assert 0 < sum(len(k) for k, _ in few.levels[3:]) <= p.MAX_NODES
-    import numpy as np
 
-    keys = np.arange(256, dtype=np.uint64) + (np.uint64(int.from_bytes(b"n the", "big")) << np.uint64(8))
-    assert abs((10 ** few.score(keys)).sum() - 1) < 1e-9
+def test_zero_bytes_are_not_the_end():
+    assert len(set(p.contexts([b"a\0b", b"a"])[0].tolist())) == 5
+    assert p.contexts([b"\0"])[0][0] != p.contexts([b""])[0][0]
+    assert len(p.contexts([])[0]) == 0
 
 
 def test_whole_table(spark):
@@ -99,10 +96,18 @@ def test_whole_table(spark):
     check(rows, docs, lambda i: not held(i))
 
 
-def test_scores_do_not_depend_on_a_bound_of_nodes(spark, monkeypatch):
+def test_blocks_and_pieces_of_any_size(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(p, "MAX_NODES", 20)
-    docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the hog sat"] * 3)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    check(p.score_documents(df, F.col("doc_id") % 3 != 0).collect(), docs, lambda i: i % 3 != 0)
+    for block, loose, places in ((40, 10, 8), (1 << 20, 50, 1 << 16)):
+        for name, value in (("BLOCK", block), ("LOOSE", loose), ("PLACES", places)):
+            monkeypatch.setattr(p, name, value)
+        docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the hog sat"] * 3)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        check(p.score_documents(df, F.col("doc_id") % 3 != 0).collect(), docs, lambda i: i % 3 != 0)
+
+
+def test_nothing_is_gathered_by_context(spark):
+    """Contexts and words travel as rows; only a block's own rows meet in one group."""
+    plan = p.op3_ppm(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") >= 1 and "FlatMapGroupsInArrow" not in plan and "BroadcastHashJoin" not in plan
