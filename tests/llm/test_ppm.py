@@ -71,15 +71,15 @@ def test_cases(spark, monkeypatch):
 
 def test_probabilities_of_all_bytes_add_up(spark):
     import numpy as np
-    from pyspark.sql import functions as F
 
-    keys, counts = np.unique(p.contexts([b"abracadabra abra", b"banana band"])[0].astype(np.int64), return_counts=True)
-    levels = p.trie_levels(spark.createDataFrame(list(zip(keys.tolist(), counts.tolist())), "key long, n long"))
-    known = dict(zip(keys.tolist(), counts.tolist()))
+    table = p.trie_table(spark.createDataFrame([("abracadabra abra",), ("banana band",)], "text string"), slices=3, groups=2)
+    levels = [[] for _ in range(p.ORDER + 1)]
+    for r in table.where("level > 1").collect():
+        levels[r["level"]].append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)))
+    trie = p.Trie([*p.shortest(table), *(p.added(*map(np.concatenate, zip(*rows))) for rows in levels[2:])])
     for ctx in (b"\0\0abr", b"anana", b"xyzab", b"zzzzz", b"\0\0\0\0\0", b"band "):
-        asked = [int.from_bytes(ctx + bytes([s]), "big") for s in range(256)]
-        rows = p.scored_contexts(spark.createDataFrame([(k, known.get(k, 0)) for k in asked], "key long, n long"), levels)
-        assert abs(rows.agg(F.sum(F.pow(F.lit(10.0), "value"))).first()[0] - 1) < 1e-9
+        keys = np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)], np.uint64)
+        assert abs((10 ** trie.score(keys)).sum() - 1) < 1e-9
 
 
 def test_zero_bytes_are_not_the_end():
@@ -96,18 +96,12 @@ def test_whole_table(spark):
     check(rows, docs, lambda i: not held(i))
 
 
-def test_blocks_and_pieces_of_any_size(spark, monkeypatch):
+def test_blocks_and_parts_of_any_size(spark, monkeypatch):
+    """Small blocks, parts dealt to several tasks, counts added up in groups of tasks."""
     from pyspark.sql import functions as F
 
-    for block, loose, places in ((40, 10, 8), (1 << 20, 50, 1 << 16)):
-        for name, value in (("BLOCK", block), ("LOOSE", loose), ("PLACES", places)):
-            monkeypatch.setattr(p, name, value)
-        docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the hog sat"] * 3)]
-        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-        check(p.score_documents(df, F.col("doc_id") % 3 != 0).collect(), docs, lambda i: i % 3 != 0)
-
-
-def test_nothing_is_gathered_by_context(spark):
-    """Contexts and words travel as rows; only a block's own rows meet in one group."""
-    plan = p.op3_ppm(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert plan.count("FlatMapCoGroupsInArrow") >= 1 and "FlatMapGroupsInArrow" not in plan and "BroadcastHashJoin" not in plan
+    for name, value in (("BLOCK", 40), ("LOOSE", 10), ("ASKED_BYTES", 40), ("APART", 20)):
+        monkeypatch.setattr(p, name, value)
+    docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the hog sat"] * 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(p.score_documents(df, F.col("doc_id") % 3 != 0).collect(), docs, lambda i: i % 3 != 0)
