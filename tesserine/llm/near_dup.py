@@ -38,6 +38,8 @@ BANDS, ROWS = 16, 4
 TERMS, PARTS = 1 << 18, 64
 #: Bits kept of each sample for the sketch that rules pairs out, and samples that may differ in it: a pair at the threshold exceeds that with probability below 0.000003.
 SKETCH_BITS, MAY_DIFFER = 4, 28
+#: Members of a bucket that one task of its joins takes, about.
+HOT = 1024
 #: Texts of a bucket that a group compares, with how many others, and bytes of either.
 OUTSIDERS, OTHERS, GROUP_BYTES = 512, 2048, 16 << 20
 CHUNK = 1 << 19
@@ -210,8 +212,10 @@ def _outsiders(rest: DataFrame, sent, threshold: float) -> DataFrame:
     at most, and no pairs.
     """
     size = F.octet_length("text")
-    sizes = rest.groupBy("band").agg(F.greatest(F.ceil(F.count_if("outside") / OUTSIDERS), F.ceil(F.sum(F.when(F.col("outside"), size)) / GROUP_BYTES)).alias("parts"), F.greatest(F.ceil(F.count("*") / OTHERS), F.ceil(F.sum(size) / GROUP_BYTES)).alias("slices"))
-    dealt = rest.join(written(sizes, "bands"), "band").withColumn("h", F.xxhash64("x.node"))
+    sizes = rest.groupBy("band", "salt").agg(F.count_if("outside").alias("o"), F.sum(F.when(F.col("outside"), size)).alias("ob"), F.count("*").alias("n"), F.sum(size).alias("nb"))
+    sizes = sizes.groupBy("band").agg(F.greatest(F.ceil(F.sum("o") / OUTSIDERS), F.ceil(F.sum("ob") / GROUP_BYTES)).alias("parts"), F.greatest(F.ceil(F.sum("n") / OTHERS), F.ceil(F.sum("nb") / GROUP_BYTES)).alias("slices"), (F.max("salt") + 1).alias("salts"))
+    sizes = written(sizes, "bands").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    dealt = rest.join(sizes, ["band", "salt"]).withColumn("h", F.xxhash64("x.node"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     found = dealt.select("band", every("parts").alias("part"), F.pmod("h", "slices").alias("slice"), F.lit(False).alias("seeks"), "nth", "x", "component", "outside", "text")
     seeking = dealt.where("outside").select("band", F.pmod("h", "parts").alias("part"), every("slices").alias("slice"), F.lit(True).alias("seeks"), "nth", "x", "component", "outside", "text")
@@ -273,28 +277,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     placed = written(placed.join(sizes, "band"), "buckets")
     central = placed.groupBy("node").agg(F.sum("size").alias("rank"))
     about = central.join(nodes, "node").select(F.struct("node", "weight", "bands", "sketch", "rank").alias("x"), "least")
-    members = written(placed.drop("size").join(about, F.col("node") == F.col("x.node")).select("band", "nth", "x"), "members")
+    # Of a bucket with many members, `salt` deals them to several tasks, of which each gets what all of them need.
+    salts = F.ceil(F.col("size") / HOT).cast("int")
+    members = placed.join(about, F.col("node") == F.col("x.node"))
+    members = written(members.select("band", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), salts.alias("salts"), "nth", "x"), "members")
     source = docs.select(F.col(id_col).cast("long").alias("id"), _node(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     texts = source.join(about.select("x.node", "least"), (F.col("key") == F.col("node")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "candidate-texts")
     dropped(spark, placed)
 
-    def links(chosen: DataFrame) -> DataFrame:
-        """Verified links between members of different components, one of them chosen (band, y, cy)."""
-        pairs = members.join(chosen, "band").where((F.col("component") != F.col("cy")) & (F.col("x.node") != F.col("y.node")) & _worth_a_look(threshold))
-        pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("cy").alias("ca"), F.col("component").alias("cb"))
-        return written(_verified(pairs, texts, sent, threshold), "links")
+    def to_all(rows: DataFrame) -> DataFrame:
+        """A row a bucket for each of its salts."""
+        return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
-    lead = F.min(F.struct((-F.col("x.rank")).alias("r"), "x.node", "x")).alias("lead")
-    leads = written(members.groupBy("band").agg(lead).select("band", F.col("lead.x").alias("y")), "leads")
-    pairs = members.join(leads, "band").where((F.col("x.node") != F.col("y.node")) & _worth_a_look(threshold)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+    first = F.min(F.struct((-F.col("x.rank")).alias("r"), "x.node", "x")).alias("lead")
+    leads = members.groupBy("band", "salt").agg(first, F.first("salts").alias("salts")).groupBy("band").agg(F.min("lead").alias("lead"), F.first("salts").alias("salts"))
+    leads = written(leads.select("band", F.col("lead.x").alias("y"), "salts"), "leads")
+    pairs = members.join(to_all(leads), ["band", "salt"]).where((F.col("x.node") != F.col("y.node")) & _worth_a_look(threshold)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
     edges = written(_verified(pairs, texts, sent, threshold), "links")
     classes = components(edges)
 
     # Buckets that still hold several components: those outside the main one are compared with all others.
-    now = members.join(classes.withColumnRenamed("node", "n2"), F.col("x.node") == F.col("n2"), "left").select("band", "nth", "x", F.coalesce("component", "x.node").alias("component"))
-    mixed_bands = now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((-F.col("x.rank")).alias("r"), "x.node", "component")).alias("lead")).where("low < high").select("band", F.col("lead.component").alias("main"))
-    rest = now.join(written(mixed_bands, "bands"), "band").select("band", "nth", "x", "component", (F.col("component") != F.col("main")).alias("outside"))
+    now = members.join(classes.withColumnRenamed("node", "n2"), F.col("x.node") == F.col("n2"), "left").select("band", "salt", "salts", "nth", "x", F.coalesce("component", "x.node").alias("component"))
+    main = F.min(F.struct((-F.col("x.rank")).alias("r"), "x.node", "component")).alias("lead")
+    several = now.groupBy("band", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"), main, F.first("salts").alias("salts"))
+    several = several.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("lead").alias("lead"), F.first("salts").alias("salts"))
+    mixed_bands = written(several.where("low < high").select("band", F.col("lead.component").alias("main"), "salts"), "bands")
+    rest = now.drop("salts").join(to_all(mixed_bands), ["band", "salt"]).select("band", "salt", "nth", "x", "component", (F.col("component") != F.col("main")).alias("outside"))
     rest = written(rest.join(texts.withColumnRenamed("node", "n2"), F.col("x.node") == F.col("n2")).drop("n2"), "members")
     dropped(spark, members, texts, leads)
     more = written(_outsiders(rest, sent, threshold), "links")

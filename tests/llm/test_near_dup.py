@@ -84,6 +84,7 @@ def test_families_against_all_pairs(spark):
 def test_groups_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(d, "OUTSIDERS", 3)
     monkeypatch.setattr(d, "OTHERS", 5)
+    monkeypatch.setattr(d, "HOT", 4)  # buckets are dealt to several tasks
     r = random.Random(9)
     check(spark, list(enumerate(family(r, 40, 5))))
 
@@ -111,3 +112,15 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert d.near_duplicates(df).collect() == []
     assert d.without_near_duplicates(df).collect() == []
+
+
+def test_query_on_a_whole_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = d.op5_near_dup(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.class_id, r.class_size) for r in rows} == {i: v for (i, _), v in brute(docs).items()} and len(rows) == len(docs)
+    assert {r.doc_id for r in rows if r.kept} == {k for k, _ in brute(docs).values()} and any(r.class_size > 1 for r in rows)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "same text here", 7), (2, "same text here", 8)], "doc_id long, text string, __key long").selectExpr("*", "1 as __id", "2 as __node")
+    assert [tuple(r) for r in d.without_near_duplicates(df).collect()] == [(1, "same text here", 7, 1, 2)]
