@@ -169,23 +169,24 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns id_col, keep, n_words, runs (hit words as array of (first, count)) and items (ids as sorted strings) for each row of docs.
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), outputs: tuple[str, str, str] = ("n_words", "runs", "items")) -> DataFrame:
+    """Columns id_col, keep, n_words, runs (hit words as array of (first, count)) and items (ids as sorted strings) for each row of docs; outputs may name the last three otherwise.
 
     The benchmark is read in passes of at most PASS_BYTES of text, each sent to
     the executors; so its size has no limit, and what is sent has one.  Each pass
     adds to the runs and items of its rows, without a shuffle.
     Null texts have no words; items with a null id or without words match
     nothing; repeated items count once, rows of docs that are repeated each.  Of
-    columns to keep, one named like n_words, runs or items gives way to it;
-    other names of docs' columns don't matter.
+    columns to keep, one named like an output gives way to it; other names of
+    docs' columns don't matter.
     """
     spark = docs.sparkSession
-    rest = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in ("n_words", "runs", "items")]
+    n_words, runs_name, items_name = outputs
+    rest = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in {o.lower() for o in outputs}]
     (text,) = fresh(docs, "__text")
     kept = [F.col(f"`{c}`") for c in rest]
-    out = docs.select(*kept, F.col(text_col).cast("binary").alias(text), F.lit(None).cast("array<struct<first:long,count:long>>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
-    schema = out.select(*kept, text, F.lit(0).cast("long").alias("n_words"), "runs", "items").schema
+    out = docs.select(*kept, F.col(text_col).cast("binary").alias(text), F.lit(None).cast("array<struct<first:long,count:long>>").alias(runs_name), F.lit(None).cast("array<string>").alias(items_name))
+    schema = out.select(*kept, text, F.lit(0).cast("long").alias(n_words), runs_name, items_name).schema
 
     def passes() -> Iterator[list[tuple[str, bytes]]]:
         got, n = [], 0
@@ -203,14 +204,14 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             benchmark, names = sent.value
             for b in batches:
-                runs, who, counts = column(b, "runs"), column(b, "items"), []
+                runs, who, counts = column(b, runs_name), column(b, items_name), []
                 for i, (n, r, w) in enumerate(hits(column(b, text), benchmark)):
                     counts.append(n)
                     runs[i] = [{"first": f, "count": c} for f, c in merged([(x["first"], x["count"]) for x in runs[i] or ()] + r)]
                     who[i] = sorted({*(who[i] or ()), *(names[k] for k in w)})
                 place = b.schema.get_field_index
-                arrays = [*(b.column(place(c)) for c in (*rest, text)), pa.array(counts, pa.int64()), pa.array(runs, b.schema.field("runs").type), pa.array(who, b.schema.field("items").type)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, text, "n_words", "runs", "items"])
+                arrays = [*(b.column(place(c)) for c in (*rest, text)), pa.array(counts, pa.int64()), pa.array(runs, b.schema.field(runs_name).type), pa.array(who, b.schema.field(items_name).type)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, text, *outputs])
 
         return task(search)
 
@@ -231,4 +232,17 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit(F.col("runs")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
+def _oracle(size: int = WINDOW) -> str:
+    """Windows of items and runs of as many words of documents, joined as strings."""
+    words = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, coalesce({words}, []) AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+ grams AS (SELECT DISTINCT item_id, least(len(w), {size}) AS n, array_to_string(w[i:i + least(len(w), {size}) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {size} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)),
+ hits AS (SELECT doc_id, i, runs.n, item_id FROM runs JOIN grams USING (n, g)),
+ covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 QUERIES = {"op2_decontamination": op2_decontamination}
+ORACLES = {"op2_decontamination": _oracle()}

@@ -92,8 +92,8 @@ def _same(a: str, b: str) -> F.Column:
     return F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")) & (F.col(f"{a}h") == F.col(f"{b}h"))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text column without later repeated runs, and n_lines, n_removed, n_removed_words (replaced if there).
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, str, str] = ("n_lines", "n_removed", "n_removed_words")) -> DataFrame:
+    """docs with its text column without later repeated runs, and n_lines, n_removed, n_removed_words (replaced if there; outputs may name them otherwise).
 
     Lines are compared without their white space's kind and amount; blank lines
     don't count, and go with a run that they stand in.  Occurrences are ordered by id (null first), text hash and line.  Of repeated
@@ -151,12 +151,12 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     runs = written(runs, "line-runs")
     dropped(spark, texts, recurring, first, matches, involved)
 
-    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_removed_words")]
+    rest = [c for c in docs.columns if c.lower() not in {o.lower() for o in outputs}]
     # The runs grow with the documents: one plan for every size.
     key = [F.col(id_col).cast("long").alias(own_id), F.xxhash64(text_col).alias(own_h)]
     kept = [F.col(f"`{c}`") for c in rest]
     marked = docs.select(*kept, *key).join(runs.hint("merge"), F.col(own_id).eqNullSafe(F.col(other_id)) & (F.col(own_h) == F.col(other_h)), "left").select(*kept, gone)
-    schema = docs.select(*kept, *(F.lit(0).alias(c) for c in ("n_lines", "n_removed", "n_removed_words"))).schema
+    schema = docs.select(*kept, *(F.lit(0).alias(c) for c in outputs)).schema
     column_at = rest.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,4 +181,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "n_removed_words")
 
 
+def _oracle(least: int = MIN_WORDS) -> str:
+    """All shortest runs of enough words that begin or end at a line; those whose lines have been seen before lose theirs."""
+    lines = "SELECT doc_id, text, k, l, len(w) AS n, array_to_string(w, ' ') AS line FROM (SELECT doc_id, text, k, string_split(text, chr(10))[k] AS l, list_filter(string_split_regex(string_split(text, chr(10))[k], '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text <> ''))"
+    return f"""WITH l AS ({lines}), s AS (SELECT doc_id, k, n, line, row_number() OVER d AS i, sum(n) OVER d AS upto FROM l WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+ spans AS (SELECT a.doc_id, a.i AS i, min(b.i) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {least} GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.i), b.i FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {least} GROUP BY 1, b.i),
+ runs AS (SELECT p.doc_id, p.i, p.j, min(s.k) AS first, max(s.k) AS last, md5(string_agg(s.line, chr(10) ORDER BY s.i)) AS digest FROM spans p JOIN s ON p.doc_id = s.doc_id AND s.i BETWEEN p.i AND p.j GROUP BY 1, 2, 3),
+ later AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id, i) > 1),
+ gone AS (SELECT DISTINCT l.doc_id, l.k FROM l JOIN later r ON l.doc_id = r.doc_id AND l.k BETWEEN r.first AND r.last),
+ cut AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, coalesce(sum(l.n) FILTER (gone.k IS NOT NULL), 0) AS words, coalesce(string_agg(l.l, chr(10) ORDER BY l.k) FILTER (gone.k IS NULL), '') AS kept FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.k = gone.k GROUP BY 1)
+ SELECT doc_id, CASE WHEN n_removed > 0 THEN kept ELSE text END AS text, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, coalesce(words, 0)::INT AS n_removed_words FROM documents LEFT JOIN cut USING (doc_id)"""
+
+
 QUERIES = {"op10_line_dedup": op10_line_dedup}
+ORACLES = {"op10_line_dedup": _oracle()}
