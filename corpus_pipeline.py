@@ -12,32 +12,33 @@ from tesserine.llm.packing import VOCABULARY, pack_documents
 from tesserine.llm.quality import THRESHOLD, quality_network, score_quality
 from tesserine.llm.shared import written
 from tesserine.llm.tokens import vocabulary
-
-#: Columns of documents, which all stages but the last return.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+from tesserine.llm.worker import fresh
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled rows of the documents table."""
     net = quality_network(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, net, output="__score").where(F.col("__score") >= THRESHOLD).select(*COLUMNS)
+    (score,) = fresh(docs, "score")
+    return score_quality(docs, net, output=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines; those of which nothing is left go. n_chars follows the text."""
-    cut = dedup_lines(docs).where("n_removed = 0 or length(trim(text)) > 0")
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    lines, removed, words = fresh(docs, "n_lines", "n_removed", "n_removed_words")
+    cut = dedup_lines(docs, outputs=(lines, removed, words)).where((F.col(removed) == 0) | (F.length(F.trim("text")) > 0))
+    return cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return without_near_duplicates(docs).select(*COLUMNS)
+    return without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS, text_col="text")
-    return found.where(F.size("items") == 0).select(*COLUMNS)
+    words, runs, items = fresh(docs, "n_words", "runs", "items")
+    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns), outputs=(words, runs, items))
+    return found.where(F.size(items) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
