@@ -30,8 +30,8 @@ from .worker import task
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Settings tried: lengths over this share of the capacity are long; number of groups of long lengths. The plan with the fewest sequences is taken.
-SETTINGS = ((0.34, 80), (0.4, 40), (0.4, 80), (0.45, 80), (0.5, 20))
+#: Settings tried: lengths over this share of the capacity are long; number of groups of long lengths (with 1024, no length of the usual capacity is rounded). The plan with the fewest sequences is taken.
+SETTINGS = ((0.34, 80), (0.34, 1024), (0.4, 80), (0.4, 1024))
 
 
 def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
@@ -51,12 +51,18 @@ def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
 
 
 def choose(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """How often to use which configuration, so that need[i] pieces of sizes[i] find a place.
+    """How often to use which configuration, so that need[i] pieces of sizes[i] (descending) find a place.
 
-    The fullest configurations come first, each used as often as what is left
+    Where all sizes are over a third of the capacity, a configuration holds two
+    at most, and the fewest are found exactly: which sizes go together depends on
+    a threshold only, and then pairing each size, the largest first, with the
+    largest that still fits leaves the fewest pieces alone.  For smaller sizes
+    the fullest configurations come first, each used as often as what is left
     allows whole; pieces that no whole use remains for are placed first fit.
     """
     need, used = list(need), []
+    if sizes and 3 * sizes[-1] > capacity:
+        return paired(sizes, need, capacity)
     configs = configurations(sizes, capacity) if sizes else []
     fill = {c: sum(n * s for n, s in zip(c, sizes)) for c in configs}
     ordered = sorted(configs, key=lambda c: (-fill[c], [-n for n in c]))
@@ -76,6 +82,27 @@ def choose(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple
     return used
 
 
+def paired(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The fewest configurations of one or two pieces of descending sizes."""
+
+    def config(*members: int) -> tuple[int, ...]:
+        return tuple(members.count(k) for k in range(len(sizes)))
+
+    used = []
+    for i, s in enumerate(sizes):
+        while need[i]:
+            j = next((j for j in range(i, len(sizes)) if sizes[j] <= capacity - s and need[j] > (i == j)), None)
+            if j is None:
+                used.append((config(i), need[i]))
+                need[i] = 0
+                continue
+            times = need[i] // 2 if i == j else min(need[i], need[j])
+            used.append((config(i, j), times))
+            need[i] -= times
+            need[j] -= times
+    return used
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """The best of the plans by all SETTINGS."""
     return min((grouped_plan(histogram, capacity, *s) for s in SETTINGS), key=lambda rows: max((r[3] + r[2] for r in rows), default=0))

@@ -31,6 +31,24 @@ def test_plan_places_every_piece_once_without_gaps(h):
     assert len(bins) <= max(-(-total // 64) * 1.35 + 2, sum(c for n, c in h.items() if n > 32) + 3)
 
 
+def test_pairs_are_the_fewest():
+    """Against all ways of dealing pieces of over a third of the capacity to sequences."""
+    r = random.Random(2)
+
+    def fewest(items):
+        if not items:
+            return 0
+        rest = [fewest(items[1:k] + items[k + 1 :]) for k in range(1, len(items)) if items[0] + items[k] <= 100]
+        return 1 + min([fewest(items[1:]), *rest])
+
+    for _ in range(60):
+        sizes = sorted(r.sample(range(35, 100), r.randint(1, 4)), reverse=True)
+        need = [r.randint(0, 2) for _ in sizes]
+        used = p.choose(sizes, need, 100)
+        assert [sum(c[i] * n for c, n in used) for i in range(len(sizes))] == need
+        assert sum(n for _, n in used) == fewest([s for s, k in zip(sizes, need) for _ in range(k)])
+
+
 def test_near_the_bound_on_many_pieces():
     r = random.Random(3)
     h = Counter(r.randint(1, 1024) for _ in range(30000))
