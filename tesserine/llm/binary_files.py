@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_records(records: DataFrame, path: str, separator: bytes) -> None:
-    """Writes the binary column `record` of each row, in the order of the rows of each partition, to one file a partition."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).text(path)
+def write_records(records: DataFrame, path: str, separator: bytes, most: int = 0) -> None:
+    """Writes the binary column `record` of each row, in the order of the rows of each partition, to one file a partition, or to several of `most` records."""
+    lines = records.select(F.col("record").cast("string").alias("value"))
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("maxRecordsPerFile", most).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

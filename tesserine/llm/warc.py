@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from .worker import task
 #: Payloads of at least so many bytes are stored once; later records revisit the first.
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of payloads that an archive file holds, about, and at most (a larger payload has a file of its own).
+FILE_BYTES, MOST_BYTES = 64 << 20, 1 << 30
 #: Stands after each record's member: a member without content, which readers pass over.
 SEPARATOR = gzip.compress(b"", mtime=0)
 #: Fixed values of the format.
@@ -201,7 +204,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
             made = [gzip.compress(record(*r), 5, mtime=0) for r in zip(*(column(b, c) for c in ("page_id", "url", "payload", "refers_to")))]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    write_records(marked.mapInArrow(task(recorded), "record binary"), path, SEPARATOR)
+    # A file is read by one task, so its size has a bound, whatever the sizes of pages.
+    n, size, largest = rows.agg(F.count("*"), F.sum(F.octet_length("payload")), F.max(F.octet_length("payload"))).first()
+    most = max(1, min(FILE_BYTES * n // max(1, size or 0), MOST_BYTES // max(1, largest or 0)))
+    write_records(marked.mapInArrow(task(recorded), "record binary"), path, SEPARATOR, most)
     dropped(spark, repeated)
 
 
@@ -242,10 +248,29 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return read_files(spark, path).mapInArrow(task(records), _READ)
 
 
+def read_with_quarantine(spark: SparkSession, path: str, quarantine: str, payloads: bool = False) -> DataFrame:
+    """The records of archives; the gaps of bytes that don't read are logged and stand as JSON in the quarantine folder, which is only made if there are any."""
+    rows = written(read_archives(spark, path, payloads), "warc-rows")
+    gaps = rows.where("gap is not null").select("file", "offset", "length", F.col("gap").alias("reason"))
+    n, size = gaps.agg(F.count("*"), F.sum("length")).first()
+    if n:
+        logging.getLogger(__name__).warning("%d gaps of %d bytes quarantined in %s", n, size, quarantine)
+        gaps.write.json(quarantine)
+    return rows.where("gap is null").drop("gap")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_with_quarantine(spark, path, new_path(spark, "warc-gaps")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _oracle(least: int = LEAST_BYTES) -> str:
+    """Digests in base 32 from hexadecimal ones: five digits are four symbols."""
+    symbols = " || ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || h[{5 * k + 1}:{5 * k + 5}])::INT >> {shift} & 31) + 1]" for k in range(8) for shift in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+ SELECT page_id, size AS payload_bytes, {symbols} AS payload_digest, CASE WHEN size >= {least} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN size >= {least} AND page_id <> first THEN first END AS refers_to FROM f"""
 
 
 QUERIES = {"op6_warc": op6_warc}
+ORACLES = {"op6_warc": _oracle()}

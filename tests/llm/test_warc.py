@@ -127,3 +127,22 @@ def test_corrupt_members_give_no_record_that_nothing_vouches_for():
     data = bytearray(gzip.compress(w.record(1, "u", b"", 5), mtime=0))
     data[-6] ^= 255
     assert salvaged(bytes(data)) == ([], 1)
+
+
+def test_files_have_a_bound_and_gaps_are_quarantined(spark, monkeypatch, caplog):
+    from tesserine.llm.binary_files import read_files, write_records
+
+    monkeypatch.setattr(w, "FILE_BYTES", 5000)
+    cases = [(i, "u", f"page {i} " * 100) for i in range(60)]
+    path, gaps = new_path(spark, "w"), new_path(spark, "gaps")
+    w.write_archives(spark.createDataFrame(cases, "page_id long, url string, html string").coalesce(1), path)
+    files = read_files(spark, path)
+    assert files.count() >= 8
+    assert w.read_with_quarantine(spark, path, gaps).count() == 60
+    damaged = new_path(spark, "w")
+    bad = [bytes(r.content) for r in files.orderBy("path").collect()]
+    bad[0] = bad[0][:40] + b"\0" * 30 + bad[0][70:]
+    write_records(spark.createDataFrame([(c,) for c in bad], "record binary"), damaged, w.SEPARATOR)
+    got = w.read_with_quarantine(spark, damaged, gaps)
+    assert 55 <= got.count() < 60 and "gap" not in got.columns
+    assert spark.read.json(gaps).count() >= 1 and "quarantined" in caplog.text
