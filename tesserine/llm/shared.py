@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-that is unset (local tests) a temporary folder of this machine serves.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only in
+local mode, where driver and executors are one process, a temporary folder of
+this machine serves where that is unset.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder; sets one of this machine's only where the session names none."""
+    """The shared folder; sets one of this machine's only in local mode where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="tesserine-shared-")

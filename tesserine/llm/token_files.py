@@ -40,6 +40,8 @@ COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Ids of a block, at least (whole documents; a longer document is a block of its own).
 BLOCK_IDS = 1 << 16
+#: Files whose sizes are summed up together.
+RUN = 4096
 #: Bytes of text whose ids one file holds, about.
 FILE_TEXT = 16 << 20
 
@@ -171,8 +173,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(ids), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array([zlib.crc32(i) for i in ids], pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = written(read_files(spark, path).mapInArrow(task(decoded, encodes=True), "file long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Ids before each file: sums of runs of files first, so that no window holds more than the square root of very many files.
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("run", F.floor(F.col("file") / RUN))
+    earlier = lambda *by: (Window.partitionBy(*by[:-1]) if len(by) > 1 else Window).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = files.groupBy("run").agg(F.sum("n").alias("r")).select("run", F.coalesce(F.sum("r").over(earlier("run")), F.lit(0)).alias("r"))
+    files = files.withColumn("f", F.coalesce(F.sum("n").over(earlier("run", "file")), F.lit(0))).join(runs, "run").select("file", (F.col("r") + F.col("f")).alias("before"))
     return rows.join(files, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

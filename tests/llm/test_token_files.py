@@ -30,6 +30,7 @@ def check(rows, docs):
 def test_cases(spark, monkeypatch):
     monkeypatch.setattr(t, "BLOCK_IDS", 50)
     monkeypatch.setattr(t, "FILE_TEXT", 300)
+    monkeypatch.setattr(t, "RUN", 3)
     docs = [(3, "a b c"), (-2, None), (5, ""), (4, "word, " * 3000), (None, "x"), (9, "same"), (9, "same"), (2**40, "w" * 20000)] + [(i, f"text number {i}") for i in range(20, 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "'x' as words").repartition(3)
     path = new_path(spark, "t")
