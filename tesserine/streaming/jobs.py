@@ -57,12 +57,16 @@ def breaker_states(events: DataFrame, failures: int = 5, idle_s: float = 60.0) -
 def upsert_batches(stream: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Each batch merged with the newest snapshot into the next; a batch that is repeated writes the same snapshot again.
 
-    Snapshots are folders batch=<n>; the newest is the table.
+    Snapshots are folders batch=<n>; the newest is the table.  The one before it
+    stays for readers and for a repeated batch, older ones are deleted.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{path}/batch={n - 1}") if n else None
         merge(before, batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if n > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
