@@ -100,7 +100,7 @@ def test_blocks_and_parts_of_any_size(spark, monkeypatch):
     """Small blocks, parts dealt to several tasks, counts added up in groups of tasks."""
     from pyspark.sql import functions as F
 
-    for name, value in (("BLOCK", 40), ("LOOSE", 10), ("ASKED_BYTES", 40), ("APART", 20)):
+    for name, value in (("BLOCK", 40), ("LOOSE", 10), ("ASKED_BYTES", 40), ("APART", 20), ("PLACES", 8)):
         monkeypatch.setattr(p, name, value)
     docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the hog sat"] * 3)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
