@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..sources.tables import rule_table, table
@@ -302,11 +301,14 @@ def concepts(s, d) -> DataFrame:
     return o.select("o_orderkey", kind.alias("type"), category.alias("category"), description.alias("description"), (F.col("o_totalprice") > 200000).alias("implicit"))
 
 
-def _exploded(rows: DataFrame, concept: Column, start: float, step: float, least: float) -> DataFrame:
-    """Concepts of all expressions of a text, each once in order of appearance, with falling confidence."""
-    each = rows.select("id", "pos", F.posexplode(concept).alias("nth", "concept")).groupBy("id", "concept").agg(F.min(F.struct("pos", "nth")).alias("at"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    return each.withColumn("rank", rank.cast("long")).select("id", "rank", "concept", falling(start, step, least, F.col("rank")).alias("confidence"))
+def text_concepts(rows: DataFrame, concepts_of, start: float, step: float, least: float) -> DataFrame:
+    """id, rank, concept, confidence: the concepts of all expressions of a text, each once in order of appearance, with falling confidence.
+
+    concepts_of takes an expression, its position and the text.  All of a text's
+    expressions stand in its own row, so nothing is shuffled.
+    """
+    each = F.flatten(F.transform(expressions(F.col("text")), lambda e, i: concepts_of(e, i, F.col("text"))))
+    return rows.select("id", F.posexplode(F.array_distinct(each)).alias("rank", "concept")).select("id", F.col("rank").cast("long").alias("rank"), "concept", falling(start, step, least, F.col("rank")).alias("confidence"))
 
 
 def _film(s, d) -> DataFrame:
@@ -384,10 +386,10 @@ QUERIES = {
     "f9_lexicon_tags": lambda s, d: tagged(phrases(table(s, d, "documents"), F.col("text")), rule_table(s, [(t, w) for t, ws in _LEXICON.items() for w in ws], "tag", "term")),
     "i1_temporal_flags": lambda s, d: texts(s, d).select("id", *(c.alias(n) for c, n in zip(temporal_flag(F.col("text")), ("temporal", "confidence")))),
     "i2_expressions": lambda s, d: found(s, d).select("id", F.col("pos").cast("long").alias("pos"), "e.type", "e.value", "e.text"),
-    "i2_entity_concepts": lambda s, d: _exploded(found(s, d), entity_concepts(F.col("e")), 0.9, 0.1, 0.3),
-    "i3_tag_concepts": lambda s, d: _exploded(found(s, d), tag_concepts(F.col("e"), F.when(F.col("pos") == 0, "START")), 0.95, 0.05, 0.7),
+    "i2_entity_concepts": lambda s, d: text_concepts(texts(s, d), lambda e, i, t: entity_concepts(e), 0.9, 0.1, 0.3),
+    "i3_tag_concepts": lambda s, d: text_concepts(texts(s, d), lambda e, i, t: tag_concepts(e, F.when(i == 0, "START")), 0.95, 0.05, 0.7),
     "i4_timex_tags": lambda s, d: _tagged_texts(s, d).select("id", F.posexplode(timex_tags(F.col("text"))).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), "x.type", "x.value", "x.text"),
-    "i5_temporal_concepts": lambda s, d: _exploded(found(s, d), annotation_concepts(F.col("e"), F.col("text")), 0.95, 0.03, 0.8),
+    "i5_temporal_concepts": lambda s, d: text_concepts(texts(s, d), lambda e, i, t: annotation_concepts(e, t), 0.95, 0.03, 0.8),
     "i6_dates_only": lambda s, d: found(s, d).where("e.type = 'DATE'").select("id", "e.value"),
     "i7_time_ranges": lambda s, d: found(s, d).agg(F.count_if(is_range(F.col("e"))).alias("ranges"), *(F.count_if(F.col("e.type") == t).alias(t.lower()) for t in ("DURATION", "SET", "TIME")), F.count("*").alias("total")),
     "i8_periods": lambda s, d: concepts(s, d).where(is_period(F.col("type"), F.col("description"))).select("o_orderkey", "type", "description"),
