@@ -16,6 +16,7 @@ MODULES = (
     "ppm",
     "quality",
     "sharding",
+    "spelling",
     "token_files",
     "vector_dup",
     "warc",

@@ -14,8 +14,8 @@ ROWS = 256
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def task(work: Work, encodes: bool = False) -> Work:
-    """The work over slices of ROWS rows of the batches it gets.
+def task(work: Work, encodes: bool = False, rows: int = ROWS) -> Work:
+    """The work over slices of so many rows of the batches it gets.
 
     A worker keeps the pieces that tokenizers have learned only from one task
     that encodes to the next: any other task drops them first.  At its end a
@@ -27,7 +27,7 @@ def task(work: Work, encodes: bool = False) -> Work:
             from .tokens import forget
 
             forget()
-        yield from work(whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS))
+        yield from work(whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows))
         give_back()
 
     return run
