@@ -10,6 +10,7 @@ from importlib import import_module
 
 MODULES = (
     "decontaminate",
+    "language",
     "line_dedup",
     "near_dup",
     "packing",
