@@ -9,6 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "conversations",
     "decontaminate",
     "language",
     "line_dedup",
