@@ -34,7 +34,7 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 #: Every word loses a code point where this divides the hash of document and word (op11's damage).
 DAMAGED = 31
 #: Filter bits for each word, bits that a word sets, bytes of filters that are sent at a time, and blocks of a slice that one task builds.
-BITS, HASHES, PASS_BYTES, SLICE = 24, 5, 32 << 20, 1 << 17
+BITS, HASHES, PASS_BYTES, SLICE = 24, 5, 32 << 20, 1 << 13
 #: Words counted in a task before their counts are passed on, and edits that are hashed at a time.
 COUNTED, EDITS = 1 << 17, 1 << 18
 #: Words of a batch.
