@@ -175,7 +175,7 @@ def profile(rows: DataFrame, id_col: str) -> DataFrame:
 
 def summary(profiled: DataFrame) -> DataFrame:
     """Counts of fields by type for each entity."""
-    types = ("TEXT_CONTENT", "METADATA", "IDENTIFIERS", "UNKNOWN")
+    types = ("TEXT_CONTENT", "PEOPLE", "METADATA", "IDENTIFIERS", "STRUCTURAL", "UNKNOWN")
     return profiled.groupBy("entity").agg(F.count("*").alias("total"), *(F.count_if(F.col("field_type") == t).alias(t.lower()) for t in types), F.count_if("expandable").alias("expandable"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("field_type") == "UNKNOWN", F.col("field")))), ",").alias("unknown_fields"))
 
 
@@ -226,7 +226,7 @@ def _page_profile(spark, sf):
 _PROFILE = """SELECT entity, field, value, kind AS field_type, CASE kind WHEN 'TEXT_CONTENT' THEN CASE WHEN length(value) > 200 THEN 1.0 WHEN length(value) > 100 THEN 0.8 WHEN length(value) > 30 THEN 0.6 ELSE 0.3 END WHEN 'IDENTIFIERS' THEN 0.0 ELSE 0.3 END::DOUBLE AS weight, kind = 'TEXT_CONTENT' AS expandable
 FROM (SELECT *, CASE WHEN length(value) >= 10 AND length(regexp_replace(value, '[^A-Za-z]', '', 'g')) > 0.5 * length(replace(value, ' ', '')) THEN 'TEXT_CONTENT' WHEN regexp_matches(value, '^[0-9.,]+$') THEN 'METADATA' WHEN regexp_matches(value, '^(?:https?://|ftp://|www\\.|mailto:)') OR regexp_matches(value, '^[0-9a-fA-F]{17,}$') THEN 'IDENTIFIERS' ELSE 'UNKNOWN' END AS kind
 FROM (SELECT page_id AS entity, unnest(['url', 'head', 'size', 'etag']) AS field, unnest([url, html, length(html)::VARCHAR, md5(html)]) AS value FROM pages) WHERE value <> '')"""
-_SUMMARY = f"SELECT entity, count(*) AS total, count(*) FILTER (field_type = 'TEXT_CONTENT') AS text_content, count(*) FILTER (field_type = 'METADATA') AS metadata, count(*) FILTER (field_type = 'IDENTIFIERS') AS identifiers, count(*) FILTER (field_type = 'UNKNOWN') AS unknown, count(*) FILTER (expandable) AS expandable, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (field_type = 'UNKNOWN'), '') AS unknown_fields FROM ({_PROFILE}) GROUP BY 1"
+_SUMMARY = f"SELECT entity, count(*) AS total, count(*) FILTER (field_type = 'TEXT_CONTENT') AS text_content, count(*) FILTER (field_type = 'PEOPLE') AS people, count(*) FILTER (field_type = 'METADATA') AS metadata, count(*) FILTER (field_type = 'IDENTIFIERS') AS identifiers, count(*) FILTER (field_type = 'STRUCTURAL') AS structural, count(*) FILTER (field_type = 'UNKNOWN') AS unknown, count(*) FILTER (expandable) AS expandable, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (field_type = 'UNKNOWN'), '') AS unknown_fields FROM ({_PROFILE}) GROUP BY 1"
 _TYPED = {"p_size": {"type": "integer", "min": 5}, "p_retailprice": {"type": "float", "max": 1800.0}, "p_brand": {"type": "boolean"}, "words": {"type": "list", "max_items": 1, "allowed": ["small", "red", "ring", "widget"]}, "p_name": {"type": "dict"}}
 
 
