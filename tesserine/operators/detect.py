@@ -26,16 +26,6 @@ ROLES = (
     ("text", "name", 1.0), ("text", "title", 1.0), ("text", "overview", 1.5), ("text", "description", 1.5), ("text", "summary", 1.2), ("text", "plot", 1.2), ("text", "content", 1.0), ("text", "synopsis", 1.0),
     ("date", "date", 2.0), ("date", "year", 1.5), ("date", "time", 1.0), ("date", "created", 0.8), ("date", "modified", 0.5),
 )
-#: Tags of films by words and phrases.
-LEXICON = {
-    "quality-positive": ("good", "great", "excellent", "amazing", "best", "acclaimed"),
-    "quality-negative": ("bad", "terrible", "worst", "awful", "low quality"),
-    "temporal-era": ("classic", "old", "vintage", "recent", "new", "modern"),
-    "theme-dark": ("dark", "grim", "noir", "bleak", "sinister"),
-    "theme-epic": ("epic", "grand", "massive", "huge", "sweeping"),
-}
-#: Function words that tell the language of a text.
-LANGUAGES = {"language-en": ("the", "and", "of", "with"), "language-de": ("der", "die", "und", "nicht"), "language-fr": ("les", "des", "dans", "de la"), "language-es": ("los", "del", "que", "de la")}
 #: Fields of a title, and roles of creators and performers, by type.
 TITLES = {"movie": ("name", "title", "original_title"), "book": ("title", "name"), "music": ("title", "album", "track_name"), "tv_show": ("name", "series_name", "title")}
 CREATORS = {"movie": ("director", "producer"), "book": ("author", "editor"), "music": ("composer", "producer", "songwriter"), "tv_show": ("creator", "director", "producer")}
@@ -110,24 +100,6 @@ def rule_concepts(rows: DataFrame, id_col: str, rules: list[tuple[str, Column]],
     return top_per_group(once, [id_col], ["at"], most).select(id_col, "rank", "concept")
 
 
-def tagged(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc, tag, n) of words and phrases that a lexicon (tag, term) lists."""
-    return words.join(lexicon, words.word == lexicon.term).groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
-
-
-def phrases(docs: DataFrame, text: Column, longest: int = 2) -> DataFrame:
-    """(doc_id, word): all words of whole texts, and all runs of up to `longest` of them."""
-    w = docs.select("doc_id", F.filter(F.split(F.lower(text), r"[^\w]+"), lambda x: x != "").alias("w"))
-    return w.select("doc_id", F.explode(F.flatten(F.array(*_runs(longest)))).alias("word"))
-
-
-def _runs(longest: int) -> list[Column]:
-    def of(n: int) -> Column:
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    return [of(n) for n in range(1, longest + 1)]
-
-
 def content_analysis(media_type: str, fields: dict[str, Column], default: str = "Unknown Title") -> dict[str, Column]:
     """What a type's analysis takes from a record's fields: title, genres (confidence 1), people by role, ratings."""
     title = F.coalesce(*(fields[n] for n in TITLES[media_type] if n in fields), F.lit(default))
@@ -319,7 +291,6 @@ def _film(s, d) -> DataFrame:
 
 
 _RULES = lambda: [("name", T.key_concepts(F.col("p_name"))), ("type", direct_values(F.array("p_type", "p_name"), "list")), ("brand", direct_values(F.col("p_brand"), "text")), ("size", direct_values(F.col("p_size"), "number"))]
-_LEXICON = LEXICON | LANGUAGES
 _RECORDS = """(SELECT rec, unnest(list_filter(keys, lambda x: x IS NOT NULL)) AS key FROM (
  SELECT 'o' || o_orderkey AS rec, ['Id', 'Name', 'Premiere_Date', CASE WHEN o_orderstatus = 'F' THEN 'ProductionYear' END, CASE WHEN o_orderstatus = 'P' THEN 'album' END] AS keys FROM orders
  UNION ALL SELECT 'p' || p_partkey, ['Title', CASE WHEN p_size > 20 THEN 'Author' END, CASE WHEN p_size < 30 THEN 'ISBN_13' END, CASE WHEN p_size > 45 THEN 'total_pages' END] FROM part
@@ -327,7 +298,6 @@ _RECORDS = """(SELECT rec, unnest(list_filter(keys, lambda x: x IS NOT NULL)) AS
  UNION ALL SELECT 's' || s_suppkey, ['s_name', CASE WHEN s_acctbal > 0 THEN 'Artist' END, CASE WHEN s_acctbal > 5000 THEN 'duration' END, CASE WHEN s_acctbal < 100 THEN 'EpisodeName' END] FROM supplier))"""
 _PAT = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{p}', {w}::DOUBLE, {i})" for i, (t, p, w) in enumerate(PATTERNS)) + ") v(media_type, pattern, weight, id))"
 _ROLES = "(SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{p}', {w}::DOUBLE)" for r, p, w in ROLES) + ") v(role, pattern, weight))"
-_LEX = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{w}')" for t, ws in _LEXICON.items() for w in ws) + ") v(tag, term))"
 _FALLBACK = "SELECT rec, CASE WHEN greatest(" + ", ".join(t for t, _ in FALLBACK) + ") = 0 THEN 'movie' " + " ".join(f"WHEN {t} = greatest({', '.join(x for x, _ in FALLBACK)}) THEN '{t}'" for t, _ in FALLBACK) + f" END AS other FROM (SELECT rec, {', '.join(f'count(*) FILTER (regexp_matches(lower(key), {chr(39)}{p}{chr(39)})) AS {t}' for t, p in FALLBACK)} FROM {_RECORDS} GROUP BY 1)"
 _TEXTS = """(SELECT 'o' || o_orderkey AS id, 'Ordered ' || strftime(o_orderdate, '%Y-%m-%d') || ' at 10:' || lpad((o_custkey % 60)::VARCHAR, 2, '0') || ', the ' || (o_custkey % 9 + 4) || 'th, due in ' || (o_custkey % 90) || ' days, style of the ' || year(o_orderdate) || 's, ' || CASE o_orderstatus WHEN 'F' THEN 'formerly of last year' WHEN 'O' THEN 'now and monthly' ELSE 'upcoming next month' END AS text FROM orders
  UNION ALL SELECT 'd' || doc_id, text FROM documents)"""
@@ -383,7 +353,6 @@ QUERIES = {
     "f6_genres": lambda s, d: _film(s, d).select("o_orderkey", F.explode(genres(F.col("genres"))).alias("g")).groupBy("g.name", "g.confidence").agg(F.count("*").alias("n")),
     "f7_simple_keywords": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(simple_keywords(F.col("text"), F.col("lang")), " ").alias("words")),
     "f8_technical": lambda s, d: table(s, d, "part").select("p_partkey", technical(F.create_map(F.lit("size"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")), F.lit("brand"), F.col("p_brand"))).alias("m")).select("p_partkey", F.array_join(F.map_keys("m"), ",").alias("keys")),
-    "f9_lexicon_tags": lambda s, d: tagged(phrases(table(s, d, "documents"), F.col("text")), rule_table(s, [(t, w) for t, ws in _LEXICON.items() for w in ws], "tag", "term")),
     "i1_temporal_flags": lambda s, d: texts(s, d).select("id", *(c.alias(n) for c, n in zip(temporal_flag(F.col("text")), ("temporal", "confidence")))),
     "i2_expressions": lambda s, d: found(s, d).select("id", F.col("pos").cast("long").alias("pos"), "e.type", "e.value", "e.text"),
     "i2_entity_concepts": lambda s, d: text_concepts(texts(s, d), lambda e, i, t: entity_concepts(e), 0.9, 0.1, 0.3),
@@ -410,7 +379,6 @@ ORACLES = {
     "f6_genres": "SELECT name, 1.0::DOUBLE AS confidence, count(*) AS n FROM (SELECT unnest([o_orderpriority, o_orderstatus]) AS name FROM orders) GROUP BY 1",
     "f7_simple_keywords": "SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text || ' ' || lang), '\\s+'), lambda w: length(w) > 3)[1:10], ' ') AS words FROM documents",
     "f8_technical": "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'size,brand' ELSE 'brand' END AS keys FROM part",
-    "f9_lexicon_tags": f"SELECT doc_id, tag, count(*) AS n FROM (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS word FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\w]+'), lambda x: x <> '') AS w FROM documents)) JOIN {_LEX} ON word = term GROUP BY 1, 2",
     "i1_temporal_flags": f"SELECT id, h AS temporal, CASE WHEN h THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence FROM (SELECT id, regexp_matches(text, '\\b[0-9]{{4}}s?\\b') AS h FROM {_TEXTS})",
     "i2_expressions": f"SELECT id, pos, e.type AS type, e.value AS value, e.text AS text FROM {_FOUND}",
     "i2_entity_concepts": _exploded_sql(_ENTITY, 0.9, 0.1, 0.3),

@@ -1,5 +1,6 @@
-from tesserine.operators.detect import PATTERNS, detect_by_patterns, tagged
+from tesserine.operators.detect import PATTERNS, detect_by_patterns
 from tesserine.operators.expand import requests
+from tesserine.operators.lexicons import lexicon_tags
 
 
 def test_all_rules_count(spark):
@@ -7,8 +8,8 @@ def test_all_rules_count(spark):
     keys = spark.createDataFrame([(1, "ISBN_13"), (2, "m1499x"), (3, "y")], "rec long, key string")
     assert sorted(map(tuple, detect_by_patterns(keys, patterns).collect())) == [(1, "book", 2.0), (2, "movie", 1.0), (3, "movie", 0.0)]
     lexicon = spark.createDataFrame([("t", f"w{i}") for i in range(10_005)], "tag string, term string").coalesce(1)
-    words = spark.createDataFrame([(1, "w3"), (1, "w10004"), (2, "w10001"), (2, "x")], "doc_id long, word string")
-    assert sorted(map(tuple, tagged(words, lexicon).collect())) == [(1, "t", 2), (2, "t", 1)]
+    words = spark.createDataFrame([(1, "w3 w10004"), (2, "w10001 x")], "doc_id long, text string")
+    assert sorted(map(tuple, lexicon_tags(words, lexicon).collect())) == [(1, "t", 2), (2, "t", 1)]
     categories = spark.createDataFrame([("c", ["a", "b", "c"])], "category string, terms array<string>")
     assert requests(categories, spark.range(1200)).count() == 2400
 
@@ -16,8 +17,5 @@ def test_all_rules_count(spark):
 def test_small_rule_tables_are_broadcast(spark):
     from tesserine.sources.tables import rule_table
 
-    words = spark.range(10).selectExpr("id as doc_id", "string(id) as word")
-    plan = tagged(words, rule_table(spark, [("t", "1")], "tag", "term"))._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan
-    plan = detect_by_patterns(words.selectExpr("doc_id as rec", "word as key"), rule_table(spark, PATTERNS, "media_type", "pattern", "weight"))._jdf.queryExecution().toString()
+    plan = detect_by_patterns(spark.range(10).selectExpr("id as rec", "string(id) as key"), rule_table(spark, PATTERNS, "media_type", "pattern", "weight"))._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan
