@@ -161,7 +161,7 @@ class Automaton:
                     ends[child] = ends[child] + ends[fail[child]]
                     queue.append(child)
         self.go = (np.array(go, np.int32) * self.width).ravel()  # a state is the place of its row
-        self.count = np.array([len(e) for e in ends])
+        self.count = np.array([len(e) for e in ends], np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.hits = np.array([n for e in ends for n in e], np.int64)
 
@@ -219,7 +219,7 @@ def lexicon_tags(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
 def _tagging(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, tags, of_term = sent.value
-        counts = np.array([len(t) for t in of_term])
+        counts = np.array([len(t) for t in of_term], np.int64)
         first, flat = np.cumsum(counts) - counts, np.array([t for ts in of_term for t in ts], np.int64)
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
