@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.text_jobs", "operators.nested", "operators.records", "operators.open_records", "operators.merge", "operators.telemetry", "operators.expand", "operators.cache", "operators.questions", "operators.detect", "operators.lexicons", "operators.search", "plans.queries")
+MODULES = ("operators.text_jobs", "operators.nested", "operators.records", "operators.open_records", "operators.merge", "operators.telemetry", "operators.expand", "operators.cache", "operators.questions", "operators.detect", "operators.lexicons", "operators.search", "operators.text_index", "plans.queries")
 
 
 def queries() -> dict:

@@ -275,7 +275,6 @@ def _upsert(spark, sf):
 
 QUERIES = {
     "a2_catalog_pull": lambda s, d: latest(table(s, d, "orders"), ["o_orderkey", "o_totalprice"], "o_orderkey", 50, o_orderstatus="F"),
-    "a2_name_search": lambda s, d: table(s, d, "part").join(table(s, d, "region").select(F.lower(F.substring("r_name", 2, 2)).alias("term")), F.lower("p_name").contains(F.col("term"))).select("p_partkey", "p_name", "term"),
     "a3_upsert": _upsert,
     "a5_ingest_summary": lambda s, d: table(s, d, "part").withColumn("e", constraint_errors(PART_RULES)).agg(F.count("*").alias("processed"), F.count_if(F.size("e") == 0).alias("accepted"), F.count_if(F.size("e") > 0).alias("rejected")),
     "a7_json_output": lambda s, d: as_json(table(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_brand")).alias("p_brand"))),
@@ -301,7 +300,6 @@ QUERIES = {
 }
 ORACLES = {
     "a2_catalog_pull": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC LIMIT 50",
-    "a2_name_search": "SELECT p_partkey, p_name, term FROM part JOIN (SELECT lower(r_name[2:3]) AS term FROM region) ON contains(lower(p_name), term)",
     "a3_upsert": "WITH o AS (SELECT o_custkey AS id, o_orderkey AS version, o_totalprice AS value, o_orderstatus AS status FROM orders), t AS (SELECT id, max(version) AS version, max_by(value, version) AS value FROM o WHERE status = 'F' GROUP BY 1), c AS (SELECT id, max(version) AS version, max_by(value, version) AS value FROM o WHERE status <> 'F' GROUP BY 1) SELECT * FROM t WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM c",
     "a5_ingest_summary": f"SELECT count(*) AS processed, count(*) FILTER (e = '') AS accepted, count(*) FILTER (e <> '') AS rejected FROM (SELECT {_ERRORS} AS e FROM part)",
     "a7_json_output": "SELECT CASE WHEN p_size > 25 THEN '{\"p_partkey\":' || p_partkey || ',\"p_brand\":\"' || p_brand || '\"}' ELSE '{\"p_partkey\":' || p_partkey || '}' END AS json FROM part",

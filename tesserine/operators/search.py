@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import table
-from .text_jobs import concepts_sql, top_per_group
 from .vectors import multi_word
 
 #: Words kin to a word of time, and words of time.
@@ -34,15 +33,6 @@ def _weighed(w: float):
     return lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
 
 
-def search(index: DataFrame, queries: DataFrame, id_col: str, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score, rank: documents by the weights of the query's tokens they hold; with allowed, only its ids (the filter of a request)."""
-    tokens = queries.select("query_id", F.explode(T.key_words(F.col("text"))).alias("token"))
-    if allowed is not None:
-        index = index.join(allowed.select(id_col), id_col, "left_semi")
-    scores = tokens.join(index, "token").groupBy("query_id", id_col).agg(F.round(F.sum("weight"), 6).alias("score"))
-    return top_per_group(scores, ["query_id"], [F.col("score").desc(), id_col], k)
-
-
 def relevance(generated: Column, term: Column) -> Column:
     """Of a generated concept for a term of time: 1.5 where either holds the other, 1.3 for a kin word, 1.2 for a word of time, else 1."""
     c, t = F.lower(generated), F.lower(term)
@@ -63,14 +53,6 @@ def known(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return queries.join(vocabulary, "word", "left_semi").select("concept").distinct()
 
 
-def _queries(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
-def _index(s, d):
-    return postings(table(s, d, "documents"), "doc_id", {"text": 1.0, "source": 2.0})
-
-
 def _words(s, d):
     v = table(s, d, "embeddings").where("vec_id % 20 = 0").select("vec_id")
     return v.select(F.col("vec_id").alias("concept"), F.explode(F.array(F.col("vec_id"), F.col("vec_id") + 1, F.col("vec_id") + 100_000_000)).alias("word"))
@@ -88,25 +70,15 @@ _REL = "CASE WHEN contains(lower(generated), lower(term)) OR contains(lower(term
 _TERMS = "(SELECT p_partkey, p_partkey % 12 AS pos, CASE WHEN p_type = 'ECONOMY' THEN 'Recent' WHEN p_type = 'PROMO' THEN 'the 90s' WHEN p_size > 25 THEN 'classic films' WHEN p_size > 10 THEN 'modern' ELSE 'vintage' END AS term, CASE p_size % 5 WHEN 0 THEN 'new ' || p_name WHEN 1 THEN 'retro style' WHEN 2 THEN 'Golden Era of film' WHEN 3 THEN p_name || ' of the season' ELSE lower(p_name) END AS generated FROM part)"
 _UNIT = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS u FROM (SELECT *, sqrt(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE))) AS n FROM embeddings))"
 _WORDS = "(SELECT vec_id AS concept, unnest([vec_id, vec_id + 1, vec_id + 100000000]) AS word FROM embeddings WHERE vec_id % 20 = 0)"
-_INDEX = f"(SELECT doc_id, keyword AS token, sum(w) AS weight FROM (SELECT doc_id, keyword, 1.0::DOUBLE AS w FROM ({concepts_sql('doc_id', 'text', most=None)}) UNION ALL SELECT doc_id, keyword, 2.0::DOUBLE FROM ({concepts_sql('doc_id', 'source', most=None)})) GROUP BY 1, 2)"
-
-
-
-def _searched(where: str, k: int) -> str:
-    return f"SELECT query_id, doc_id, round(sum(weight), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(weight), 6) DESC, doc_id) AS rank FROM (SELECT item_id AS query_id, keyword AS token FROM ({concepts_sql('item_id', 'text', 'benchmark', None)})) JOIN {_INDEX} USING (token) WHERE {where} GROUP BY 1, 2 QUALIFY rank <= {k}"
 
 
 QUERIES = {
     "g2a_multi_word_neighbours": lambda s, d: multi_word(_words(s, d), table(s, d, "embeddings")).select("concept", "term", "similarity"),
     "g2b_vocabulary_coverage": lambda s, d: known(_words(s, d), table(s, d, "embeddings").select(F.col("vec_id").alias("word"))),
     "g11_temporal_confidence": lambda s, d: _terms(s, d).select("p_partkey", relevance(F.col("generated"), F.col("term")).alias("relevance"), temporal_confidence(F.col("pos"), F.col("generated"), F.col("term")).alias("confidence")),
-    "h11_filtered_search": lambda s, d: search(_index(s, d), _queries(s, d), "doc_id", 5, table(s, d, "documents").where("lang = 'en'")).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")),
-    "h11_field_search": lambda s, d: search(_index(s, d), _queries(s, d), "doc_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")),
 }
 ORACLES = {
     "g2a_multi_word_neighbours": f"SELECT concept, term, max(round(list_dot_product(a.u, b.u), 6)) AS similarity FROM (SELECT concept, word, u FROM {_WORDS} w JOIN {_UNIT} e ON w.word = e.vec_id) a, (SELECT vec_id AS term, u FROM {_UNIT}) b WHERE term <> word GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY similarity DESC, term) <= 5",
     "g2b_vocabulary_coverage": f"SELECT DISTINCT concept FROM {_WORDS} WHERE word IN (SELECT vec_id FROM embeddings)",
     "g11_temporal_confidence": f"SELECT p_partkey, r AS relevance, round(least(greatest(0.85::DOUBLE * greatest(1 - pos * 0.05::DOUBLE, 0.6::DOUBLE) * least(greatest(len(string_split(generated, ' ')) / 3, 0.8::DOUBLE), 1.2::DOUBLE) * r, 0.4::DOUBLE), 0.95::DOUBLE), 6) AS confidence FROM (SELECT *, {_REL} AS r FROM {_TERMS})",
-    "h11_filtered_search": _searched("doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')", 5),
-    "h11_field_search": _searched("true", 10),
 }
