@@ -32,8 +32,8 @@ from .worker import task
 #: Payloads of at least so many bytes are stored once; later records revisit the first.
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
-#: Bytes of payloads that an archive file holds, about, and at most (a larger payload has a file of its own).
-FILE_BYTES, MOST_BYTES = 64 << 20, 1 << 30
+#: Bytes of payloads that an archive file holds, about, and that are written at a time; a payload that is larger is written on its own.
+FILE_BYTES, BLOB_BYTES = 64 << 20, 16 << 20
 #: Stands after each record's member: a member without content, which readers pass over.
 SEPARATOR = gzip.compress(b"", mtime=0)
 #: Fixed values of the format.
@@ -41,6 +41,11 @@ MEMBER, VERSION, PROFILE = b"\x1f\x8b\x08", b"WARC/1.", "http://netpreserve.org/
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _STEP = 1 << 16
+#: Last line of a header: CRC-32 of the lines before it, and of a revisit's block, which has no digest of its own.
+CHECK = b"X-Header-Check"
+_CHECKED = re.compile(rb"X-Header-Check: ([0-9a-f]{8})\Z")
+_NUMBER = re.compile(r"[0-9]{1,18}\Z")
+_PAGE = re.compile(r"<urn:page:(-?[0-9]{1,19})>\Z")
 
 
 def digest(payload: bytes) -> str:
@@ -61,9 +66,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("WARC-Refers-To", f"<urn:page:{refers_to}>" if revisit else None),
         ("Content-Type", "application/http; msgtype=response"),
     ]
+    lines = ["WARC/1.0", *(f"{k}: {v}" for k, v in head if v is not None)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
-    lines = ["WARC/1.0", *(f"{k}: {v}" for k, v in head if v is not None), f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    told = "\r\n".join([*lines, f"Content-Length: {len(block)}", ""]).encode()
+    return told + b"%s: %08x\r\n\r\n" % (CHECK, zlib.crc32(block, zlib.crc32(told)) if revisit else zlib.crc32(told)) + block + b"\r\n\r\n"
 
 
 class Damage(Exception):
@@ -84,8 +90,13 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
             raise Damage("header line without a colon")
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     size = head.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
+    if not _NUMBER.match(size):
         raise Damage("no content length")
+    if not _NUMBER.match(head.get("x-payload-length", "0")):
+        raise Damage("no payload length")
+    for name in ("warc-record-id", "warc-refers-to"):
+        if (urn := _PAGE.match(head.get(name, ""))) and not -(1 << 63) <= int(urn[1]) < 1 << 63:
+            raise Damage("no page number")
     stop = end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damage("no end of block")
@@ -94,6 +105,10 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     named = head.get("warc-payload-digest", "")
     if head.get("warc-type") == "response" and named.startswith("sha1:") and named[5:] != digest(payload):
         raise Damage("payload digest differs")
+    if check := _CHECKED.search(data, at, end):
+        told = zlib.crc32(data[at : check.start()])
+        if int(check[1], 16) != (zlib.crc32(block, told) if head.get("warc-type") == "revisit" else told):
+            raise Damage("header check differs")
     return head, payload, stop + 4
 
 
@@ -199,15 +214,23 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     # One plan at every size: repeated payloads grow with the pages.
     marked = rows.join(repeated.hint("merge"), F.col("sha") == F.col("sha2"), "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
+    blob = max(1, min(BLOB_BYTES, FILE_BYTES // 4))
+
     def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            made = [gzip.compress(record(*r), 5, mtime=0) for r in zip(*(column(b, c) for c in ("page_id", "url", "payload", "refers_to")))]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
-
-    # A file is read by one task, so its size has a bound, whatever the sizes of pages.
-    n, size, largest = rows.agg(F.count("*"), F.sum(F.octet_length("payload")), F.max(F.octet_length("payload"))).first()
-    most = max(1, min(FILE_BYTES * n // max(1, size or 0), MOST_BYTES // max(1, largest or 0)))
-    write_records(marked.mapInArrow(task(recorded), "record binary"), path, SEPARATOR, most)
+            for r in zip(*(column(b, c) for c in ("page_id", "url", "payload", "refers_to"))):
+                member = gzip.compress(record(*r), 5, mtime=0)
+                if held and size + len(r[2]) > blob:
+                    yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(held)], pa.binary())], names=["record"])
+                    held, size = [], 0
+                held.append(member)
+                size += len(r[2])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(held)], pa.binary())], names=["record"])
+
+    # A file is read by one task, so it holds a bounded number of bytes, whatever the sizes of other pages.
+    write_records(marked.mapInArrow(task(recorded), "record binary"), path, SEPARATOR, max(1, FILE_BYTES // blob))
     dropped(spark, repeated)
 
 
@@ -222,7 +245,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
 
     def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+        found = _PAGE.match(urn or "")
         return int(found[1]) if found else None
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,3 +146,52 @@ def test_files_have_a_bound_and_gaps_are_quarantined(spark, monkeypatch, caplog)
     got = w.read_with_quarantine(spark, damaged, gaps)
     assert 55 <= got.count() < 60 and "gap" not in got.columns
     assert spark.read.json(gaps).count() >= 1 and "quarantined" in caplog.text
+
+
+def test_numbers_of_any_size_are_damage(spark):
+    good = [w.record(i, "u", b"text %d" % i, None) for i in range(3)]
+    revisit = w.record(7, "u", b"text 1", 1)
+    bad = [
+        good[1].replace(b"Content-Length: ", b"Content-Length: " + b"9" * 5000), revisit.replace(b"X-Payload-Length: 6", b"X-Payload-Length: six"), revisit.replace(b"X-Payload-Length: 6", b"X-Payload-Length: " + b"6" * 30),
+        revisit.replace(b"page:7", b"page:" + b"7" * 19), good[1].replace(b"Content-Length: ", "Content-Length: \u0663".encode()), revisit.replace(b"page:1>", b"page:9>"), revisit.replace(b"200 OK", b"404 No"),
+    ]
+    for b in bad:
+        for data in (b"".join([good[0], b, good[2]]), b"".join(gzip.compress(x, mtime=0) + w.SEPARATOR for x in (good[0], b, good[2]))):
+            assert salvaged(data)[0] == [0, 2]
+    # Headers of other writers have no check of their own.
+    plain = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert [r[0] for r in w.salvage(plain)] == ["record"]
+
+
+def test_flips_in_plain_files_with_revisits_through_the_reader(spark):
+    """Any flipped bit loses at most one record, changes none, and never fails the read."""
+    from tesserine.llm.binary_files import write_records
+
+    r = random.Random(9)
+    records = [w.record(i, f"http://u/{i}", b"text %d" % (i % 3), None if i < 3 else i % 3) for i in range(8)]
+    whole = b"".join(records)
+    want = {(i, 6, w.digest(b"text %d" % (i % 3)), "response" if i < 3 else "revisit", None if i < 3 else i % 3) for i in range(8)}
+    files = []
+    for _ in range(400):
+        broken = bytearray(whole)
+        broken[r.randrange(len(whole))] ^= 1 << r.randrange(8)
+        files.append((bytes(broken),))
+    path = new_path(spark, "w")
+    write_records(spark.createDataFrame(files, "record binary").repartition(8), path, b"\n\n\n", 1)
+    by_file = {}
+    for x in w.read_archives(spark, path).where("gap is null").collect():
+        by_file.setdefault(x.file, []).append((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to))
+    assert len(by_file) == 400
+    for found in by_file.values():
+        assert len(found) >= 7 and set(found) <= want
+
+
+def test_a_large_page_leaves_files_of_the_others_alone(spark, monkeypatch):
+    from tesserine.llm.binary_files import read_files
+
+    monkeypatch.setattr(w, "FILE_BYTES", 40_000)
+    cases = [(i, "u", f"page {i} " * 20) for i in range(100)] + [(500, "u", "x" * 1_000_000)]
+    path = new_path(spark, "w")
+    w.write_archives(spark.createDataFrame(cases, "page_id long, url string, html string").coalesce(1), path)
+    assert read_files(spark, path).count() <= 4
+    assert w.read_archives(spark, path).where("gap is null").count() == 101
