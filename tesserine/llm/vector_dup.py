@@ -96,8 +96,8 @@ def _links(nodes: DataFrame, size: int, cosine: float, n: int) -> DataFrame:
         pivots = sent.value
         d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
         own = d[np.arange(len(x)), home][:, None]
-        apart = np.sqrt(np.maximum(1e-12, 2 - 2 * pivots @ pivots.T))
-        out = (d <= limits.value + reach) & (d * d - own * own <= 2 * apart[home] * reach)
+        apart = np.sqrt(np.maximum(1e-12, 2 - 2 * pivots[home] @ pivots.T))  # of these rows' pivots only
+        out = (d <= limits.value + reach) & (d * d - own * own <= 2 * apart * reach)
         # Of two cells, that with the smaller number sends where their sum is even, the other where it is odd.
         q = np.arange(len(pivots))
         out &= (q > home[:, None]) == ((q + home[:, None]) % 2 == 0)

@@ -61,3 +61,18 @@ def test_cells_parts_and_slices(spark, monkeypatch):
 def test_whole_table(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     assert sorted((tuple(r) for r in d.op9_vector_dup(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)
+
+
+def test_thousands_of_pivots(spark, monkeypatch):
+    """Cells of two vectors each: the work of a batch grows with its rows times the pivots, and no link is lost."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 24))
+    x = np.concatenate([base, base[:700] + rng.normal(size=(700, 24)) * 0.04])
+    monkeypatch.setattr(d, "CELL", 1)
+    rows = d.vector_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    near = u @ u.T >= 0.95
+    assert {r.vec_id: r.n_links for r in rows} == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    assert near.sum() > len(x) + 1000
