@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..sources.tables import table
 from .vectors import multi_word
 
@@ -22,17 +21,6 @@ SYNONYMS = {
 TIME_WORDS = ("year", "decade", "era", "period", "time", "age", "season")
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """(id, token, weight) for all key words of whole fields: the weight of every field that holds the token, added up in the document's own row."""
-    held = [F.transform(F.coalesce(T.key_words(F.col(f)), F.array().cast("array<string>")), _weighed(w)) for f, w in fields.items()]
-    each = docs.select(id_col, F.explode(F.concat(*held)).alias("x"))
-    return each.select(id_col, "x.token", "x.weight").groupBy(id_col, "token").agg(F.sum("weight").alias("weight"))
-
-
-def _weighed(w: float):
-    return lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight"))
-
-
 def relevance(generated: Column, term: Column) -> Column:
     """Of a generated concept for a term of time: 1.5 where either holds the other, 1.3 for a kin word, 1.2 for a word of time, else 1."""
     c, t = F.lower(generated), F.lower(term)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import scratch_path, table
-from .search import postings
 from .text_jobs import concepts_sql, top_per_group
 
 #: Documents of a block, and for each document that is wanted, blocks that are read to find what it must score.
-BLOCK, SEEDS = 16, 2
+BLOCK, SEEDS = 32, 2
 #: Characters of a gram.
 GRAM = 3
 
@@ -19,16 +24,38 @@ GRAM = 3
 def write_index(docs: DataFrame, path: str, id_col: str, fields: dict[str, float], block: int = BLOCK) -> None:
     """Posting blocks of the key words of whole fields: a row for each token and block of documents that hold it, with ids, weights and the largest weight.
 
-    Documents are dealt to blocks by the hash of their id, about `block` to each;
-    null ids are left out, rows of one id count together.  A folder holds the
-    blocks in the order of tokens, so the statistics of its row groups tell
-    tokens apart; hot tokens are spread over all files, as blocks are dealt too.
+    A block is `block` documents that one task reads one after another, so
+    nothing is shuffled, and a hot token has a row for each block.  Null ids are
+    left out; every row is a document of its own.  Each file is in the order of
+    tokens.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
-    blocks = max(1, -(-docs.count() // block))
-    held = postings(docs, id_col, fields).withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-    rows = held.groupBy("token", "block").agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), "weight"))).alias("held"), F.max("weight").alias("most"))
-    rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(path)
+    held = [F.coalesce(T.key_words(F.col(f)), F.array().cast("array<string>")) for f in fields]
+    weighed = [F.array_repeat(F.lit(float(w)), F.size(h)) for h, w in zip(held, fields.values())]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.concat(*held).alias("tokens"), F.concat(*weighed).alias("weights"))
+    schema = rows.select(F.lit("").alias("token"), F.lit(0).cast("long").alias("block"), F.array(F.struct("id", F.lit(0).alias("at"), F.lit(0.0).alias("weight"))).alias("held"), F.lit(0.0).alias("most")).schema
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for k in range(0, whole.num_rows, block):
+                b = whole.slice(k, block)
+                at = pc.list_parent_indices(b.column(1)).to_numpy()
+                if not len(at):
+                    continue
+                coded = pc.list_flatten(b.column(1)).dictionary_encode()
+                code, weight = coded.indices.to_numpy(), pc.list_flatten(b.column(2)).to_numpy()
+                order = np.lexsort((at, code))
+                code, at, weight = code[order], at[order], weight[order]
+                first = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(at, prepend=-1))  # a token may be in several fields
+                code, at, weight = code[first], at[first], np.add.reduceat(weight, first)
+                begin = np.flatnonzero(np.diff(code, prepend=-1))
+                items = pa.StructArray.from_arrays([b.column(0).take(pa.array(at)), pa.array(at, pa.int32()), pa.array(weight)], names=["id", "at", "weight"])
+                lists = pa.ListArray.from_arrays(pa.array([*begin, len(code)], pa.int32()), items)
+                tokens = coded.dictionary.take(pa.array(code[begin]))
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(np.full(len(begin), number)), lists, pa.array(np.maximum.reduceat(weight, begin))], names=["token", "block", "held", "most"])
+                number += 1
+
+    rows.mapInArrow(blocked, schema).sortWithinPartitions("token", "block").write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +73,10 @@ def _scored(index: DataFrame, queries: DataFrame, blocks: DataFrame, allowed: Da
     """query_id, id, score, rank within some blocks of each query."""
     tokens = queries.select("query_id", F.explode(T.key_words(F.col("text"))).alias("token"))
     read = index.join(blocks.join(tokens, "query_id"), ["token", "block"])
-    each = read.select("query_id", F.explode("held").alias("x")).select("query_id", "x.id", "x.weight")
+    each = read.select("query_id", "block", F.explode("held").alias("x")).select("query_id", "block", "x.*")
     if allowed is not None:
         each = each.join(allowed.toDF("id"), "id", "left_semi")
-    scores = each.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    scores = each.groupBy("query_id", "block", "at", "id").agg(F.round(F.sum("weight"), 6).alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top_per_group(scores, ["query_id"], [F.col("score").desc(), "id"], k)
 
 
@@ -67,7 +94,8 @@ def indexed_search(index: DataFrame, queries: DataFrame, k: int = 10, allowed: D
     """query_id, id, score, rank: the k best documents of each query (query_id, text) by the weights of its tokens; ties by id.
 
     Blocks whose bound is below what the k-th best document scores aren't opened.
-    With allowed, a table of ids, only those count.
+    With allowed, a table of ids, only those count.  Of several documents of one
+    id the best counts.
     """
     return _scored(index, queries, chosen_blocks(index, queries, k, allowed, seeds), allowed, k)
 
