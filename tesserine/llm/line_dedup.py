@@ -4,9 +4,11 @@ The unit is a run of consecutive lines of at least MIN_WORDS words.  For each
 line, the shortest such run that begins with it and the shortest that ends with
 it are its windows.  Each window selects its smallest line hash as fingerprint,
 which any other occurrence of the same lines selects as well, so every repeated
-run shares fingerprints with its first occurrence.  Fingerprint positions are
-joined: those whose hash recurs, and of them those whose window is the same,
-each with the first such position.  Matched positions are extended line by line
+run shares fingerprints with its first occurrence.  Windows next to each other
+mostly select the same line, so there are far fewer fingerprint positions than
+windows; those of hashes that recur are found first, and only their windows are
+shuffled and joined by fingerprint, each with the first position of the same
+window.  Matched positions are extended line by line
 in both directions as far as the two texts agree, and the lines of the run are
 deleted in the later one.
 
@@ -92,6 +94,21 @@ def _same(a: str, b: str) -> F.Column:
     return F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")) & (F.col(f"{a}h") == F.col(f"{b}h"))
 
 
+def candidates(texts: DataFrame) -> DataFrame:
+    """id, h, fp, place, digest: the windows whose fingerprint stands at two positions or more.
+
+    Only fingerprint positions are counted, one for each line that any window
+    selects, and summed before they are shuffled; windows whose fingerprint
+    stands nowhere else stay where they are, and the digest of a window is only
+    compared among those of one fingerprint.  A fingerprint that very many texts
+    share is split by the rest of its windows, of which the digest tells.
+    """
+    at = F.struct("id", "h", "place")
+    thinned = texts.select("id", "h", F.inline(F.array_distinct(F.transform("prints", lambda p: F.struct(p["fp"].alias("fp"), p["place"].alias("place"))))))
+    recurring = thinned.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a < b").select("fp")
+    return texts.select("id", "h", F.inline("prints")).join(written(recurring, "line-fingerprints"), "fp", "left_semi").select("id", "h", "fp", "place", "digest")
+
+
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, str, str] = ("n_lines", "n_removed", "n_removed_words")) -> DataFrame:
     """docs with its text column without later repeated runs, and n_lines, n_removed, n_removed_words (replaced if there; outputs may name them otherwise).
 
@@ -119,14 +136,10 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     schema = "id long, h long, lines array<long>, words array<int>, numbers array<int>, prints array<struct<fp:long,place:int,digest:binary>>"
     texts = written(plain.mapInArrow(task(selected), schema), "line-hashes")
 
-    # Positions of fingerprints that recur, each with the first one of the same window.
+    close = written(candidates(texts), "line-candidates")
     at = F.struct("id", "h", "place")
-    positions = texts.select("id", "h", F.inline("prints"))
-    recurring = positions.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a < b").select("fp")
-    recurring = written(recurring, "line-fingerprints")  # a hot fingerprint can then be split in the join
-    close = positions.join(recurring, "fp", "left_semi")
-    first = written(close.groupBy("digest").agg(F.min(at).alias("source"), F.max(at).alias("last")).where("source < last").select("digest", "source"), "line-sources")
-    pairs = positions.join(first, "digest").where(at > F.col("source")).select("id", "h", "place", F.col("source.id").alias("sid"), F.col("source.h").alias("sh"), F.col("source.place").alias("splace"))
+    first = close.groupBy("fp", "digest").agg(F.min(at).alias("source"), F.max(at).alias("last")).where("source < last").select("fp", "digest", "source")
+    pairs = close.join(written(first, "line-sources"), ["fp", "digest"]).where(at > F.col("source")).select("id", "h", "place", F.col("source.id").alias("sid"), F.col("source.h").alias("sh"), F.col("source.place").alias("splace"))
     matches = written(pairs.groupBy("id", "h", "sid", "sh").agg(F.collect_set(F.struct("place", "splace")).alias("at")), "line-matches")  # of two texts: at most two windows a line
 
     # The line hashes of both texts come to their matched positions.
@@ -149,7 +162,7 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
     runs = both.mapInArrow(task(grown), "id long, h long, first int, end int")
     runs = runs.groupBy(F.col("id").alias(other_id), F.col("h").alias(other_h)).agg(F.collect_set(F.struct("first", "end")).alias(gone))  # of one text: no more than it has lines
     runs = written(runs, "line-runs")
-    dropped(spark, texts, recurring, first, matches, involved)
+    dropped(spark, texts, close, matches, involved)
 
     rest = [c for c in docs.columns if c.lower() not in {o.lower() for o in outputs}]
     # The runs grow with the documents: one plan for every size.

@@ -68,3 +68,42 @@ def test_whole_table(spark):
     got = {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in d.op10_line_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(docs, d.MIN_WORDS)
     assert sum(n for _, n, _ in got.values()) > 10
+
+
+def texts_of(spark, docs, least):
+    rows = []
+    for i, t in docs:
+        hashes, counts, numbers, prints = d.fingerprints(t, least)
+        rows.append((i, i, hashes, counts, numbers, [(f, p, g) for f, p, g in prints]))
+    return spark.createDataFrame(rows, "id long, h long, lines array<long>, words array<int>, numbers array<int>, prints array<struct<fp:long,place:int,digest:binary>>")
+
+
+def test_fingerprints_decide_what_travels(spark, monkeypatch):
+    """Of texts that share one passage and single lines, few windows are candidates; with fingerprints that tell nothing, all would be."""
+    r = random.Random(8)
+    passage = [f"passage line {k} of five words" for k in range(12)]
+    docs = []
+    for i in range(60):
+        lines = [f"line {i} {k} {r.random()} text" for k in range(40)]
+        lines[5] = "a line that all of them have"
+        docs.append((i, "\n".join(lines[:20] + (passage if i < 3 else []) + lines[20:])))
+    texts = texts_of(spark, docs, 25)
+    windows = texts.selectExpr("inline(prints)")
+    every, positions = windows.count(), windows.selectExpr("fp", "place").distinct().count()
+    found = d.candidates(texts).collect()
+    assert positions < 0.6 * every and len(found) < 0.25 * every
+    shared = {g for _, _, g in d.fingerprints("\n".join(passage), 25)[3]}
+    assert all(shared <= {bytes(x.digest) for x in found if x.id == i} for i in range(3))
+    plain = d.fingerprints
+    monkeypatch.setattr(d, "fingerprints", lambda t, n: (*plain(t, n)[:3], [(0, p, g) for _, p, g in plain(t, n)[3]]))
+    assert d.candidates(texts_of(spark, docs, 25)).count() == every
+
+
+def test_a_very_long_text_and_clashing_names(spark):
+    block = "\n".join(f"row {k} of a block that comes again" for k in range(9))
+    long = "\n".join(f"line {k} with some words of its own" for k in range(30_000))
+    docs = [(1, long + "\n" + block), (2, block + "\n" + long[: len(long) // 2])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as fp", "2 as place", "3 as digest", "4 as source", "5 as at")
+    rows = {x.doc_id: x for x in d.dedup_lines(df, 40).collect()}
+    assert rows[1].n_removed == 0 and rows[1].text == docs[0][1] and (rows[2].fp, rows[2].place, rows[2].digest, rows[2].source, rows[2]["at"]) == (1, 2, 3, 4, 5)
+    assert rows[2].text == docs[1][1].split("\n")[-1] and rows[2].n_removed == len(docs[1][1].split("\n")) - 1
