@@ -17,6 +17,8 @@ from .text_jobs import concepts_sql, top_per_group
 
 #: Documents of a block, and for each document that is wanted, blocks that are read to find what it must score.
 BLOCK, SEEDS = 32, 2
+#: Bytes of query tokens that are broadcast at most.
+SENT = 8 << 20
 #: Characters of a gram.
 GRAM = 3
 
@@ -63,16 +65,21 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _hits(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id and the index's rows of each of its tokens. Tokens are sent to the index where they take SENT bytes at most; beyond that both are shuffled."""
+    tokens = queries.select("query_id", F.explode(T.key_words(F.col("text"))).alias("token"))
+    size = tokens.agg(F.sum(F.octet_length("token") + 32)).first()[0] or 0
+    return index.join(F.broadcast(tokens) if size <= SENT else tokens, "token")
+
+
 def bounds(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, block, bound: the blocks in which any of a query's tokens occurs, and at most what a document in them can score."""
-    tokens = queries.select("query_id", F.explode(T.key_words(F.col("text"))).alias("token"))
-    return tokens.join(index.select("token", "block", "most"), "token").groupBy("query_id", "block").agg(F.sum("most").alias("bound"))
+    return _hits(index.select("token", "block", "most"), queries).groupBy("query_id", "block").agg(F.sum("most").alias("bound"))
 
 
 def _scored(index: DataFrame, queries: DataFrame, blocks: DataFrame, allowed: DataFrame | None, k: int) -> DataFrame:
     """query_id, id, score, rank within some blocks of each query."""
-    tokens = queries.select("query_id", F.explode(T.key_words(F.col("text"))).alias("token"))
-    read = index.join(blocks.join(tokens, "query_id"), ["token", "block"])
+    read = _hits(index.select("token", "block", "held"), queries).join(blocks, ["query_id", "block"])
     each = read.select("query_id", "block", F.explode("held").alias("x")).select("query_id", "block", "x.*")
     if allowed is not None:
         each = each.join(allowed.toDF("id"), "id", "left_semi")

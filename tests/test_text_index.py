@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tesserine.operators import text_index as x
 
 
-def test_search_is_that_of_all_postings_and_skips_blocks(spark, tmp_path):
+def test_search_is_that_of_all_postings_and_skips_blocks(spark, tmp_path, monkeypatch):
     r = random.Random(1)
     words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
     docs = [(i, " ".join(r.choice(words[: 400 if i % 3 else 20]) for _ in range(12)), r.choice(["srca", "srcb"])) for i in range(600)]
@@ -20,7 +20,8 @@ def test_search_is_that_of_all_postings_and_skips_blocks(spark, tmp_path):
         scored = [(-sum(1.0 for t in set((text or "").split()) if t in tokens) - (2.0 if source in tokens else 0), i) for i, text, source in docs if i is not None and allowed(i)]
         return [(i, -s) for s, i in sorted(s for s in scored if s[0] < 0)[:k]]
 
-    for k, allowed in ((5, None), (3, spark.range(0, 6000, 2).toDF("doc_id"))):
+    for k, allowed, sent in ((5, None, x.SENT), (5, None, 0), (3, spark.range(0, 6000, 2).toDF("doc_id"), x.SENT)):
+        monkeypatch.setattr(x, "SENT", sent)
         found = {}
         for row in x.indexed_search(index, q, k, allowed, seeds=2).orderBy("query_id", "rank").collect():
             found.setdefault(row.query_id, []).append((row.id, row.score))
