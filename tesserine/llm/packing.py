@@ -4,8 +4,10 @@ Lengths are whole numbers up to the capacity, so a histogram of at most
 `capacity` numbers describes all pieces, however many there are, and the plan is
 made from it alone.  Long lengths are split into groups of equal cardinality and
 rounded up to the largest of their group; few sizes remain, for which whole
-configurations (multisets that fit a sequence) are optimised.  The actual pieces
-then take the places of their group, and the short ones go where they fit best.
+configurations (multisets that fit a sequence) are optimised by column
+generation.  The actual pieces then take the places of the rounded ones, and the
+short ones, and those that no whole use of a configuration takes, go where they
+fit best.
 Bins alike are kept as one row with a count, so the plan stays small as well.
 """
 
@@ -30,82 +32,87 @@ from .worker import task
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Settings tried: lengths over this share of the capacity are long; number of groups of long lengths (with 1024, no length of the usual capacity is rounded). The plan with the fewest sequences is taken.
-SETTINGS = ((0.34, 80), (0.34, 1024), (0.4, 80), (0.4, 1024))
-
-
-def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """All maximal multisets of sizes (descending, as counts) that fit the capacity."""
-    out = []
-
-    def extend(i: int, left: int, counts: tuple[int, ...]) -> None:
-        if i == len(sizes):
-            if left < min(sizes):
-                out.append(counts)
-            return
-        for n in range(left // sizes[i], -1, -1):
-            extend(i + 1, left - n * sizes[i], (*counts, n))
-
-    extend(0, capacity, ())
-    return out
-
-
-def choose(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """How often to use which configuration, so that need[i] pieces of sizes[i] (descending) find a place.
-
-    Where all sizes are over a third of the capacity, a configuration holds two
-    at most, and the fewest are found exactly: which sizes go together depends on
-    a threshold only, and then pairing each size, the largest first, with the
-    largest that still fits leaves the fewest pieces alone.  For smaller sizes
-    the fullest configurations come first, each used as often as what is left
-    allows whole; pieces that no whole use remains for are placed first fit.
+#: Settings tried: lengths over this share of the capacity are long; groups of long lengths, at most a quarter of their number, so that every plan rounds (FEW lengths are few sizes as they are). The plan with the fewest sequences is taken.
+SETTINGS = ((0.2, 60), (0.25, 60), (0.28, 80), (0.3, 60), (0.32, 70))
+FEW = 16
+#: Configurations that may enter the basis of the linear programme.
+ROUNDS = 500
+
+
+def fullest(sizes: np.ndarray, worth: np.ndarray, need: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of sizes of the greatest worth that fits the capacity, no size more often than it is needed: its worth, and how often each size is in it."""
+    best = np.zeros(capacity + 1)
+    steps = []
+    for size, value, most in zip(sizes.tolist(), worth.tolist(), need.tolist()):
+        left = min(int(most), capacity // size)
+        times = np.zeros(capacity + 1, np.int64)
+        if value > 1e-12 and left:
+            ways = np.full((left + 1, capacity + 1), -1.0)
+            ways[0] = best
+            for n in range(1, left + 1):
+                ways[n, n * size :] = best[: capacity + 1 - n * size] + n * value
+            times = ways.argmax(axis=0)
+            best = ways[times, np.arange(capacity + 1)]
+        steps.append(times)
+    counts, room = np.zeros(len(sizes), np.int64), capacity
+    for k in range(len(sizes) - 1, -1, -1):
+        counts[k] = steps[k][room]
+        room -= counts[k] * sizes[k]
+    return float(best[capacity]), counts
+
+
+def optimised(sizes: list[int], need: list[int], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """How often to use which configuration of the sizes: the fewest in all, by column generation on the linear programme, rounded down.
+
+    The basis begins with configurations of one size each; the one that the
+    duals of the basis find worth most enters, until none is worth more than a
+    sequence.  Pieces that no whole use takes are left to best fit.
     """
-    need, used = list(need), []
-    if sizes and 3 * sizes[-1] > capacity:
-        return paired(sizes, need, capacity)
-    configs = configurations(sizes, capacity) if sizes else []
-    fill = {c: sum(n * s for n, s in zip(c, sizes)) for c in configs}
-    ordered = sorted(configs, key=lambda c: (-fill[c], [-n for n in c]))
-    for c in ordered:
-        times = min((need[i] // n for i, n in enumerate(c) if n), default=0)
-        if times:
-            used.append((c, times))
-            need = [a - n * times for a, n in zip(need, c)]
-    while any(need):
-        left, counts = capacity, [0] * len(sizes)
-        for i, s in enumerate(sizes):
-            counts[i] = min(need[i], left // s)
-            left -= counts[i] * s
-        times = min(need[i] // n for i, n in enumerate(counts) if n)
-        used.append((tuple(counts), times))
-        need = [a - n * times for a, n in zip(need, counts)]
+    size, want = np.array(sizes), np.array(need, np.float64)
+    if not len(size):
+        return []
+    basis = np.diag(np.minimum(capacity // size, np.maximum(1, want)).astype(np.float64))
+    for _ in range(rounds):
+        inverse = np.linalg.inv(basis)
+        worth, entering = fullest(size, np.maximum(inverse.sum(axis=0), 0), want, capacity)
+        if worth <= 1 + 1e-7:
+            break
+        amounts, change = inverse @ want, inverse @ entering
+        up = change > 1e-9
+        ratio = np.where(up, np.maximum(amounts, 0) / np.where(up, change, 1), np.inf)
+        if not up.any():
+            break
+        basis[:, ratio.argmin()] = entering
+    amounts = np.linalg.solve(basis, want)
+    used, left = [], want.astype(np.int64)
+    for k in np.argsort(-amounts, kind="stable"):
+        config = basis[:, k].astype(np.int64)
+        times = min([int(np.floor(amounts[k] + 1e-6)), *(left[config > 0] // config[config > 0])])
+        if times > 0:
+            used.append((tuple(config.tolist()), int(times)))
+            left -= config * int(times)
     return used
 
 
-def paired(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The fewest configurations of one or two pieces of descending sizes."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """The best of the plans by all SETTINGS."""
+    return min((grouped_plan(histogram, capacity, *s) for s in SETTINGS), key=sequences)
 
-    def config(*members: int) -> tuple[int, ...]:
-        return tuple(members.count(k) for k in range(len(sizes)))
 
-    used = []
-    for i, s in enumerate(sizes):
-        while need[i]:
-            j = next((j for j in range(i, len(sizes)) if sizes[j] <= capacity - s and need[j] > (i == j)), None)
-            if j is None:
-                used.append((config(i), need[i]))
-                need[i] = 0
-                continue
-            times = need[i] // 2 if i == j else min(need[i], need[j])
-            used.append((config(i, j), times))
-            need[i] -= times
-            need[j] -= times
-    return used
+def sequences(rows: list[tuple[int, int, int, int, int]]) -> int:
+    return max((r[3] + r[2] for r in rows), default=0)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """The best of the plans by all SETTINGS."""
-    return min((grouped_plan(histogram, capacity, *s) for s in SETTINGS), key=lambda rows: max((r[3] + r[2] for r in rows), default=0))
+def grouped(histogram: dict[int, int], lengths: list[int], n_groups: int) -> list[list[int]]:
+    """Runs of lengths (descending) of about equal cardinality."""
+    total = sum(histogram[n] for n in lengths)
+    groups, seen = [], 0
+    for n in lengths:
+        if not groups or seen * n_groups >= total * len(groups):
+            groups.append([])
+        groups[-1].append(n)
+        seen += histogram[n]
+    return groups
 
 
 def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_groups: int) -> list[tuple[int, int, int, int, int]]:
@@ -113,46 +120,41 @@ def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_group
 
     The pieces of a length with ranks first .. first + count - 1 go to the
     sequences first_sequence, first_sequence + 1, ..., each at the offset.
+    Long pieces that the configurations leave go with the short ones.
     """
     full = histogram.get(capacity, 0)
     long = sorted((n for n in histogram if capacity * share < n < capacity), reverse=True)
-    total = sum(histogram[n] for n in long)
-    groups: list[list[int]] = []  # runs of lengths, of about equal cardinality
-    seen = 0
-    for n in long:
-        if not groups or seen * n_groups >= total * len(groups):
-            groups.append([])
-        groups[-1].append(n)
-        seen += histogram[n]
+    groups = grouped(histogram, long, min(n_groups, max(len(long) // 4, FEW)))
     sizes = [g[0] for g in groups]
-    used = choose(sizes, [sum(histogram[n] for n in g) for g in groups], capacity)
+    used = optimised(sizes, [sum(histogram[n] for n in g) for g in groups], capacity)
 
-    # The pieces of each group, longest first, in runs of equal length.
-    supply = [[[n, histogram[n]] for n in g] for g in groups]
+    # Actual pieces take the places: each slot the longest that its rounded size lets in, the last of a sequence the
+    # longest that fits at all, so what rounding up has left goes to longer pieces, and no slot stays empty.
+    supply = sorted((n, histogram[n]) for n in long)
+    lengths, counts = [n for n, _ in supply], [k for _, k in supply]
     bins: list[tuple[int, list[int], int]] = []  # room, lengths, count
-    for counts, times in used:
-        slots = [i for i, n in enumerate(counts) for _ in range(n)]
+    for config, times in used:
+        slots = [sizes[i] for i, n in enumerate(config) for _ in range(n)]
         while times:
-            # As many bins alike as every slot's current run of equal lengths allows.
-            want = Counter(slots)
-            alike = min([times, *(max(1, supply[i][0][1] // n) for i, n in want.items())])
-            took = []
-            for i, n in want.items():
-                if supply[i][0][1] >= n * alike:
-                    took += [supply[i][0][0]] * n
-                    supply[i][0][1] -= n * alike
-                else:  # alike is 1: pieces of more than one length
-                    for _ in range(n):
-                        took.append(supply[i][0][0])
-                        supply[i][0][1] -= 1
-                        if not supply[i][0][1]:
-                            supply[i].pop(0)
-                if supply[i] and not supply[i][0][1]:
-                    supply[i].pop(0)
-            bins.append((capacity - sum(took), took, alike))
+            took, room, places = [], capacity, Counter()
+            for k, slot in enumerate(slots):
+                at = bisect.bisect_right(lengths, room if k == len(slots) - 1 else slot) - 1
+                while counts[at] <= places[at]:
+                    at -= 1
+                places[at] += 1
+                took.append(lengths[at])
+                room -= lengths[at]
+            alike = min(times, *(counts[at] // n for at, n in places.items()))  # so many sequences take the same lengths
+            for at, n in places.items():
+                counts[at] -= n * alike
+            bins.append((room, took, alike))
             times -= alike
+            gone = [at for at in places if not counts[at]]
+            for at in sorted(gone, reverse=True):
+                del lengths[at], counts[at]
 
-    # Short pieces, longest first, each where the least room is left that is enough.
+    # What is left, longest first, each where the least room is left that is enough.
+    rest = {n: histogram[n] for n in histogram if 0 < n <= capacity * share} | dict(zip(lengths, counts))
     by_room: dict[int, list[list]] = defaultdict(list)
     for room, took, alike in bins:
         by_room[room].append([took, alike])
@@ -164,8 +166,8 @@ def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_group
             bisect.insort(rooms, room)
         by_room[room].append([took, alike])
 
-    for n in sorted((n for n in histogram if 0 < n <= capacity * share), reverse=True):
-        left = histogram[n]
+    for n in sorted(rest, reverse=True):
+        left = rest[n]
         while left:
             k = bisect.bisect_left(rooms, n)
             if k == len(rooms):  # new sequences, filled with this length
