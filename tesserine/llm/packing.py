@@ -124,7 +124,7 @@ def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_group
     """
     full = histogram.get(capacity, 0)
     long = sorted((n for n in histogram if capacity * share < n < capacity), reverse=True)
-    groups = grouped(histogram, long, min(n_groups, max(len(long) // 4, FEW)))
+    groups = grouped(histogram, long, min(n_groups, len(long) // 4)) if len(long) > FEW else [[n] for n in long]
     sizes = [g[0] for g in groups]
     used = optimised(sizes, [sum(histogram[n] for n in g) for g in groups], capacity)
 
