@@ -33,8 +33,10 @@ CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Settings tried: lengths over this share of the capacity are long; groups of long lengths, at most a quarter of their number, so that every plan rounds (FEW lengths are few sizes as they are). The plan with the fewest sequences is taken.
-SETTINGS = ((0.2, 60), (0.25, 60), (0.28, 80), (0.3, 60), (0.32, 70))
+SETTINGS = ((0.2, 60), (0.28, 80), (0.32, 70), (0.33, 100))
 FEW = 16
+#: Times that what is left is grouped again; all but the last use half of what is planned.
+TURNS = 5
 #: Configurations that may enter the basis of the linear programme.
 ROUNDS = 500
 
@@ -72,8 +74,8 @@ def optimised(sizes: list[int], need: list[int], capacity: int, rounds: int = RO
     if not len(size):
         return []
     basis = np.diag(np.minimum(capacity // size, np.maximum(1, want)).astype(np.float64))
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / basis.diagonal())
+    for turn in range(rounds):
         worth, entering = fullest(size, np.maximum(inverse.sum(axis=0), 0), want, capacity)
         if worth <= 1 + 1e-7:
             break
@@ -82,7 +84,13 @@ def optimised(sizes: list[int], need: list[int], capacity: int, rounds: int = RO
         ratio = np.where(up, np.maximum(amounts, 0) / np.where(up, change, 1), np.inf)
         if not up.any():
             break
-        basis[:, ratio.argmin()] = entering
+        k = int(ratio.argmin())
+        basis[:, k] = entering
+        row = inverse[k] / change[k]
+        change[k] -= 1
+        inverse -= np.outer(change, row)
+        if turn % 64 == 63:
+            inverse = np.linalg.inv(basis)
     amounts = np.linalg.solve(basis, want)
     used, left = [], want.astype(np.int64)
     for k in np.argsort(-amounts, kind="stable"):
@@ -115,25 +123,17 @@ def grouped(histogram: dict[int, int], lengths: list[int], n_groups: int) -> lis
     return groups
 
 
-def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_groups: int) -> list[tuple[int, int, int, int, int]]:
-    """Places for all pieces: rows (length, first rank, count, first sequence, offset).
+def substituted(used: list[tuple[tuple[int, ...], int]], sizes: list[int], supply: dict[int, int], capacity: int) -> list[tuple[int, list[int], int]]:
+    """Sequences (room, lengths, how many alike) of actual pieces in the places of configurations; takes the pieces from the supply.
 
-    The pieces of a length with ranks first .. first + count - 1 go to the
-    sequences first_sequence, first_sequence + 1, ..., each at the offset.
-    Long pieces that the configurations leave go with the short ones.
+    Each place takes the longest piece that its rounded size lets in, the last
+    of a sequence the longest that fits at all: what rounding up has left goes to
+    longer pieces, and as no place takes more pieces of a size away than it
+    stands for, none stays empty.
     """
-    full = histogram.get(capacity, 0)
-    long = sorted((n for n in histogram if capacity * share < n < capacity), reverse=True)
-    groups = grouped(histogram, long, min(n_groups, len(long) // 4)) if len(long) > FEW else [[n] for n in long]
-    sizes = [g[0] for g in groups]
-    used = optimised(sizes, [sum(histogram[n] for n in g) for g in groups], capacity)
-
-    # Actual pieces take the places: each slot the longest that its rounded size lets in, the last of a sequence the
-    # longest that fits at all, so what rounding up has left goes to longer pieces, and no slot stays empty.
-    supply = sorted((n, histogram[n]) for n in long)
-    lengths, counts = [n for n, _ in supply], [k for _, k in supply]
-    bins: list[tuple[int, list[int], int]] = []  # room, lengths, count
-    for config, times in used:
+    lengths = sorted(supply)
+    counts, bins = [supply[n] for n in lengths], []
+    for config, times in sorted(used, reverse=True):  # those of the longest pieces first, so that these find what fits beside them
         slots = [sizes[i] for i, n in enumerate(config) for _ in range(n)]
         while times:
             took, room, places = [], capacity, Counter()
@@ -145,16 +145,39 @@ def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_group
                 took.append(lengths[at])
                 room -= lengths[at]
             alike = min(times, *(counts[at] // n for at, n in places.items()))  # so many sequences take the same lengths
-            for at, n in places.items():
-                counts[at] -= n * alike
             bins.append((room, took, alike))
             times -= alike
-            gone = [at for at in places if not counts[at]]
-            for at in sorted(gone, reverse=True):
-                del lengths[at], counts[at]
+            for at, n in sorted(places.items(), reverse=True):
+                counts[at] -= n * alike
+                if not counts[at]:
+                    del lengths[at], counts[at]
+    supply.clear()
+    supply.update(zip(lengths, counts))
+    return bins
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, share: float, n_groups: int) -> list[tuple[int, int, int, int, int]]:
+    """Places for all pieces: rows (length, first rank, count, first sequence, offset).
+
+    The pieces of a length with ranks first .. first + count - 1 go to the
+    sequences first_sequence, first_sequence + 1, ..., each at the offset.
+    What is left of the long pieces is grouped again, so that rounding follows
+    what substitution leaves; in the end they go with the short ones.
+    """
+    full = histogram.get(capacity, 0)
+    long = sorted((n for n in histogram if capacity * share < n < capacity), reverse=True)
+    supply = {n: histogram[n] for n in long}
+    bins: list[tuple[int, list[int], int]] = []  # room, lengths, count
+    for turn in range(TURNS):
+        lengths = sorted(supply, reverse=True)
+        groups = grouped(supply, lengths, min(n_groups, len(lengths) // 4)) if len(lengths) > FEW else [[n] for n in lengths]
+        used = optimised([g[0] for g in groups], [sum(supply[n] for n in g) for g in groups], capacity)
+        if turn < TURNS - 1:
+            used = [(c, n // 2) for c, n in used if n > 1]
+        bins += substituted(used, [g[0] for g in groups], supply, capacity)
 
     # What is left, longest first, each where the least room is left that is enough.
-    rest = {n: histogram[n] for n in histogram if 0 < n <= capacity * share} | dict(zip(lengths, counts))
+    rest = {n: histogram[n] for n in histogram if 0 < n <= capacity * share} | supply
     by_room: dict[int, list[list]] = defaultdict(list)
     for room, took, alike in bins:
         by_room[room].append([took, alike])

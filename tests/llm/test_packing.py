@@ -67,7 +67,7 @@ def test_configurations_are_optimised():
     assert sum(n for _, n in used) == 100 and [sum(c[i] * n for c, n in used) for i in range(3)] == [100, 100, 100]
     r = random.Random(4)
     for _ in range(20):
-        sizes = sorted(r.sample(range(210, 1000), 40), reverse=True)
+        sizes = sorted(r.sample(range(210, 500), 40), reverse=True)
         need = [r.randint(20, 200) for _ in sizes]
         used = p.optimised(sizes, need, 1024)
         taken = [sum(c[i] * n for c, n in used) for i in range(len(sizes))]
