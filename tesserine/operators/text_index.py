@@ -16,9 +16,9 @@ from ..sources.tables import scratch_path, table
 from .text_jobs import concepts_sql, top_per_group
 
 #: Documents of a block, and for each document that is wanted, blocks that are read to find what it must score.
-BLOCK, SEEDS = 32, 2
-#: Bytes of query tokens that are broadcast at most.
-SENT = 8 << 20
+BLOCK, SEEDS = 8, 2
+#: Bytes of query tokens, and of chosen blocks, that are broadcast at most.
+SENT = 32 << 20
 #: Characters of a gram.
 GRAM = 3
 
@@ -79,7 +79,8 @@ def bounds(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 def _scored(index: DataFrame, queries: DataFrame, blocks: DataFrame, allowed: DataFrame | None, k: int) -> DataFrame:
     """query_id, id, score, rank within some blocks of each query."""
-    read = _hits(index.select("token", "block", "held"), queries).join(blocks, ["query_id", "block"])
+    few = blocks.limit(SENT // 32 + 1).count() <= SENT // 32
+    read = _hits(index.select("token", "block", "held"), queries).join(F.broadcast(blocks) if few else blocks, ["query_id", "block"])
     each = read.select("query_id", "block", F.explode("held").alias("x")).select("query_id", "block", "x.*")
     if allowed is not None:
         each = each.join(allowed.toDF("id"), "id", "left_semi")
@@ -89,7 +90,9 @@ def _scored(index: DataFrame, queries: DataFrame, blocks: DataFrame, allowed: Da
 
 def chosen_blocks(index: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, seeds: int = SEEDS) -> DataFrame:
     """query_id, block: those that may hold one of the k best documents: the k x `seeds` blocks of the largest bounds, and all whose bound is no less than the score of the k-th best in these."""
-    bound = bounds(index, queries)
+    path = scratch_path(index.sparkSession, "block-bounds")
+    bounds(index, queries).write.parquet(path)
+    bound = index.sparkSession.read.parquet(path)
     first = top_per_group(bound, ["query_id"], [F.col("bound").desc(), "block"], k * seeds).select("query_id", "block")
     best = _scored(index, queries, first, allowed, k)
     least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
