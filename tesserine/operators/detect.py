@@ -178,11 +178,12 @@ def timex_tags(text: Column) -> Column:
 
 
 def annotation_concepts(e: Column, original: Column) -> Column:
-    """Concepts of an annotation: type, year and decade, past, present or future, and the text where it isn't the whole."""
+    """Concepts of an annotation: type, year and decade, past, present or future, and its text, which stands in the original, where it isn't the whole of that."""
     year = F.regexp_extract(e["value"], r"([0-9]{4})", 1)
     words = reduce(lambda c, r: c.when(e["value"].contains(r[0]), F.array(*map(F.lit, r[1]))), REFERENCES, F.when(F.lit(False), F.array().cast("array<string>")))
-    dated = F.array(F.when(year != "", F.concat(F.lit("year-"), year)), F.when(year != "", F.concat(F.substring(year, 1, 3), F.lit("0s"))))
-    text = F.when(F.lower(e["text"]) != F.lower(original), F.lower(e["text"]))
+    dated = F.flatten(F.transform(F.filter(F.array(year), lambda y: y != ""), lambda y: F.array(F.concat(F.lit("year-"), y), F.concat(F.substring(y, 1, 3), F.lit("0s")))))
+    # A part is the whole if it is as long: texts are not compared, as each of a long text's expressions would lower-case it again.
+    text = F.when(F.octet_length(e["text"]) != F.octet_length(original), F.lower(e["text"]))
     return F.array_compact(F.concat(F.array(F.concat(F.lit("temporal-"), F.lower(e["type"]))), dated, F.coalesce(words, F.array().cast("array<string>")), F.array(text)))
 
 

@@ -26,7 +26,8 @@ def weight_of(provider: str = "provider") -> F.Column:
 
 def _summed(rows: DataFrame):
     place = F.struct("provider", "pos")
-    return rows.groupBy("rec", "keyword").agg(F.count("*").alias("n"), F.countDistinct("provider").alias("sources"), F.sum(weight_of()).alias("score"), F.min(place).alias("first"))
+    # Dealt by record once: sums by keyword and the record's ranking both stay where the record is.
+    return rows.repartition("rec").groupBy("rec", "keyword").agg(F.count("*").alias("n"), F.countDistinct("provider").alias("sources"), F.sum(weight_of()).alias("score"), F.min(place).alias("first"))
 
 
 def union(rows: DataFrame, most: int = 20) -> DataFrame:
@@ -55,15 +56,16 @@ def statistics(rows: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def merge_statistics(rows: DataFrame, most: int = 20) -> DataFrame:
-    """The statistics of a union, from one pass over the keywords."""
+    """The statistics of a union, of whatever providers, from one pass over the keywords."""
     once = rows.groupBy("rec", "keyword").agg(F.collect_set("provider").alias("providers"), F.count("*").alias("n"))  # a few providers
-    out = once.groupBy("rec").agg(F.sum("n").alias("given"), F.least(F.count("*"), F.lit(most)).alias("final"), *(F.max(F.array_contains("providers", p)).alias(f"has_{i}") for i, p in enumerate(sorted(WEIGHTS))))
-    named = F.array_compact(F.array(*(F.when(F.col(f"has_{i}"), F.lit(p)) for i, p in enumerate(sorted(WEIGHTS)))))
+    out = once.groupBy("rec").agg(F.sum("n").alias("given"), F.least(F.count("*"), F.lit(most)).alias("final"), F.collect_set(F.array_sort("providers")).alias("sets"))
+    named = F.array_sort(F.array_distinct(F.flatten("sets")))
     return out.select("rec", F.size(named).cast("long").alias("sources"), "given", F.array_join(named, ",").alias("providers"), F.col("final").cast("long").alias("final"))
 
 
 def borda(rows: DataFrame, most: int = 20) -> DataFrame:
     """Rank fusion: each source gives weight times (its length - rank)."""
+    rows = rows.repartition("rec")
     n = F.count("*").over(Window.partitionBy("rec", "provider"))
     rank = F.row_number().over(Window.partitionBy("rec", "provider").orderBy("pos"))
     scored = rows.withColumn("points", weight_of() * (n - rank)).groupBy("rec", "keyword").agg(F.round(F.sum("points"), 6).alias("score"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import scratch_path, table
 
 #: Beginnings of questions (a prefix test), and rules of intent in order (a substring test).
 STARTERS = ("what", "who", "where", "when", "why", "how", "can", "could", "would", "should", "is", "are", "suggest", "recommend", "find", "show", "tell", "give me", "list", "name")
@@ -91,7 +91,10 @@ def expanded(queries: DataFrame, expansions: DataFrame, expand: bool = True) ->
     one = lambda c: F.array_compact(F.array(c))
     found = search_terms(F.col("text"))
     terms = F.when(F.col("kind") == "recommendation", one(asked["genre"])).when(F.col("kind") == "search", F.slice(found, 1, EXPANDED_TERMS["search"]) if expand else found).when(F.col("kind") == "information", one(about["topic"])).otherwise(F.slice(keywords(F.col("text")), 1, EXPANDED_TERMS["other"]))
-    q = q.withColumn("terms", terms)
+    # The features are derived once: as columns of one plan, every use of them would derive them again.
+    path = scratch_path(queries.sparkSession, "question-features")
+    q.withColumn("terms", terms).write.parquet(path)
+    q = queries.sparkSession.read.parquet(path)
     # Only terms that are expanded travel, at most five of a question.
     each = q.where(F.col("question") & F.col("kind").isin(*(k for k, n in EXPANSIONS.items() if n[way]))).select("query_id", "kind", F.posexplode("terms").alias("pos", "term"))
     cut = reduce(lambda c, k: c.when(F.col("kind") == k, F.slice("more", 1, EXPANSIONS[k][way])), EXPANSIONS, F.when(F.lit(False), F.col("more")))
