@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,8 +109,10 @@ def breaker(c: DataFrame, failures: int = 5, idle_s: int = 60, slice_s: int = 36
     return joined.select("service", "id", state.alias("state"))
 
 
-#: Accuracy of window quantiles: the rank of a value is right to one part in so many.
-ACCURACY = 10_000
+#: Quantiles of a window, and parts that the span of its values is cut into to find them.
+QUANTILES, PARTS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, 256
+#: Size parameter of the quantile sketches: the rank of a value is right to about 1.65 / SKETCH of the window's values with 99 % confidence.
+SKETCH = 800
 
 
 def seconds(length: str) -> float:
@@ -117,16 +121,58 @@ def seconds(length: str) -> float:
     return float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
+def _opened(c: DataFrame, length: str, slide: str | None) -> DataFrame:
+    return c.withColumn("w", F.window("ts", length, slide) if slide else F.window("ts", length))
+
+
+def _rates(rows: DataFrame, length: str, keys: tuple[str, ...]) -> DataFrame:
+    return rows.select(F.unix_timestamp("w.start").alias("start"), *keys, "n", "errors", F.round(F.col("n") / seconds(length), 6).alias("rate"), F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"), *(F.round(p, 4).alias(p) for p in QUANTILES))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
+    """keys, and the exact quantiles of each group: the smallest value that so large a share of the group's values doesn't exceed.
+
+    The span between a group's least and largest value is cut into PARTS parts.
+    Counts of the parts, summed before they are shuffled, tell in which a
+    quantile lies; only the values of these parts, each once with its count, are
+    put in order.  Nulls don't count; a group without a value has no row.
+    """
+    some = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    span = some.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("k").alias("all"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+    width = (F.col("high") - F.col("low")) / PARTS
+    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(PARTS - 1))).otherwise(0)
+    dealt = some.alias("a").join(span.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}") for k in keys), "v", "k", "all", part.cast("int").alias("part"))
+    parts = dealt.groupBy(*keys, "part").agg(F.sum("k").alias("in_part"), F.first("all").alias("all"))
+    upto = F.sum("in_part").over(Window.partitionBy(*keys).orderBy("part"))  # PARTS rows a group
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.ceil(F.lit(q) * F.col("all")).alias("rank")) for name, q in QUANTILES.items())))
+    wanted = parts.withColumn("upto", upto).select(*keys, "part", "upto", "in_part", asked.alias("q")).where((F.col("q.rank") <= F.col("upto")) & (F.col("q.rank") > F.col("upto") - F.col("in_part")))
+    hit = wanted.groupBy(*keys, "part").agg(F.first(F.col("upto") - F.col("in_part")).alias("before"), F.collect_list("q").alias("qs"))
+    close = dealt.alias("a").join(hit.alias("b"), same("a", "b") & (F.col("a.part") == F.col("b.part"))).select(*(F.col(f"a.{k}") for k in keys), F.col("a.part").alias("part"), "v", "k", "before", "qs")
+    reached = F.col("before") + F.sum("k").over(Window.partitionBy(*keys, "part").orderBy("v"))
+    placed = close.withColumn("reached", reached).select(*keys, "v", F.explode(F.filter("qs", lambda q: (q["rank"] <= F.col("reached")) & (q["rank"] > F.col("reached") - F.col("k")))).alias("q"))
+    return placed.groupBy(*keys).agg(*(F.max(F.when(F.col("q.name") == n, F.col("v"))).alias(n) for n in QUANTILES))
+
+
 def windowed(c: DataFrame, length: str = "5 minutes", slide: str | None = None, *keys: str) -> DataFrame:
-    """Requests, errors, rate a second and latency quantiles by event-time window; works on streams with a watermark.
+    """Requests, errors, rate a second and exact latency quantiles by event-time window, at every size of window."""
+    rows = _opened(c, length, slide)
+    counts = rows.groupBy("w", *keys).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"))
+    found = quantiles(rows, ["w", *keys]).withColumnsRenamed({k: f"__{k}" for k in ("w", *keys)})
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in ("w", *keys)))
+    return _rates(counts.join(found, on, "left"), length, keys)
+
+
+def sketched(c: DataFrame, length: str = "5 minutes", slide: str | None = None, *keys: str, pane: str = "1 minute") -> DataFrame:
+    """The same with quantiles of mergeable sketches: a sketch a pane, panes merged into all windows that hold them.
 
-    Quantiles are values of the window whose rank is right to 1 / ACCURACY, so
-    a window's state stays small; in windows of up to ACCURACY values they are exact.
+    A quantile's rank is right to about 1.65 / SKETCH with 99 % confidence, at
+    every size of window; windows and slides are multiples of the pane.
     """
-    w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    quantiles = F.percentile_approx("ms", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99)), F.lit(ACCURACY))
-    rows = c.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), quantiles.alias("q"))
-    return rows.select(F.unix_timestamp("w.start").alias("start"), *keys, "n", "errors", F.round(F.col("n") / seconds(length), 6).alias("rate"), F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"), *(F.round(F.get("q", F.lit(i)), 4).alias(p) for i, p in enumerate(("p50", "p90", "p95", "p99"))))
+    panes = c.groupBy(F.window("ts", pane).alias("pane"), *keys).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.kll_sketch_agg_double("ms", F.lit(SKETCH)).alias("sketch"))
+    rows = panes.withColumn("w", F.window(F.col("pane.start"), length, slide) if slide else F.window(F.col("pane.start"), length))
+    merged = rows.groupBy("w", *keys).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"))
+    return _rates(merged.withColumns({n: F.kll_sketch_get_quantile_double("sketch", F.lit(q)) for n, q in QUANTILES.items()}), length, keys)
 
 
 def per_minute(c: DataFrame, length: str = "5 minutes", *keys: str) -> DataFrame:
