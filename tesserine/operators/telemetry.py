@@ -11,22 +11,55 @@ from pyspark.sql.window import Window
 from ..sources.tables import table
 
 
-def _by():
-    return Window.partitionBy("service").orderBy("ts", "id")
-
-
 def checks(events: DataFrame, failure: str = "error") -> DataFrame:
     """Health checks: service, ts, id, ok, ms."""
     return events.select(F.col("user_id").alias("service"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_type") != failure).alias("ok"), F.col("value").alias("ms"), "event_type")
 
 
+#: Seconds of a slice in which checks are numbered, and checks of a chunk in which they are taken one after another.
+SLICE_S, CHUNK = 3600, 10_000
+
+
+def chunked(c: DataFrame, before: int, slice_s: int | None = None, chunk: int | None = None) -> DataFrame:
+    """c with pos (place of a check among those of its service), chunk, and own: whole chunks of a service, and before each the last `before` checks of the one before it (own is false).
+
+    Checks are numbered within slices of time, and a row for each slice tells how
+    many come before it; so a service with very many checks is in many tasks.
+    """
+    slice_s, chunk = slice_s or SLICE_S, chunk or CHUNK
+    order = [F.col("ts").asc_nulls_first(), F.col("id").asc_nulls_first()]
+    rows = c.withColumn("slice", F.floor(F.unix_micros("ts") / (slice_s * 1_000_000)))
+    sizes = rows.groupBy("service", "slice").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("service").orderBy(F.col("slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("service").alias("s"), F.col("slice").alias("t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("service", "slice").orderBy(*order)))
+    placed = numbered.join(offsets, F.col("service").eqNullSafe(F.col("s")) & F.col("slice").eqNullSafe(F.col("t"))).withColumn("pos", F.col("offset") + F.col("nth") - 1)
+    home = F.floor(F.col("pos") / chunk)
+    copies = F.when(F.col("pos") % chunk >= chunk - before, F.array(home, home + 1)).otherwise(F.array(home))
+    return placed.withColumn("home", home).withColumn("chunk", F.explode(copies)).withColumn("own", F.col("chunk") == F.col("home")).drop("slice", "nth", "s", "t", "offset", "home")
+
+
 def health(c: DataFrame, rolling: int = 20, slow: float = 1000.0) -> DataFrame:
-    """Rolling mean, status, failures in a row and last healthy time at each check."""
+    """Rolling mean, status, failures in a row and last healthy time at each check.
+
+    A chunk's rows see the last checks before it; failures and the last healthy
+    check pass from chunk to chunk in a row for each.
+    """
     status = F.when(~F.col("ok"), "UNHEALTHY").when(F.col("ms") < slow, "HEALTHY").otherwise("DEGRADED")
-    island = F.sum(F.col("ok").cast("int")).over(_by())
-    out = c.withColumns({"rolling_ms": F.avg("ms").over(_by().rowsBetween(1 - rolling, 0)), "status": status, "island": island})
-    streak = Window.partitionBy("service", "island").orderBy("ts", "id")
-    return out.withColumns({"failures": F.sum((~F.col("ok")).cast("int")).over(streak), "last_healthy": F.last(F.when(F.col("ok"), F.col("ts")), True).over(_by())}).drop("island")
+    by = Window.partitionBy("service", "chunk").orderBy("pos")
+    own = lambda x: F.when(F.col("own"), x)
+    rows = chunked(c, rolling - 1).withColumns({"rolling_ms": F.avg("ms").over(by.rowsBetween(1 - rolling, 0)), "failed": F.coalesce(F.sum(own((~F.col("ok")).cast("long"))).over(by), F.lit(0))})
+    rows = rows.withColumns({"since": F.last(own(F.when(F.col("ok"), F.col("failed"))), True).over(by), "healthy": F.last(own(F.when(F.col("ok"), F.col("ts"))), True).over(by)}).where("own")
+
+    last = F.struct("pos", "since", "healthy", "failed")
+    ends = rows.groupBy("service", "chunk").agg(F.max(last).alias("x")).select("service", "chunk", "x.*")
+    chunks = Window.partitionBy("service").orderBy("chunk")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("base", F.coalesce(F.sum("failed").over(earlier), F.lit(0)))
+    carried = ends.select(F.col("service").alias("s"), F.col("chunk").alias("t"), "base", F.last(F.col("base") + F.col("since"), True).over(earlier).alias("since_before"), F.last("healthy", True).over(earlier).alias("healthy_before"))
+    out = rows.join(carried, F.col("service").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("t")))
+    failures = F.col("base") + F.col("failed") - F.coalesce(F.col("base") + F.col("since"), F.col("since_before"), F.lit(0))
+    return out.select(*c.columns, "rolling_ms", status.alias("status"), failures.alias("failures"), F.coalesce("healthy", "healthy_before").alias("last_healthy"))
 
 
 def alerts(h: DataFrame, failures: int = 3, slow: float = 2000.0) -> DataFrame:
@@ -184,10 +217,12 @@ def per_minute(c: DataFrame, length: str = "5 minutes", *keys: str) -> DataFrame
 
 def gauges(c: DataFrame) -> DataFrame:
     """Of each series: the latest sample, whether it is up, how many of its tasks are in progress, the sum of its counter's increases (a fall is a reset), and that a second in percent."""
-    w = Window.partitionBy("service").orderBy("ts", "id")
+    w = Window.partitionBy("service", "chunk").orderBy("pos")
     step = F.col("ms") - F.lag("ms").over(w)
     at = F.struct("ts", "id")
-    rows = c.withColumn("up", F.when(step >= 0, step).when(step < 0, F.col("ms")))
+    rows = chunked(c, 1).withColumn("step", step).where("own")
+    step = F.col("step")
+    rows = rows.withColumn("up", F.when(step >= 0, step).when(step < 0, F.col("ms")))
     out = rows.groupBy("service").agg(F.round(F.max_by("ms", at), 4).alias("latest"), F.max_by("ok", at).alias("is_up"), F.greatest(F.count_if(F.col("event_type") == "view") - F.count_if(F.col("event_type") == "click"), F.lit(0)).alias("in_progress"), F.round(F.sum("up"), 4).alias("increase"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     span = F.unix_micros("t1") - F.unix_micros("t0")
     return out.withColumn("rate_percent", F.when(span > 0, F.round(F.col("increase") / (span / 1e6) * 100, 4))).drop("t0", "t1")
