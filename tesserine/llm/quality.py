@@ -161,9 +161,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col:
 
     Only ids and labels are ordered.  The chosen documents are taken in that
     order, those passed over that are longer than what is left of SAMPLE_BYTES.
-    Null ids and labels are left out, and an id that is labelled twice counts once.
+    Null ids and labels are left out, and an id that is labelled twice counts
+    once, with label 0 if it has both.
     """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).dropDuplicates(["id"]).withColumn("order", F.xxhash64("id")).where(learn)
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("y").alias("y")).withColumn("order", F.xxhash64("id")).where(learn)
     chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("order", "id").limit(SAMPLE_DOCS * (y + 1) // 3).collect()]
     if not chosen:
         return [], []

@@ -74,3 +74,10 @@ def test_held_out_accuracy(spark, sf):
     auc = np.mean([(g.score > b.score) + 0.5 * (g.score == b.score) for g in good for b in bad])
     print(caught, kept, auc)
     assert caught > 0.9 and kept > 0.97 and auc > 0.97
+
+
+def test_an_id_with_two_labels_counts_as_the_worse(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    for parts in (1, 3):
+        assert sorted(zip(*q.labelled_sample(docs, labels.repartition(parts), F.lit(True)))) == [(b"a", 0), (b"b", 1)]
