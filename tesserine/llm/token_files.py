@@ -154,8 +154,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str, end_id:
             yield pa.RecordBatch.from_arrays([pa.array([block(doc_ids, ids)], pa.binary())], names=["record"])
 
     size = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
-    order = F.col("doc_id").asc_nulls_first()
-    ordered = source.repartitionByRange(max(1, -(-size // FILE_TEXT)), order).sortWithinPartitions(order)
+    # Rows of one id, of no id among them, are in the order of their texts' hashes, and dealt by it.
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = source.repartitionByRange(max(1, -(-size // FILE_TEXT)), *order).sortWithinPartitions(*order)
     write_records(ordered.mapInArrow(task(blocked, encodes=True), "record binary"), path, SEPARATOR)
 
 

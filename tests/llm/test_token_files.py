@@ -44,3 +44,16 @@ def test_cases(spark, monkeypatch):
 def test_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     check(t.op7_token_files(spark, "/root/testdata/sf0.001").collect(), docs)
+
+
+def test_equal_and_null_ids_have_an_order(spark, monkeypatch):
+    """Rows of one id come in one order, however the table is cut, and rows without an id are in several files."""
+    monkeypatch.setattr(t, "FILE_TEXT", 400)
+    docs = [(5, f"text {i} " * (i % 7)) for i in range(40)] + [(None, f"other {i}") for i in range(60)] + [(5, None), (5, "")]
+    seen = []
+    for parts in (1, 4):
+        path = new_path(spark, "t")
+        t.write_token_files(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), path, vocabulary(t.VOCABULARY))
+        seen.append(sorted((tuple(r) for r in t.read_token_files(spark, path).collect()), key=lambda r: r[1]))
+    assert seen[0] == seen[1] and len(seen[0]) == len(docs)
+    assert [r[1] for r in seen[0]] == [sum(x[2] for x in seen[0][:k]) for k in range(len(docs))]
