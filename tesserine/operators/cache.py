@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -119,8 +119,8 @@ def page(cache: DataFrame, skip: int, limit: int) -> DataFrame:
     return cache.orderBy(F.col("created_at").desc(), "cache_key").offset(skip).limit(limit)
 
 
-def purged(cache: DataFrame, now: float | None = None, pattern: str | None = None, kind: str | None = None, prefix: str | None = None) -> DataFrame:
-    """What stays when expired entries, those of a pattern, kind or key prefix go."""
+def _gone(now: float | None, pattern: str | None, kind: str | None, prefix: str | None) -> Column:
+    """Whether an entry goes: it has expired, or is of a pattern, kind or key prefix."""
     gone = F.lit(False)
     if now is not None:
         gone = gone | F.coalesce((F.col("expires_at") != 0) & (F.col("expires_at") < now), F.lit(False))
@@ -130,7 +130,18 @@ def purged(cache: DataFrame, now: float | None = None, pattern: str | None = Non
         gone = gone | (F.col("type") == kind)
     if prefix is not None:
         gone = gone | F.startswith("cache_key", F.lit(prefix))
-    return cache.where(~gone)
+    return F.coalesce(gone, F.lit(False))
+
+
+def purged(cache: DataFrame, now: float | None = None, pattern: str | None = None, kind: str | None = None, prefix: str | None = None) -> DataFrame:
+    """What stays when expired entries, those of a pattern, kind or key prefix go."""
+    return cache.where(~_gone(now, pattern, kind, prefix))
+
+
+def purge_counts(cache: DataFrame, now: float | None = None, pattern: str | None = None, kind: str | None = None, prefix: str | None = None) -> DataFrame:
+    """How many entries go in such a purge and how many stay, and how many have expired of those that go."""
+    gone, expired = _gone(now, pattern, kind, prefix), _gone(now, None, None, None)
+    return cache.agg(F.count_if(gone).alias("deleted"), F.count_if(~gone).alias("kept"), F.count_if(gone & expired).alias("expired"))
 
 
 def hit_rate(found: DataFrame) -> DataFrame:
@@ -188,6 +199,7 @@ QUERIES = {
     "j7_stats": lambda s, d: stats(entries(s, d), NOW),
     "j8_summary": lambda s, d: summary(entries(s, d)),
     "j9_page": lambda s, d: page(entries(s, d), 20, 30).select("cache_key", "created_at"),
+    "j10_purge_counts": lambda s, d: purge_counts(entries(s, d), NOW, "user_3$", "view"),
     "j10_purge": lambda s, d: purged(entries(s, d), NOW, "user_3$", "view").select("cache_key"),
     "j11_hit_rate": lambda s, d: hit_rate(lookup(_requests(s, d), entries(s, d), NOW)),
 }
@@ -208,6 +220,7 @@ ORACLES = {
     "j7_stats": f"SELECT type, count(*) AS n, round(avg(confidence), 6) AS confidence, count(*) FILTER (created_at >= {NOW} - 86400) AS last_day FROM {E} GROUP BY 1",
     "j8_summary": f"SELECT type, count(*) AS n, round(avg(len(result)), 2) AS concepts FROM {E} GROUP BY 1",
     "j9_page": f"SELECT cache_key, created_at FROM {E} ORDER BY created_at DESC, cache_key LIMIT 30 OFFSET 20",
+    "j10_purge_counts": f"SELECT count(*) FILTER (g) AS deleted, count(*) FILTER (NOT g) AS kept, count(*) FILTER (x) AS expired FROM (SELECT x, x OR regexp_matches(cache_key, 'user_3$') OR type = 'view' AS g FROM (SELECT *, coalesce(expires_at <> 0 AND expires_at < {NOW}, false) AS x FROM {E}))",
     "j10_purge": f"SELECT cache_key FROM {E} WHERE NOT (coalesce(expires_at <> 0 AND expires_at < {NOW}, false) OR regexp_matches(cache_key, 'user_3$') OR type = 'view')",
     "j11_hit_rate": f"SELECT count(*) FILTER (h) AS hits, count(*) FILTER (NOT h) AS misses, round(count(*) FILTER (h) / count(*), 6) AS rate FROM (SELECT cache_key IN (SELECT cache_key FROM {LIVE}) AS h FROM {R})",
 }

@@ -39,7 +39,7 @@ def intent(text: Column) -> Column:
 def recommendation(text: Column) -> Column:
     """How many films are asked for, the first genre in the order of the list, all modifiers."""
     t = F.lower(text)
-    n = F.regexp_extract(t, r"\b(\d+)\s+(?:movie|film)", 1)
+    n = F.regexp_extract(t, r"\b(\d+)\s+(?:movie|film)", 1)  # a fixed value
     held = lambda words: F.filter(F.array(*map(F.lit, words)), lambda g: t.contains(g))
     return F.struct(F.when(n != "", n.cast("int")).alias("count"), F.get(held(GENRES), F.lit(0)).alias("genre"), held(MODIFIERS).alias("modifiers"))
 
@@ -57,6 +57,7 @@ def information(text: Column) -> Column:
     """Subject and topic: of "about T in S", "what is T" or "S information"; null where there is none."""
     t = F.lower(text)
     get = lambda p, i: F.nullif(F.trim(F.regexp_extract(t, p, i)), F.lit(""))
+    # The patterns of the three forms.
     both, plain, named = r"about\s+(.+?)\s+in\s+(.+)", r"what\s+is\s+(.+)", r"(.+?)\s+(?:information|details|info)"
     topic = F.nullif(F.regexp_replace(F.regexp_extract(t, plain, 1), r"^\?+|\?+$", ""), F.lit(""))
     subject = F.when(t.rlike(both), get(both, 2)).when(t.rlike(plain), None).otherwise(get(named, 1))

@@ -76,7 +76,7 @@ def extract(array: str, equal: dict[str, str], value: str, multiple: bool = Fals
 
 def placeholder(source: str | None, field: str, columns: list[str]) -> Column:
     """The source column; a text in its place where none is named; null where it is missing."""
-    if source is None:
+    if source is None:  # a fixed value
         return F.lit(f"[Synthetic {field} - would be enriched by plugins]")
     return F.col(source) if source in columns else F.lit(None).cast("string")
 
@@ -151,6 +151,7 @@ def is_numeric(v: Column) -> Column:
 
 
 def is_identifier(v: Column) -> Column:
+    # What identifiers look like.
     return v.rlike(r"^(?:https?://|ftp://|www\.|mailto:)") | v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$") | v.rlike("^[0-9a-fA-F]{17,}$")
 
 
