@@ -17,7 +17,7 @@ from .text_jobs import concepts_sql, top_per_group
 
 #: Documents of a block, and for each document that is wanted, blocks that are read to find what it must score.
 BLOCK, SEEDS = 8, 2
-#: Bytes of query tokens, and of chosen blocks, that are broadcast at most.
+#: Bytes of query tokens, of terms, and of chosen blocks, that are broadcast at most.
 SENT = 32 << 20
 #: Characters of a gram.
 GRAM = 3
@@ -132,20 +132,25 @@ def contains_join(texts: DataFrame, terms: DataFrame, text_col: str, term_col: s
     its grams that the fewest texts hold; texts give shorter grams as well where
     there are terms as short as those.  What shares a gram is compared.  Null
     texts and null or empty terms match nothing.  Columns of both sides are kept
-    and must not clash.
+    and must not clash.  Terms are sent to the texts where they take SENT bytes
+    at most; beyond that both are shuffled.  The grams of texts are never sent:
+    Spark would take them to be as small as the table that they come from.
     """
     t = texts.where(F.col(text_col).isNotNull()).withColumn("__text", F.lower(text_col))
     w = terms.where(F.length(term_col) > 0).withColumn("__term", F.lower(term_col))
-    sizes = sorted(r[0] for r in w.select(F.least(F.length("__term"), F.lit(GRAM)).alias("n")).distinct().collect())
+    found = w.groupBy(F.least(F.length("__term"), F.lit(GRAM)).alias("n")).agg(F.sum(F.octet_length(F.struct(*w.columns).cast("string")) + 64).alias("bytes")).collect()  # GRAM rows
+    sizes, few = sorted(r["n"] for r in found), sum(r["bytes"] for r in found) <= SENT
     if not sizes:
         return t.crossJoin(w).limit(0).drop("__text", "__term")
+    sent = F.broadcast if few else lambda df: df.hint("merge")
     held = t.withColumn("__gram", F.explode(_grams("__text", sizes)))
-    often = held.groupBy("__gram").agg(F.count("*").alias("__n"))
     own = w.select("__term").distinct().withColumn("__gram", F.explode(_grams("__term", sizes))).where(F.length("__gram") == F.least(F.length("__term"), F.lit(GRAM)))
+    # Only grams of terms are counted, so there are no more counts than those.
+    often = held.select("__gram").join(sent(own.select("__gram").distinct()), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
     # A term with a gram that no text holds is in none: the inner join keeps it out below, where its grams are counted.
-    counted = own.join(often, "__gram", "left").groupBy("__term").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("x")).where("x.n > 0")
+    counted = own.join(sent(often), "__gram", "left").groupBy("__term").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("x")).where("x.n > 0")
     rare = w.join(counted.select("__term", F.col("x.g").alias("__gram")), "__term")
-    return held.join(rare, "__gram").where(F.contains("__text", "__term")).drop("__gram", "__text", "__term")
+    return held.join(sent(rare), "__gram").where(F.contains("__text", "__term")).drop("__gram", "__text", "__term")
 
 
 # --- queries --------------------------------------------------------------------

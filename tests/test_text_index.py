@@ -44,6 +44,18 @@ def test_contains_join(spark):
     assert x.contains_join(t, w.where("false"), "name", "term").collect() == [] == x.contains_join(t.where("false"), w, "name", "term").collect()
 
 
+def test_contains_join_never_sends_the_grams_of_texts(spark, monkeypatch):
+    t = spark.range(100).select(F.col("id").alias("k"), F.concat(F.lit("name "), F.col("id")).alias("name"))  # Spark knows that this is small
+    w = spark.createDataFrame([("7",), ("me 1",)], "term string")
+    want = sorted((k, f"name {k}", m) for k in range(100) for m in ("7", "me 1") if m in f"name {k}")
+    for sent, join in ((x.SENT, "BuildRight"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(x, "SENT", sent)
+        found = x.contains_join(t, w, "name", "term")
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert join in next(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_index_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     x.write_index(empty, str(tmp_path / "none"), "doc_id", {"text": 1.0})
