@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,16 +26,37 @@ STOPWORDS = (
 DELIMITERS = r"[,.!?;:\s\-()]+"
 
 
-def _decompose(texts: pa.Array) -> pa.Array:
-    import unicodedata
+def decomposed(text: str) -> str:
+    """Text with accents folded and what isn't ASCII then left out, of a single string."""
+    return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+
+
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What each character of another script becomes: those that become one ASCII character, and those that become several."""
+    found = {chr(c): t for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (t := decomposed(chr(c)))}
+    return {c: t for c, t in found.items() if len(t) == 1}, {c: t for c, t in found.items() if len(t) > 1}
+
 
-    return pa.array([None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts.to_pylist()], pa.string())
+def _ranges(chars: dict[str, str]) -> str:
+    """Characters in ascending order as ranges of a pattern's class, which takes far fewer comparisons than one by one."""
+    ends = [c for c in chars if chr(ord(c) - 1) not in chars], [c for c in chars if chr(ord(c) + 1) not in chars]
+    return "".join(f"{a}-{b}" for a, b in zip(*ends))
 
 
 def to_ascii(text: Column) -> Column:
-    """Text with accents folded and what isn't ASCII then left out; only rows that hold non-ASCII characters leave the JVM."""
-    fold = F.arrow_udf(_decompose, "string")
-    return F.when(is_ascii(text), text).otherwise(fold(text))
+    """Text with accents folded and what isn't ASCII then left out.
+
+    Each character decomposes by itself, as what decomposition reorders isn't
+    ASCII, so no text leaves the JVM: the few kinds of characters in a text that
+    become several are replaced one by one, the others translated.
+    """
+    one, many = _folds()
+    wide = rf"([[^\x00-\x7F]&&[{_ranges(many)}]])"
+    turns = F.str_to_map(F.lit("\n".join(f"{c}\t{t}" for c, t in many.items())), F.lit("\n"), F.lit("\t"))
+    spread = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(wide), 1)), text, lambda t, c: F.replace(t, c, F.element_at(turns, c)))
+    folded = F.translate(F.when(text.rlike(wide), spread).otherwise(text), "".join(one), "".join(one.values()))
+    return F.when(is_ascii(text), text).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]+", ""))
 
 
 def is_ascii(text: Column) -> Column:

@@ -100,12 +100,12 @@ def weighted_by(rows: DataFrame, weight: str = "weight", most: int = 20) -> Data
 
 def sources(spark, sf) -> DataFrame:
     """Three keyword sources of each document, from one scan: all key words, all plain long words, and the key words of its longest line."""
-    d = table(spark, sf, "documents")
     lines = F.split("text", "\n")
     longest = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+    d = table(spark, sf, "documents").select("doc_id", "text", longest.alias("longest"))
     plain = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)
     placed = lambda p, a: F.transform(a, lambda k, i: F.struct(F.lit(p).alias("provider"), i.alias("pos"), k.alias("keyword")))
-    each = F.concat(placed("llm", T.key_words(F.col("text"))), placed("graph", F.array_distinct(plain)), placed("vector", T.key_words(longest)))
+    each = F.concat(placed("llm", T.key_words(F.col("text"))), placed("graph", F.array_distinct(plain)), placed("vector", T.key_words(F.col("longest"))))
     rows = d.select(F.col("doc_id").alias("rec"), F.explode(each).alias("x")).select("rec", "x.provider", "x.pos", "x.keyword")
     return normalise_sources(rows).withColumn("confidence", F.round(1 / (F.col("pos") + 1), 6))
 

@@ -1,7 +1,7 @@
 """Records with arrays, structs and maps: flattening, normalising, paths, prompts and the structured profile.
 
 What to do with a column follows from its type in the schema, so all of it is
-one projection; only folding accents leaves the JVM, in Arrow arrays.
+one projection and nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -37,27 +36,20 @@ def flattened(df: DataFrame, *columns: str) -> dict[str, Column]:
     return {n: T.to_ascii(flat(F.col(n), df.schema[n].dataType)) for n in columns}
 
 
-def _folded(a: pa.Array) -> pa.Array:
-    """An Arrow array with all strings in it folded to ASCII."""
-    if isinstance(a, pa.ChunkedArray):
-        a = a.combine_chunks()
-    if pa.types.is_string(a.type) or pa.types.is_large_string(a.type):
-        return T._decompose(a).cast(a.type)
-    if pa.types.is_list(a.type):
-        return pa.ListArray.from_arrays(a.offsets, _folded(a.values), a.type, mask=a.is_null() if a.null_count else None) if a.offset == 0 else _folded(pa.concat_arrays([a]))
-    if pa.types.is_map(a.type):
-        return pa.array([None if m is None else [(_fold(k), _fold(v)) for k, v in m] for m in a.to_pylist()], a.type)
-    if pa.types.is_struct(a.type):
-        return pa.StructArray.from_arrays([_folded(f) for f in a.flatten()], fields=list(a.type), mask=a.is_null())
-    return a
-
-
-def _fold(v):
-    if isinstance(v, str):
-        return T._decompose(pa.array([v]))[0].as_py()
-    if isinstance(v, list):
-        return [_fold(x) for x in v]
-    return {_fold(k): _fold(x) for k, x in v.items()} if isinstance(v, dict) else v
+def _folded(c: Column, kind: S.DataType) -> Column:
+    """A value with all texts in it folded to ASCII. Of keys of a map that become the same, the last counts."""
+    if not _holds_text(kind):
+        return c
+    if isinstance(kind, S.ArrayType):
+        return F.transform(c, lambda x: _folded(x, kind.elementType))
+    if isinstance(kind, S.MapType):
+        keys, values = F.transform(F.map_keys(c), lambda k: _folded(k, kind.keyType)), F.transform(F.map_values(c), lambda v: _folded(v, kind.valueType))
+        entries = F.arrays_zip(keys.alias("key"), values.alias("value"))
+        last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last))
+    if isinstance(kind, S.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_folded(c[f.name], f.dataType).alias(f.name) for f in kind)))
+    return T.to_ascii(c)
 
 
 def _holds_text(kind: S.DataType) -> bool:
@@ -72,15 +64,7 @@ def _holds_text(kind: S.DataType) -> bool:
 
 def normalised_records(df: DataFrame) -> DataFrame:
     """The table with all texts in all columns, and their names, folded to ASCII; other values as they are."""
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, S.StringType):
-            c = T.to_ascii(c)
-        elif _holds_text(f.dataType):
-            c = F.arrow_udf(_folded, f.dataType)(c)
-        out.append(c.alias(_fold(f.name)))
-    return df.select(*out)
+    return df.select(*(_folded(F.col(f"`{f.name}`"), f.dataType).alias(T.decomposed(f.name)) for f in df.schema))
 
 
 def text_value(c: Column, kind: S.DataType) -> Column:

@@ -84,3 +84,14 @@ def test_compiled_plan_and_model_requests(spark):
 
     asked = spark.createDataFrame([("k", "x"), ("k", "x"), ("c", "y")], "cache_key string, prompt string")
     assert [tuple(x) for x in answered(asked, model, "cache_key string, answer string", asked.where("cache_key = 'c'")).collect()] == [("k", "X")]
+
+
+def test_nested_texts_are_folded_in_the_jvm(spark):
+    from tesserine.operators import nested
+
+    row = ("\u00e9", [("\u00e9\u00e9", 1), None], {"caf\u00e9": ["\u00fc", None], "x": None}, None)
+    given = spark.createDataFrame([row, (None,) * 4], "`na\u00efve` string, who array<struct<n:string,k:int>>, ids map<string,array<string>>, s struct<a:string>")
+    df = nested.normalised_records(given.selectExpr("*", "if(who is null, null, map('\u00e9', 1, 'e', 2)) as twice"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in df.collect()]
+    assert df.columns[0] == "naive" and got == [("e", [("ee", 1), None], {"cafe": ["u", None], "x": None}, None, {"e": 2}), (None,) * 5]

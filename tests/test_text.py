@@ -28,3 +28,10 @@ def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(None,)], "t string")
     for rule in (t.to_ascii, t.key_part, t.analysis_text, t.key_concepts):
         assert df.select(rule(F.col("t"))).first()[0] is None
+
+
+def test_folding_stays_in_the_jvm(spark):
+    given = ["\u00bd\u2122\u2026\ufb01 caf\u00e9 \u65e5", "\u2026" * 3 + "\u01c4", "e\u0301\u0323", "\U0001d400\U0001f100", "plain", ""]
+    df = spark.createDataFrame([(g,) for g in given], "t string").select("t", t.to_ascii(F.col("t")).alias("a"), t.key_words(F.col("t")))
+    assert {r.t: r.a for r in df.collect()} == {g: t.decomposed(g) for g in given}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
