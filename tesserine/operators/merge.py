@@ -13,6 +13,8 @@ from .text_jobs import concepts_sql, top_per_group
 #: Weight of a keyword by its provider.
 WEIGHTS = {"llm": 1.0, "graph": 0.8, "vector": 0.6}
 DEFAULT_WEIGHT = 0.5
+#: Bytes of texts that a task turns into keywords.
+TASK_BYTES = 8 << 20
 
 
 def normalise_sources(rows: DataFrame) -> DataFrame:
@@ -24,10 +26,14 @@ def weight_of(provider: str = "provider") -> F.Column:
     return F.coalesce(*(F.when(F.col(provider) == k, v) for k, v in WEIGHTS.items()), F.lit(DEFAULT_WEIGHT))
 
 
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with those of a record in one task, so that sums by keyword and the record's ranking need no further shuffle; as they are if they stand so already."""
+    return rows if getattr(rows, "_dealt", False) else rows.select("rec", *columns).repartition("rec")
+
+
 def _summed(rows: DataFrame):
     place = F.struct("provider", "pos")
-    # Dealt by record once: sums by keyword and the record's ranking both stay where the record is.
-    return rows.repartition("rec").groupBy("rec", "keyword").agg(F.count("*").alias("n"), F.countDistinct("provider").alias("sources"), F.sum(weight_of()).alias("score"), F.min(place).alias("first"))
+    return dealt(rows, "provider", "pos", "keyword").groupBy("rec", "keyword").agg(F.count("*").alias("n"), F.countDistinct("provider").alias("sources"), F.sum(weight_of()).alias("score"), F.min(place).alias("first"))
 
 
 def union(rows: DataFrame, most: int = 20) -> DataFrame:
@@ -37,9 +43,10 @@ def union(rows: DataFrame, most: int = 20) -> DataFrame:
 
 def intersection(rows: DataFrame, min_sources: int | None = None) -> DataFrame:
     """Keywords of all sources of their record, or of at least min_sources."""
-    all_sources = rows.groupBy("rec").agg(F.countDistinct("provider").alias("all"))
-    need = F.lit(min_sources) if min_sources else F.col("all")
-    return _summed(rows).join(all_sources, "rec").where(F.col("sources") >= need).select("rec", "keyword", "sources")
+    rows = dealt(rows, "provider", "keyword").select("rec", "provider", "keyword")
+    need = F.lit(min_sources) if min_sources else F.size(F.collect_set("provider").over(Window.partitionBy("rec")))
+    found = rows.withColumn("need", need).groupBy("rec", "keyword").agg(F.countDistinct("provider").alias("sources"), F.max("need").alias("need"))
+    return found.where(F.col("sources") >= F.col("need")).select("rec", "keyword", "sources")
 
 
 def weighted(rows: DataFrame, most: int = 20) -> DataFrame:
@@ -57,15 +64,17 @@ def statistics(rows: DataFrame, merged: DataFrame) -> DataFrame:
 
 def merge_statistics(rows: DataFrame, most: int = 20) -> DataFrame:
     """The statistics of a union, of whatever providers, from one pass over the keywords."""
-    once = rows.groupBy("rec", "keyword").agg(F.collect_set("provider").alias("providers"), F.count("*").alias("n"))  # a few providers
-    out = once.groupBy("rec").agg(F.sum("n").alias("given"), F.least(F.count("*"), F.lit(most)).alias("final"), F.collect_set(F.array_sort("providers")).alias("sets"))
-    named = F.array_sort(F.array_distinct(F.flatten("sets")))
-    return out.select("rec", F.size(named).cast("long").alias("sources"), "given", F.array_join(named, ",").alias("providers"), F.col("final").cast("long").alias("final"))
+    once = dealt(rows, "provider", "keyword").groupBy("rec", "keyword", "provider").agg(F.count("*").alias("n"))
+    # A keyword counts where its first provider stands; numbers and flags only, so that no sets are kept for each keyword.
+    first = F.row_number().over(Window.partitionBy("rec", "keyword").orderBy("provider")) == 1
+    out = once.withColumn("first", first).groupBy("rec", "provider").agg(F.sum("n").alias("n"), F.count_if("first").alias("keywords"))
+    out = out.groupBy("rec").agg(F.array_sort(F.collect_set("provider")).alias("named"), F.sum("n").alias("given"), F.sum("keywords").alias("keywords"))  # a few providers
+    return out.select("rec", F.size("named").cast("long").alias("sources"), "given", F.array_join("named", ",").alias("providers"), F.least("keywords", F.lit(most)).cast("long").alias("final"))
 
 
 def borda(rows: DataFrame, most: int = 20) -> DataFrame:
     """Rank fusion: each source gives weight times (its length - rank)."""
-    rows = rows.repartition("rec")
+    rows = dealt(rows, "provider", "pos", "keyword")
     n = F.count("*").over(Window.partitionBy("rec", "provider"))
     rank = F.row_number().over(Window.partitionBy("rec", "provider").orderBy("pos"))
     scored = rows.withColumn("points", weight_of() * (n - rank)).groupBy("rec", "keyword").agg(F.round(F.sum("points"), 6).alias("score"))
@@ -74,7 +83,7 @@ def borda(rows: DataFrame, most: int = 20) -> DataFrame:
 
 def factor_ranked(rows: DataFrame, most: int = 20) -> DataFrame:
     """0.4 provider weight + 0.3 frequency + 0.3 mean confidence, the first two relative to the record's largest."""
-    per = rows.groupBy("rec", "keyword").agg(F.max(weight_of()).alias("w"), F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    per = dealt(rows, "provider", "keyword", "confidence").groupBy("rec", "keyword").agg(F.max(weight_of()).alias("w"), F.count("*").alias("n"), F.avg("confidence").alias("c"))
     w = Window.partitionBy("rec")
     per = per.withColumn("score", F.round(0.4 * F.col("w") / F.max("w").over(w) + 0.3 * F.col("n") / F.max("n").over(w) + 0.3 * F.col("c"), 10))
     return top_per_group(per, ["rec"], [F.col("score").desc(), "keyword"], most)
@@ -98,16 +107,26 @@ def weighted_by(rows: DataFrame, weight: str = "weight", most: int = 20) -> Data
     return top_per_group(scored, ["rec"], [F.col("score").desc(), "first", "keyword"], most)
 
 
-def sources(spark, sf) -> DataFrame:
-    """Three keyword sources of each document, from one scan: all key words, all plain long words, and the key words of its longest line."""
+def sources(spark, sf, deal: bool = True) -> DataFrame:
+    """Three keyword sources of each document: all key words, all plain long words, and the key words of its longest line.
+
+    Texts are dealt by document before they become words, many times their
+    size, so merging shuffles each text once; a task takes TASK_BYTES of them.
+    """
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    if deal:
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        d = d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)), "doc_id")
     lines = F.split("text", "\n")
     longest = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
-    d = table(spark, sf, "documents").select("doc_id", "text", longest.alias("longest"))
+    d = d.select("doc_id", "text", longest.alias("longest"))
     plain = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)
     placed = lambda p, a: F.transform(a, lambda k, i: F.struct(F.lit(p).alias("provider"), i.alias("pos"), k.alias("keyword")))
     each = F.concat(placed("llm", T.key_words(F.col("text"))), placed("graph", F.array_distinct(plain)), placed("vector", T.key_words(F.col("longest"))))
     rows = d.select(F.col("doc_id").alias("rec"), F.explode(each).alias("x")).select("rec", "x.provider", "x.pos", "x.keyword")
-    return normalise_sources(rows).withColumn("confidence", F.round(1 / (F.col("pos") + 1), 6))
+    rows = normalise_sources(rows).withColumn("confidence", F.round(1 / (F.col("pos") + 1), 6))
+    rows._dealt = deal
+    return rows
 
 
 _LONGEST = "(SELECT doc_id, (list_max(list_transform(string_split(text, chr(10)), lambda x: {'n': length(x), 'line': x}))).line AS t FROM documents)"
@@ -130,7 +149,7 @@ def _long(df, *c):
 
 
 QUERIES = {
-    "h1_sources": lambda s, d: sources(s, d).select("rec", "provider", F.col("pos").cast("long").alias("pos"), "keyword"),
+    "h1_sources": lambda s, d: sources(s, d, False).select("rec", "provider", F.col("pos").cast("long").alias("pos"), "keyword"),
     "h2_union": lambda s, d: _long(union(sources(s, d)), "rec", "keyword"),
     "h3_intersection": lambda s, d: intersection(sources(s, d)),
     "h4_weighted": lambda s, d: _long(weighted(sources(s, d)).withColumn("score", F.round("score", 6)), "rec", "keyword", "score"),

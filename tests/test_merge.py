@@ -13,3 +13,9 @@ def test_one_shuffle_ranks_a_record(spark):
     for f in (m.weighted, m.ranked, m.borda):
         plan = f(rows)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1
+
+
+def test_texts_are_dealt_once_before_they_become_words(spark):
+    for f in (m.union, m.intersection, m.weighted, m.ranked, m.merge_statistics, m.borda, m.factor_ranked, lambda r: m.intersection(r, 2)):
+        plan = f(m.sources(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
