@@ -12,6 +12,8 @@ from .vectors import apply_operations, neighbours, term_neighbours
 
 #: Weight of a provider when results are fused.
 FUSION = {"llm": 1.0, "graph": 0.8, "vector": 0.7, "temporal": 0.9}
+#: Different keywords whose results are sent at most.
+KEYWORDS = 1 << 15
 
 
 def graph_expand(concepts: DataFrame, edges: DataFrame, k: int = 10, relations: tuple[str, ...] = ("RelatedTo",), least: float = 1.0, languages: tuple[str, ...] = ()) -> DataFrame:
@@ -68,12 +70,23 @@ def nearest(similar: DataFrame) -> DataFrame:
     return best.select("query", (-F.col("x.t")).alias("term"), F.col("x.similarity").alias("similarity"))
 
 
+def _answered(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Requests with the results of their keyword.
+
+    Few results a keyword are sent to the requests where these have at most
+    KEYWORDS different ones; beyond that both are shuffled.  Requests are never
+    sent: a common keyword would bring all of its requests to one task.
+    """
+    few = requests.select(key).distinct().limit(KEYWORDS + 1).count() <= KEYWORDS
+    return requests.join(F.broadcast(results) if few else results.hint("merge"), key)
+
+
 def multi_keyword(requests: DataFrame, results: DataFrame, most: int = 10) -> DataFrame:
     """request, rank, concept: the concepts of a request's keywords (request, pos, keyword) one keyword after another, each once, the first `most`.
 
     results holds (concept, rank, expanded) of single keywords.
     """
-    each = requests.join(results.select(F.col("concept").alias("keyword"), F.col("rank").alias("nth"), F.lower(F.trim("expanded")).alias("clean")), "keyword").where("clean <> ''")
+    each = _answered(requests, results.select(F.col("concept").alias("keyword"), F.col("rank").alias("nth"), F.lower(F.trim("expanded")).alias("clean")), "keyword").where("clean <> ''")
     once = each.groupBy("request", "clean").agg(F.min(F.struct("pos", "nth")).alias("at"))
     return top_per_group(once, ["request"], ["at"], most).select("request", "rank", F.col("clean").alias("concept"))
 
@@ -82,7 +95,7 @@ def per_tag(tags: DataFrame, results: DataFrame, max_per_tag: int = 3, least: fl
     """rec, rank, concept: of each tag of a record (rec, pos, tag) the first max_per_tag expansions that are sure enough, together each once, the first `most`."""
     sure = results.where(F.col("confidence") >= least)
     near = top_per_group(sure.select(F.col("concept").alias("tag"), "expanded", "rank").withColumnRenamed("rank", "nth"), ["tag"], ["nth"], max_per_tag)
-    each = tags.join(near.drop("rank"), "tag")
+    each = _answered(tags, near.drop("rank"), "tag")
     once = each.groupBy("rec", F.col("expanded").alias("concept")).agg(F.min(F.struct("pos", "nth")).alias("at"))
     return top_per_group(once, ["rec"], ["at", "concept"], most).select("rec", "rank", "concept")
 
