@@ -17,6 +17,8 @@ from .text_jobs import concepts_sql, top_per_group
 
 #: Documents of a block, and for each document that is wanted, blocks that are read to find what it must score.
 BLOCK, SEEDS = 8, 2
+#: Blocks of a segment, the postings of which a task holds; as many as a long has bits.
+BLOCKS = 64
 #: Bytes of query tokens, of terms, and of chosen blocks, that are broadcast at most.
 SENT = 32 << 20
 #: Characters of a gram.
@@ -24,44 +26,49 @@ GRAM = 3
 
 
 def write_index(docs: DataFrame, path: str, id_col: str, fields: dict[str, float], block: int = BLOCK) -> None:
-    """Posting blocks of the key words of whole fields: a row for each token and block of documents that hold it, with ids, weights and the largest weight.
+    """Posting blocks of the key words of whole fields: a row for each token and segment, with the blocks that hold it, the largest weight in each, and ids and weights of the documents.
 
-    A block is `block` documents that one task reads one after another, so
-    nothing is shuffled, and a hot token has a row for each block.  Null ids are
-    left out; every row is a document of its own.  Each file is in the order of
-    tokens.
+    A block is `block` documents that one task reads one after another, a
+    segment BLOCKS blocks, so nothing is shuffled or sorted and a task holds the
+    postings of one segment; a hot token has a row for each segment.  Null ids
+    are left out; every row is a document of its own.
     """
-    held = [F.coalesce(T.key_words(F.col(f)), F.array().cast("array<string>")) for f in fields]
-    weighed = [F.array_repeat(F.lit(float(w)), F.size(h)) for h, w in zip(held, fields.values())]
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.concat(*held).alias("tokens"), F.concat(*weighed).alias("weights"))
-    schema = rows.select(F.lit("").alias("token"), F.lit(0).cast("long").alias("block"), F.array(F.struct("id", F.lit(0).alias("at"), F.lit(0.0).alias("weight"))).alias("held"), F.lit(0.0).alias("most")).schema
+    # Each field's key words are a column, used once: Spark would find them again for each use.
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(T.key_words(F.col(f)).alias(f"tokens{n}") for n, f in enumerate(fields)))
+    most = F.array(F.struct(F.lit(0).alias("block"), F.lit(0.0).alias("most")))
+    schema = rows.select(F.lit("").alias("token"), F.lit(0).cast("long").alias("segment"), most.alias("most"), F.array(F.struct("id", F.lit(0).alias("at"), F.lit(0).alias("block"), F.lit(0.0).alias("weight"))).alias("held")).schema
 
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for k in range(0, whole.num_rows, block):
-                b = whole.slice(k, block)
-                at = pc.list_parent_indices(b.column(1)).to_numpy()
+            for k in range(0, whole.num_rows, block * BLOCKS):
+                b = whole.slice(k, block * BLOCKS)
+                at = np.concatenate([pc.list_parent_indices(c).to_numpy() for c in b.columns[1:]]).astype(np.int32)
                 if not len(at):
                     continue
-                coded = pc.list_flatten(b.column(1)).dictionary_encode()
-                code, weight = coded.indices.to_numpy(), pc.list_flatten(b.column(2)).to_numpy()
-                order = np.lexsort((at, code))
+                words = [pc.list_flatten(c) for c in b.columns[1:]]
+                coded = pa.concat_arrays(words).dictionary_encode()
+                weight = np.repeat(np.array([float(w) for w in fields.values()]), [len(w) for w in words])
+                code = coded.indices.to_numpy()
+                order = np.argsort(code.astype(np.int64) * b.num_rows + at, kind="stable")
                 code, at, weight = code[order], at[order], weight[order]
                 first = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(at, prepend=-1))  # a token may be in several fields
                 code, at, weight = code[first], at[first], np.add.reduceat(weight, first)
                 begin = np.flatnonzero(np.diff(code, prepend=-1))
-                items = pa.StructArray.from_arrays([b.column(0).take(pa.array(at)), pa.array(at, pa.int32()), pa.array(weight)], names=["id", "at", "weight"])
-                lists = pa.ListArray.from_arrays(pa.array([*begin, len(code)], pa.int32()), items)
-                tokens = coded.dictionary.take(pa.array(code[begin]))
-                yield pa.RecordBatch.from_arrays([tokens, pa.array(np.full(len(begin), number)), lists, pa.array(np.maximum.reduceat(weight, begin))], names=["token", "block", "held", "most"])
+                of = at // block
+                start = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(of, prepend=-1))
+                bound = pa.StructArray.from_arrays([pa.array(of[start]), pa.array(np.maximum.reduceat(weight, start))], names=["block", "most"])
+                items = pa.StructArray.from_arrays([b.column(0).take(pa.array(at)), pa.array(at), pa.array(of), pa.array(weight)], names=["id", "at", "block", "weight"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(ends, len(x)), pa.int32()), x) for ends, x in ((np.searchsorted(start, begin), bound), (begin, items))]
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[begin])), pa.array(np.full(len(begin), number)), *lists], names=["token", "segment", "most", "held"])
                 number += 1
+        pa.default_memory_pool().release_unused()
 
-    rows.mapInArrow(blocked, schema).sortWithinPartitions("token", "block").write.mode("overwrite").parquet(path)
+    rows.mapInArrow(postings, schema).write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """token, block, held (id and weight of each document), most."""
+    """token, segment, most (of each block), held (id, place, block and weight of each document)."""
     return spark.read.parquet(path)
 
 
@@ -74,32 +81,43 @@ def _hits(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 def bounds(index: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, block, bound: the blocks in which any of a query's tokens occurs, and at most what a document in them can score."""
-    return _hits(index.select("token", "block", "most"), queries).groupBy("query_id", "block").agg(F.sum("most").alias("bound"))
+    each = _hits(index.select("token", "segment", "most"), queries).select("query_id", "segment", F.explode("most").alias("x"))
+    return each.groupBy("query_id", (F.col("segment") * BLOCKS + F.col("x.block")).alias("block")).agg(F.sum("x.most").alias("bound"))
+
+
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows, written once and read from there by all that use them."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _scored(index: DataFrame, queries: DataFrame, blocks: DataFrame, allowed: DataFrame | None, k: int) -> DataFrame:
-    """query_id, id, score, rank within some blocks of each query."""
-    few = blocks.limit(SENT // 32 + 1).count() <= SENT // 32
-    read = _hits(index.select("token", "block", "held"), queries).join(F.broadcast(blocks) if few else blocks, ["query_id", "block"])
-    each = read.select("query_id", "block", F.explode("held").alias("x")).select("query_id", "block", "x.*")
+    """query_id, id, score, rank within some blocks of each query. Blocks of a segment travel as the bits of one number; they are sent to the index where they take SENT bytes at most."""
+    segments = blocks.groupBy("query_id", F.expr(f"block div {BLOCKS}").alias("segment")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(block % {BLOCKS}))")).alias("open"))
+    segments = _kept(segments, "open-blocks")
+    few = segments.limit(SENT // 32 + 1).count() <= SENT // 32
+    read = _hits(index.select("token", "segment", "held"), queries).join(F.broadcast(segments) if few else segments, ["query_id", "segment"])
+    each = read.select("query_id", "segment", "open", F.explode("held").alias("x")).where(F.expr("shiftright(open, x.block) & 1L = 1L"))
+    scores = each.groupBy("query_id", "segment", "x.at", "x.id").agg(F.round(F.sum("x.weight"), 6).alias("score"))
     if allowed is not None:
-        each = each.join(allowed.toDF("id"), "id", "left_semi")
-    scores = each.groupBy("query_id", "block", "at", "id").agg(F.round(F.sum("weight"), 6).alias("score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top_per_group(scores, ["query_id"], [F.col("score").desc(), "id"], k)
+        scores = scores.join(allowed.toDF("id"), "id", "left_semi")
+    return top_per_group(scores.groupBy("query_id", "id").agg(F.max("score").alias("score")), ["query_id"], [F.col("score").desc(), "id"], k)
 
 
-def chosen_blocks(index: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, seeds: int = SEEDS) -> DataFrame:
-    """query_id, block: those that may hold one of the k best documents: the k x `seeds` blocks of the largest bounds, and all whose bound is no less than the score of the k-th best in these."""
-    path = scratch_path(index.sparkSession, "block-bounds")
-    bounds(index, queries).write.parquet(path)
-    bound = index.sparkSession.read.parquet(path)
-    first = top_per_group(bound, ["query_id"], [F.col("bound").desc(), "block"], k * seeds).select("query_id", "block")
+def _chosen(index: DataFrame, queries: DataFrame, bound: DataFrame, k: int, allowed: DataFrame | None, seeds: int) -> DataFrame:
+    first = _kept(top_per_group(bound, ["query_id"], [F.col("bound").desc(), "block"], k * seeds).select("query_id", "block"), "first-blocks")
     best = _scored(index, queries, first, allowed, k)
     least = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     kept = bound.join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6))
     return kept.select("query_id", "block").union(first).distinct()
 
 
+def chosen_blocks(index: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, seeds: int = SEEDS) -> DataFrame:
+    """query_id, block: those that may hold one of the k best documents: the k x `seeds` blocks of the largest bounds, and all whose bound is no less than the score of the k-th best in these."""
+    return _chosen(index, queries, _kept(bounds(index, queries), "block-bounds"), k, allowed, seeds)
+
+
 def indexed_search(index: DataFrame, queries: DataFrame, k: int = 10, allowed: DataFrame | None = None, seeds: int = SEEDS) -> DataFrame:
     """query_id, id, score, rank: the k best documents of each query (query_id, text) by the weights of its tokens; ties by id.
 
@@ -112,8 +130,9 @@ def indexed_search(index: DataFrame, queries: DataFrame, k: int = 10, allowed: D
 
 def blocks_read(index: DataFrame, queries: DataFrame, k: int = 10, seeds: int = SEEDS) -> DataFrame:
     """query_id, blocks, read: blocks that hold a token of the query, and those of them that a search opens."""
-    every = bounds(index, queries).groupBy("query_id").agg(F.count("*").alias("blocks"))
-    return every.join(chosen_blocks(index, queries, k, None, seeds).groupBy("query_id").agg(F.count("*").alias("read")), "query_id")
+    bound = _kept(bounds(index, queries), "block-bounds")
+    every = bound.groupBy("query_id").agg(F.count("*").alias("blocks"))
+    return every.join(_chosen(index, queries, bound, k, None, seeds).groupBy("query_id").agg(F.count("*").alias("read")), "query_id")
 
 
 # --- substrings -----------------------------------------------------------------

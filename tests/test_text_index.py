@@ -62,3 +62,25 @@ def test_index_of_nothing(spark, tmp_path):
     q = spark.createDataFrame([(1, "any words")], "query_id long, text string")
     assert x.indexed_search(x.read_index(spark, str(tmp_path / "none")), q).collect() == []
     assert x.blocks_read(x.read_index(spark, str(tmp_path / "none")), q).where(F.lit(True)).collect() == []
+
+
+def test_a_hot_token_has_a_row_for_each_segment(spark, tmp_path, monkeypatch):
+    docs = spark.range(0, 5 * x.BLOCKS * 2, numPartitions=1).select("id", F.lit("hot").alias("text"), F.concat(F.lit("own"), F.col("id")).alias("source"))
+    x.write_index(docs, str(tmp_path / "index"), "id", {"text": 1.0, "source": 2.0}, block=2)
+    index = x.read_index(spark, str(tmp_path / "index"))
+    assert index.where("token = 'hot'").count() == 5
+    q = spark.createDataFrame([(1, "hot"), (2, "hot own500")], "query_id long, text string")
+    found = {}
+    for sent in (x.SENT, 0):
+        monkeypatch.setattr(x, "SENT", sent)
+        found[sent] = sorted((r.query_id, r.rank, r.id, r.score) for r in x.indexed_search(index, q, 2).collect())
+        assert found[sent] == [(1, 1, 0, 1.0), (1, 2, 1, 1.0), (2, 1, 500, 3.0), (2, 2, 0, 1.0)]
+    assert {r.query_id: r.blocks for r in x.blocks_read(index, q, 1).collect()} == {1: 5 * x.BLOCKS, 2: 5 * x.BLOCKS}
+
+
+def test_key_words_are_found_once(spark, tmp_path, monkeypatch):
+    plans, of = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or of(df, *a, **k))
+    docs = spark.range(3).select(F.col("id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    x.write_index(docs, str(tmp_path / "index"), "id", {"text": 1.0})
+    assert plans[0].count("filter(split(") == 1
