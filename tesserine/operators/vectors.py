@@ -18,21 +18,25 @@ from ..sources.tables import upsert
 from .text_jobs import top_per_group
 
 #: Bytes of query vectors that are sent at once, and rows of the matrices that a task multiplies at a time.
-QUERY_BYTES, ROWS = 32 << 20, 1024
+QUERY_BYTES, ROWS = 8 << 20, 1024
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of length one as a matrix, and which rows have one: not those that are null, zero or hold null or non-finite numbers."""
-    values = column.to_pylist()
-    width = max((len(v) for v in values if v), default=0)
-    whole = np.array([v is not None and len(v) == width and None not in v for v in values], bool)
-    x = np.zeros((len(values), width))
-    if whole.any():
-        x[whole] = np.array([v for v, ok in zip(values, whole) if ok], np.float64)
-    norm = np.sqrt((x * x).sum(axis=1))
-    good = whole & np.isfinite(norm) & (norm > 0)
-    x[good] /= norm[good][:, None]
-    return np.where(good[:, None], x, 0.0), good
+    size = column.value_lengths().fill_null(0).to_numpy()
+    width = int(size.max(initial=0))
+    row = np.repeat(np.arange(len(size)), size)
+    flat = column.flatten()  # leaves null rows out
+    lacking = np.bincount(row[flat.is_null().to_numpy(zero_copy_only=False)], minlength=len(size)) > 0
+    good = (size == width) & (size > 0) & ~lacking
+    x = np.zeros((len(size), width))
+    x[good] = flat.to_numpy(zero_copy_only=False)[good[row]].reshape(int(good.sum()), width)
+    with np.errstate(invalid="ignore", over="ignore"):
+        norm = np.sqrt((x * x).sum(axis=1))
+    good &= np.isfinite(norm) & (norm > 0)
+    x[~good] = 0.0
+    x /= np.where(good, norm, 1.0)[:, None]
+    return x, good
 
 
 class _Best:
@@ -41,14 +45,20 @@ class _Best:
     def __init__(self, n: int, k: int, least: float):
         self.k, self.floor = k, np.full(n, least)
         self.query, self.term, self.score, self.size = [], [], [], 0
+        self.most = max(1 << 18, n * k)
 
     def offer(self, first: int, scores: np.ndarray, terms: np.ndarray) -> None:
-        q, t = np.nonzero(scores >= self.floor[first : first + len(scores), None])
+        """Scores of the queries from `first` on with some terms; -inf is none."""
+        least = np.maximum(self.floor[first : first + len(scores), None], np.finfo(np.float64).min)
+        if scores.shape[1] > self.k and np.count_nonzero(scores >= least) > self.k * len(scores):
+            # What isn't among the k best of these isn't among the k best; ties with the last stay.
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k, None])
+        q, t = np.nonzero(scores >= least)
         self.query.append(q + first)
         self.term.append(terms[t])
         self.score.append(scores[q, t])
         self.size += len(q)
-        if self.size > 1 << 20:
+        if self.size > self.most:
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,10 +107,11 @@ def _search(sent, k: int, least: float):
                 terms = part.column(0).to_numpy()[ok]
                 if x.shape[1] != q.shape[1] or not len(terms):
                     continue
+                own = x[ok]
                 for first in range(0, len(ids), ROWS):
-                    scores = np.round(q[first : first + ROWS] @ x[ok].T, 6)
+                    scores = np.round(q[first : first + ROWS] @ own.T, 6)
                     scores[ids[first : first + ROWS, None] == terms[None, :]] = -np.inf
-                    best.offer(first, np.where(np.isneginf(scores), np.nan, scores), terms)
+                    best.offer(first, scores, terms)
         query, term, score = best.settle()
         yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(term), pa.array(score)], names=["query", "term", "similarity"])
 
