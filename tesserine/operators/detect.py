@@ -133,6 +133,8 @@ EXPRESSIONS = (
     ("DURATION", r"\b[0-9]+ (?:days|hours|minutes)\b", None), ("TIME", r"\b[0-9]{2}:[0-9]{2}\b", None), ("SET", r"\b(?:daily|weekly|monthly|yearly)\b", None), ("ORDINAL", r"\b[0-9]+(?:st|nd|rd|th)\b", None),
     ("DATE", r"\b(?:now|currently|today)\b", "PRESENT_REF"), ("DATE", r"\b(?:formerly|once|previously)\b", "PAST_REF"), ("DATE", r"\b(?:soon|upcoming)\b", "FUTURE_REF"),
 )
+#: What each rule's matches hold one of, which is looked for first, as patterns take far longer; those of numbers need a digit besides.
+HELD = (("-",), (), (" week", " month", " year"), (" days", " hours", " minutes"), (":",), ("daily", "weekly", "monthly", "yearly"), ("st", "nd", "rd", "th"), ("now", "currently", "today"), ("formerly", "once", "previously"), ("soon", "upcoming"))
 #: Concepts of dates by what they contain, of references in time, periods and values without meaning.
 FREQUENCY = (("weekly", ("week", "weekly")), ("monthly", ("month", "monthly")), ("yearly", ("year", "yearly", "annual")), ("daily", ("day", "daily")), ("recent", ("recent", "new", "latest")), ("classic", ("old", "classic", "vintage")))
 REFERENCES = (("PRESENT_REF", ("current", "present", "now")), ("PAST_REF", ("past", "historical", "previous")), ("FUTURE_REF", ("future", "upcoming", "forthcoming")))
@@ -149,11 +151,15 @@ def temporal_flag(text: Column) -> tuple[Column, Column]:
 def expressions(text: Column) -> Column:
     """Expressions of time in a text as array of (type, value, text), rule by rule."""
 
-    def one(kind: str, pattern: str, value: str | None) -> Column:
-        own = (lambda x: F.lit(value)) if value else lambda x: F.regexp_replace(x, "^([0-9]{4})s$", "$1")
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("type"), own(x).alias("value"), x.alias("text")))
+    def one(kind: str, pattern: str, value: str | None, held: tuple[str, ...]) -> Column:
+        # Only the rule of years finds decades, whose value goes without the s.
+        own = (lambda x: F.lit(value)) if value else (lambda x: F.substring(x, 1, 4)) if "{4}s?" in pattern else lambda x: x
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda x: F.struct(F.lit(kind).alias("type"), own(x).alias("value"), x.alias("text")))
+        return F.when(reduce(lambda a, b: a | b, (text.contains(h) for h in held)), found).otherwise(none) if held else found
 
-    return F.concat(*(one(*r) for r in EXPRESSIONS))
+    none = F.array().cast("array<struct<type: string, value: string, text: string>>")
+    rules = [(one(*r, h), "[0-9]" in r[1]) for r, h in zip(EXPRESSIONS, HELD)]
+    return F.when(text.isNotNull(), F.concat(*(F.when(text.rlike("[0-9]"), c).otherwise(none) if number else c for c, number in rules)))
 
 
 def entity_concepts(e: Column) -> Column:
